@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import Scratch
+from textloom.llm.common import Scratch, map_arrow
 
 #: Stands for a null doc_id where documents are counted.
 NO_ID = -(2**63)
@@ -173,10 +173,10 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if rule not in ("common", "first"):
         raise ValueError(f"unknown rule: {rule}")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text_col).alias("rid"), text_col)
-    hashed = rows.mapInArrow(_hash_lines(min_chars), _LINES)
+    hashed = map_arrow(rows, _hash_lines(min_chars), _LINES)
     ranged = hashed.repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos", "rid")
     scratch = Scratch(docs.sparkSession, "lines")
-    found = scratch.keep(ranged.mapInArrow(_stream(rule, min_docs), _STREAMED), "streamed")
+    found = scratch.keep(map_arrow(ranged, _stream(rule, min_docs), _STREAMED), "streamed")
     edges = found.filter("kind = 'c'")
     undecided = found.filter("kind = 'u'")
     if rule == "common":
@@ -186,7 +186,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         whole = edges.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("head"))
         late = undecided.join(whole, ["h1", "h2"]).filter(F.struct("doc", "pos") != F.col("head"))
     dropped = found.filter("kind = 'd'").select("doc", "rid", "pos").unionByName(late.select("doc", "rid", "pos"))
-    return dropped.groupBy("doc", "rid").agg(F.collect_set("pos").alias("pos")).mapInArrow(_to_bitmaps, "doc long, rid long, keep_bitmap binary")
+    positions = dropped.groupBy("doc", "rid").agg(F.collect_set("pos").alias("pos"))
+    return map_arrow(positions, _to_bitmaps, "doc long, rid long, keep_bitmap binary")
 
 
 def _apply(with_text: bool):
@@ -221,4 +222,4 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text_col).alias("rid"))
     joined = rows.join(maps.hint("shuffle_hash"), ["doc", "rid"], "left").select("doc_id", "text", "keep_bitmap")
     schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", text string" * with_text
-    return joined.mapInArrow(_apply(with_text), schema)
+    return map_arrow(joined, _apply(with_text), schema)

@@ -5,22 +5,54 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from textloom.llm import language_id, packing, toxicity
 from textloom.llm.common import table
 from textloom.llm.exact_dedup import exact_dedup
+from textloom.llm.language_id import in_fold
 from textloom.llm.line_dedup import line_dedup
+from textloom.llm.warc import archive_round_trip
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"), rule="common", min_docs=10, min_chars=1)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(in_fold("doc_id", 4, 2), F.lit(False))
+    model = language_id.train(docs, ~held_out)
+    found = language_id.identify(docs.select("doc_id", "text"), model, keep=("doc_id",))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(in_fold("doc_id", 5, 0), F.lit(False))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model, keep=("doc_id",)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = archive_round_trip(table(spark, sf_dir, "pages"), min_dedup_bytes=0)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_language_id": op3_language_id,
+    "op4_toxicity": op4_toxicity,
+    "op6_warc": op6_warc,
+    "op8_packing": op8_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -43,6 +75,22 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id
     """,
+    "op6_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages
+        ), d AS (
+            SELECT page_id, payload, min(page_id) OVER (PARTITION BY payload) AS first,
+                   list_transform([0, 1, 2, 3, 4, 5, 6, 7], lambda i: ('0x' || substr(h, 5 * i + 1, 5))::INT) AS parts
+            FROM p
+        )
+        SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+               list_aggregate(list_transform(parts, lambda v: concat(
+                   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v // 32768) % 32 + 1, 1), substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v // 1024) % 32 + 1, 1),
+                   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v // 32) % 32 + 1, 1), substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v % 32 + 1, 1))), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+        FROM d
+    """,
     "op10_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {_LOWERED} AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
