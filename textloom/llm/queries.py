@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom.llm import language_id, packing, toxicity
 from textloom.llm.common import table
 from textloom.llm.exact_dedup import exact_dedup
+from textloom.llm.jaccard_join import jaccard_components
 from textloom.llm.language_id import in_fold
 from textloom.llm.line_dedup import line_dedup
 from textloom.llm.warc import archive_round_trip
@@ -43,6 +44,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), words=5, threshold=75)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op6_warc": op6_warc,
     "op8_packing": op8_packing,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -91,6 +97,27 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
         FROM d
     """,
+    "op9_jaccard_join": rf"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN []
+                WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingles
+            FROM w
+        ), e AS (
+            SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s
+        ), pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+        ), links AS (
+            SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+        ), reach(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM s UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a
+        )
+        SELECT s.doc_id, len(any_value(s.shingles))::BIGINT AS n_shingles, min(reach.other) AS component_id
+        FROM s JOIN reach ON s.doc_id = reach.doc_id GROUP BY s.doc_id
+    """,
     "op10_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {_LOWERED} AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
