@@ -13,6 +13,7 @@ from textloom.llm.exact_dedup import exact_dedup
 from textloom.llm.jaccard_join import jaccard_components
 from textloom.llm.language_id import in_fold
 from textloom.llm.line_dedup import line_dedup
+from textloom.llm.nn_descent import nearest_neighbours
 from textloom.llm.warc import archive_round_trip
 
 
@@ -40,6 +41,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, k=10)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op6_warc": op6_warc,
+    "op7_nn_descent": op7_nn_descent,
     "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_exact_dedup": op10_exact_dedup,
