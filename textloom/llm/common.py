@@ -29,6 +29,17 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def fresh_names(wanted: tuple[str, ...], taken: list[str]) -> tuple[str, ...]:
+    """The wanted column names, each with underscores before it as long as it is taken."""
+    own = {x.lower() for x in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in own:
+            name = f"_{name}"
+        out.append(name)
+    return tuple(out)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once per context."""
     context = spark.sparkContext

@@ -209,13 +209,13 @@ def train(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
 _caches: dict[str, dict] = {}
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """The columns ``keep`` (all if None) of every row, then lang_pred, score, entropy and rejected."""
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] | None = None, names: tuple[str, ...] = ("lang_pred", "score", "entropy", "rejected")) -> DataFrame:
+    """The columns ``keep`` (all if None) of every row, then the language, score, entropy and rejection, under ``names``."""
     keep = tuple(docs.columns) if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
-    added = "lang_pred string, score double, entropy double, rejected boolean"
-    names = [*keep, "lang_pred", "score", "entropy", "rejected"]
+    added = ", ".join(f"`{n}` {t}" for n, t in zip(names, ("string", "double", "double", "boolean"), strict=True))
+    names = [*keep, *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value

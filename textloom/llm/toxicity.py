@@ -22,7 +22,6 @@ repeated labels and null labels are harmless; an empty table gives an empty resu
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -45,15 +44,17 @@ def word_features(word: str) -> list[int]:
     return found
 
 
-def text_features(text: str | None) -> set[int]:
-    return {f for w in set(_WORD.findall((text or "").lower())) for f in word_features(w)}
+def text_features(text: str | None) -> np.ndarray:
+    """Sorted distinct features."""
+    found = {f for w in set(_WORD.findall((text or "").lower())) for f in word_features(w)}
+    return np.unique(np.fromiter(found, dtype=np.uint64, count=len(found)))
 
 
-def without_copies(docs: list[set[int]]) -> list[set[int]]:
+def without_copies(docs: list[np.ndarray]) -> list[np.ndarray]:
     """One document of each set of (mostly) near copies: the features of a text copied often would pass for a trait of its class.
 
     Copies are known by their three smallest feature hashes."""
-    return list({tuple(heapq.nsmallest(3, d)): d for d in docs}.values())
+    return list({d[:3].tobytes(): d for d in docs}.values())
 
 
 class ToxicModel:
@@ -77,11 +78,11 @@ class ToxicModel:
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(self.weights[f] for f in sorted(found)), -60, 60))))
 
 
-def choose_features(positive: list[set[int]], unlabelled: list[set[int]], most: int) -> list[int]:
+def choose_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], most: int) -> list[int]:
     """The features most over-represented in P, by the log-likelihood ratio of two binomials."""
     tables = []
     for docs in (positive, unlabelled):
-        tables.append(np.unique(np.concatenate([np.fromiter(d, dtype=np.uint64, count=len(d)) for d in docs] or [np.zeros(0, np.uint64)]), return_counts=True))
+        tables.append(np.unique(np.concatenate([*docs, np.zeros(0, np.uint64)]), return_counts=True))
     (ids, p), (other, u) = tables
     if not len(ids):
         return []
@@ -94,20 +95,20 @@ def choose_features(positive: list[set[int]], unlabelled: list[set[int]], most:
     return [int(ids[i]) for i in best if gain[i] > 9]
 
 
-def fit(positive: list[set[int]], unlabelled: list[set[int]], prior: float, features: int = 1024, steps: int = 400, rate: float = 0.05, decay: float | None = None) -> ToxicModel:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most_features: int = 1024, steps: int = 400, rate: float = 0.05, decay: float | None = None) -> ToxicModel:
     """Non-negative PU learning of a logistic model by Adam on the whole bounded sample; fewer examples, more weight decay."""
     positive, unlabelled = without_copies(positive), without_copies(unlabelled)
-    chosen = choose_features(positive, unlabelled, features) if positive and unlabelled else []
+    chosen = choose_features(positive, unlabelled, most_features) if positive and unlabelled else []
     if not chosen or not 0 < prior < 1:
         return ToxicModel({}, -2.0)
     decay = min(2e-3, 0.4 / len(positive)) if decay is None else decay
-    place = {f: i for i, f in enumerate(chosen)}
+    chosen.sort()
+    features = np.array(chosen, dtype=np.uint64)
 
-    def matrix(docs: list[set[int]]) -> np.ndarray:
-        x = np.zeros((len(docs), len(chosen) + 1), dtype=np.float32)
-        x[:, -1] = 1
+    def matrix(docs: list[np.ndarray]) -> np.ndarray:
+        x = np.ones((len(docs), len(chosen) + 1), dtype=np.float32)
         for i, d in enumerate(docs):
-            x[i, [place[f] for f in d if f in place]] = 1
+            x[i, :-1] = np.isin(features, d)
         return x
 
     xp, xu = matrix(positive), matrix(unlabelled)
@@ -130,7 +131,7 @@ def fit(positive: list[set[int]], unlabelled: list[set[int]], prior: float, feat
     return ToxicModel({f: float(x) for f, x in zip(chosen, mean, strict=False)}, float(mean[-1]))
 
 
-def _sample(ids: DataFrame, docs: DataFrame, most: int, max_chars: int, id_col: str, text_col: str) -> list[set[int]]:
+def _sample(ids: DataFrame, docs: DataFrame, most: int, max_chars: int, id_col: str, text_col: str) -> list[np.ndarray]:
     """Features of at most ``most`` documents among ids. The ids are ranked first; texts are then read for those alone."""
     chosen = ids.filter(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(most)
     texts = docs.filter(F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars)).join(F.broadcast(chosen), id_col, "left_semi")
@@ -146,12 +147,13 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
     return fit(positive, unlabelled, prior or 0.0)
 
 
-def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """The columns ``keep`` (all if None) of every row, then score and predicted."""
+def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", keep: tuple[str, ...] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns ``keep`` (all if None) of every row, then the score and the prediction, under ``names``."""
     keep = tuple(docs.columns) if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
-    names = [*keep, "score", "predicted"]
+    added = f"`{names[0]}` double, `{names[1]}` int"
+    names = [*keep, *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, cache = shared.value, {}
@@ -160,4 +162,4 @@ def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", keep: tupl
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=names)
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(keep)])
-    return map_arrow(rows, run, f"{fields}score double, predicted int")
+    return map_arrow(rows, run, f"{fields}{added}")
