@@ -24,7 +24,7 @@ def blend(relevance: DataFrame, link: DataFrame, alpha: float = 0.7, keys: tuple
     return both.select(*keys, "doc_id", (alpha * F.coalesce("_rel", F.lit(0.0)) + (1 - alpha) * F.coalesce("_link", F.lit(0.0))).alias("blended_score"))
 
 
-def rerank(results: DataFrame, link: DataFrame, alpha: float = 0.7) -> DataFrame:
+def rerank(results: DataFrame, link: DataFrame, alpha: float = 0.7, dp: int = 10) -> DataFrame:
     """V8: qid, doc_id, relevance_score, link_score_raw, blended_score, old_rank, new_rank, rank_change.
 
     Link scores are scaled over all documents, relevance over each query's results."""
@@ -35,7 +35,7 @@ def rerank(results: DataFrame, link: DataFrame, alpha: float = 0.7) -> DataFrame
     def place(column: str) -> Column:
         return F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(column), "doc_id"))
 
-    ranked = out.withColumn("blended_score", F.round("blended_score", 10)).withColumn("old_rank", place("relevance_score")).withColumn("new_rank", place("blended_score"))
+    ranked = out.withColumn("blended_score", F.round("blended_score", dp)).withColumn("old_rank", place("relevance_score")).withColumn("new_rank", place("blended_score"))
     return ranked.select("qid", "doc_id", "relevance_score", F.coalesce("link_score", F.lit(0.0)).alias("link_score_raw"), "blended_score", "old_rank", "new_rank", (F.col("old_rank") - F.col("new_rank")).alias("rank_change"))
 
 

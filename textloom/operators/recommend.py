@@ -16,7 +16,7 @@ def content_based(index: SearchIndex, doc_id, top_k: int | None = 5) -> DataFram
     sims = weighted.join(F.broadcast(seed), "term").groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("w")).alias("s"))
     known = index.docs.filter(F.col("doc_id") == doc_id).select(F.lit(1).alias("_k")).limit(1)
     others = index.docs.filter(F.col("doc_id") != doc_id).select("doc_id").join(F.broadcast(known))
-    scored = others.join(sims, "doc_id", "left").select("doc_id", F.round(F.coalesce("s", F.lit(0.0)), 4).alias("similarity_score"))
+    scored = others.join(sims, "doc_id", "left").select("doc_id", F.round(F.round(F.coalesce("s", F.lit(0.0)), 10), 4).alias("similarity_score"))
     return scored if top_k is None else scored.orderBy(F.desc("similarity_score"), "doc_id").limit(top_k)
 
 

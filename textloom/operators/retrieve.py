@@ -28,7 +28,7 @@ def query_weights(index: SearchIndex, queries: dict[str, list[str]]) -> DataFram
 
 def cosine_scores(index: SearchIndex, queries: dict[str, list[str]]) -> DataFrame:
     """V3: qid, doc_id, score of every document that shares a weighted term with a query; all queries in one plan."""
-    return index.weights().join(query_weights(index, queries), "term").groupBy("qid", "doc_id").agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
+    return index.weights().join(query_weights(index, queries), "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 10).alias("score"))
 
 
 def ranked(scores: DataFrame, top_k: int, dp: int = 4) -> DataFrame:

@@ -1,10 +1,854 @@
-"""The queries of the reference's operators and their DuckDB equivalents."""
+"""The queries of the reference's operators and their DuckDB equivalents.
+
+Every query runs over whole tables. A limit stands only where it is the feature, as in a
+top-k list. Survey ids are in the comments. Token lists are returned as a count and an MD5
+of their text, which compares them whole.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.functions import constants as C
+from textloom.functions import text as X
+from textloom.operators import corpus, duplicates, evaluate, graph, index, mining, rank, recommend, retrieve
+from textloom.plans import duck as D
+from textloom.plans.session import table
+from textloom.sources import io, pages as web_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def register(function):
+        key = name or function.__name__
+        QUERIES[key] = function
+        if sql is not None:
+            ORACLE_SQL[key] = sql
+        return function
+
+    return register
+
+
+TITLE_SQL = "split_part(coalesce(text, ''), chr(10), 1)"
+SEARCHES = {"er nd ha": ["er", "nd", "ha"], "thing oner": ["thing", "oner"], "mente eau": ["mente", "eau"]}
+PHRASES = {p: X.query_tokens_lab(p) for p in ("er nd", "thst er", "nd th er", "of the th", "nd", "er th nd ha")}
+BOOLEAN = {"boolean_and": "er and nd ha", "boolean_or_not": "thst or eau not er nd", "boolean_forms": "things or nding and not er"}
+WORDS = ["economy", "er", "nd", "thst", "cryptocurrency", "minister", "eau"]
+PAGERANK_ROUNDS = 10
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.collection(documents(spark, sf_dir))
+
+
+def listed(tokens: Column) -> list[Column]:
+    return [F.size(tokens).cast("long").alias("n"), F.md5(F.array_join(tokens, " ")).alias("tokens_md5")]
+
+
+def listed_sql(tokens: str) -> str:
+    return f"SELECT doc_id, len(t)::BIGINT AS n, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {tokens} AS t FROM documents)"
+
+
+def _token_query(name: str, expression: Callable[[], Column], sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return documents(spark, sf_dir).select("doc_id", expression().alias("t")).select("doc_id", *listed(F.col("t")))
+
+    query(listed_sql(sql), name)(run)
+
+
+TEXT = F.col
+for mode in ("split", "join", "underscore", "keep"):  # T1
+    _token_query(f"tokenize_lab_{mode}", lambda mode=mode: X.tokenize_lab(TEXT("text"), mode), D.lab_tokens("text", mode))
+_token_query("tokenize_web", lambda: X.tokenize_web(TEXT("text")), D.web_tokens("text"))  # T3
+_token_query("crawler_tokens", lambda: F.array_sort(X.token_set(TEXT("text"))), f"list_sort(list_distinct({D.plain_tokens('text')}))")  # T4
+_token_query("stopwords_lab", lambda: X.remove_stopwords_lab(X.tokenize_lab(TEXT("text"))), D.without_lab_stopwords(D.lab_tokens("text")))  # T5
+_token_query("stopwords_web", lambda: X.remove_stopwords_web(X.tokenize_web(TEXT("text"))), D.without_web_stopwords(D.web_tokens("text")))  # T6
+_token_query("preprocess_lab_lemma", lambda: X.preprocess_lab(TEXT("text")), D.lab("text"))  # T10
+_token_query("preprocess_lab_stem", lambda: X.preprocess_lab(TEXT("text"), normalization="stemming"), D.lab("text", "stemming"))
+for how in ("none", "stem", "lemma"):  # T11, T12
+    _token_query(f"preprocess_web_{how}", lambda how=how: X.preprocess_web(TEXT("text"), True, how), D.web("text", how))
+_token_query("bigrams", lambda: X.ngrams(X.preprocess_web(TEXT("text")), 2), D.ngrams(f"({D.web('text')})", 2))  # T13
+
+
+@query(f"SELECT doc_id, md5({D.clean('text')}) AS clean_md5 FROM documents")
+def clean_text(spark, sf_dir):  # T2
+    return documents(spark, sf_dir).select("doc_id", F.md5(X.clean_text(F.col("text"))).alias("clean_md5"))
+
+
+@query(
+    f"""WITH t AS (SELECT DISTINCT term FROM ({D.rows(D.lab_tokens('lower(text)'))}))
+        SELECT term, {D.stem('term')} AS stem, {D.lemma_lab('term')} AS lemma_lab, {D.lemma_web('term')} AS lemma_web, {D.syllables('term')}::BIGINT AS syllables FROM t"""
+)
+def term_forms(spark, sf_dir):  # T7, T8, T9, T19
+    terms = index.token_rows(documents(spark, sf_dir), X.tokenize_lab(F.lower("text"))).select("term").distinct()
+    w = F.col("term")
+    return terms.select("term", X.stem(w).alias("stem"), X.lemma_lab(w).alias("lemma_lab"), X.lemma_web(w).alias("lemma_web"), X.syllables(w).cast("long").alias("syllables"))
+
+
+@query(f"SELECT doc_id, {D.content_hash('text')} AS content_hash, {D.word_count('text')}::BIGINT AS words, {D.flesch('text', D.web_tokens('text'))} AS flesch FROM documents")
+def text_measures(spark, sf_dir):  # T15, T20, T21
+    t = F.col("text")
+    return documents(spark, sf_dir).select("doc_id", X.content_hash(t).alias("content_hash"), X.word_count(t).cast("long").alias("words"), X.flesch(t).alias("flesch"))
+
+
+def _snippet_sql(text: str, terms: list[str], width: int = 260) -> str:
+    marked = "cut"
+    for t in sorted(terms, key=lambda t: (-len(t), t)):
+        marked = rf"regexp_replace({marked}, '(?i)({t})', '**\1**', 'g')"
+    hit = f"regexp_extract(t, '(?i){'|'.join(terms)}')"
+    return rf"""WITH d AS (SELECT doc_id, regexp_replace(coalesce({text}, ''), '^\s+|\s+$', '', 'g') AS t FROM documents),
+        a AS (SELECT doc_id, t, CASE WHEN {hit} = '' THEN NULL ELSE greatest(0, strpos(t, {hit}) - 1 - 90) END AS start FROM d),
+        c AS (SELECT doc_id, CASE WHEN start IS NULL THEN left(t, {width}) ELSE (CASE WHEN start > 0 THEN '...' ELSE '' END) || substr(t, start + 1, {width}) END AS cut FROM a),
+        m AS (SELECT doc_id, {marked} AS s FROM c)
+        SELECT doc_id, s || CASE WHEN length(s) >= {width} THEN '...' ELSE '' END AS snippet FROM m"""
+
+
+@query(_snippet_sql("text", ["thing", "eau", "nd"]))
+def snippet(spark, sf_dir):  # T14
+    return documents(spark, sf_dir).select("doc_id", X.snippet(F.col("text"), "thing eau nd").alias("snippet"))
+
+
+def lab_rows(spark, sf_dir, normalization="lemmatization") -> DataFrame:
+    return index.token_rows(documents(spark, sf_dir), X.preprocess_lab(F.col("text"), normalization=normalization))
+
+
+LAB = D.lab("text")
+
+
+@query(D.postings(LAB))
+def inverted_index(spark, sf_dir):  # I1, A6g
+    return index.postings(lab_rows(spark, sf_dir))
+
+
+@query(f"SELECT term, doc_id, list_sort(list(pos))::VARCHAR[] AS positions FROM ({D.rows(LAB)}) GROUP BY term, doc_id")
+def positional_index(spark, sf_dir):  # I2
+    return index.positional(lab_rows(spark, sf_dir)).select("term", "doc_id", F.col("positions").cast("array<string>").alias("positions"))
+
+
+@query(f"SELECT DISTINCT unnest({D.ngrams('w', 2)}) AS biword, doc_id FROM (SELECT doc_id, {LAB} AS w FROM documents)")
+def biword_index(spark, sf_dir):  # I3
+    return index.biwords(documents(spark, sf_dir), X.preprocess_lab(F.col("text")))
+
+
+_VOCAB = f"SELECT term, count(DISTINCT doc_id) AS df, count(*)::BIGINT AS cf FROM ({D.rows(LAB)}) GROUP BY term"
+
+
+@query(f"SELECT DISTINCT substr('$' || term || '$', i, 3) AS gram, term FROM (SELECT term, unnest(range(1, length(term) + 1)) AS i FROM ({_VOCAB}))")
+def kgram_index(spark, sf_dir):  # I4, T22
+    return index.kgram_index(lab_vocabulary(spark, sf_dir))
+
+
+def lab_vocabulary(spark, sf_dir) -> DataFrame:
+    return index.vocabulary(index.postings(lab_rows(spark, sf_dir)))
+
+
+def web_index(spark, sf_dir, max_features=8000) -> index.SearchIndex:
+    return index.build_index(collection(spark, sf_dir), X.preprocess_web(F.col("text")), max_features=max_features)
+
+
+WEB_TFIDF = D.tfidf(D.web("text"), 8000)
+
+
+@query(
+    f"""WITH {WEB_TFIDF} SELECT (SELECT n FROM n) AS documents, (SELECT count(*) FROM v) AS vocabulary_size, (SELECT count(*) FROM p) AS total_postings,
+        round((SELECT count(*) FROM p)::DOUBLE / (SELECT count(*) FROM v), 2) AS avg_postings_per_term, (SELECT sum(df) FROM v)::BIGINT AS nnz,
+        round(100.0::DOUBLE * (SELECT sum(df) FROM v) / ((SELECT n FROM n) * (SELECT count(*) FROM v)), 4) AS density_pct"""
+)
+def index_stats(spark, sf_dir):  # I6, I7
+    return index.index_stats(web_index(spark, sf_dir))
+
+
+@query(f"SELECT term, count(*) AS df FROM ({D.postings(D.web('text'))}) GROUP BY term ORDER BY df DESC, term LIMIT 15")
+def top_df_terms(spark, sf_dir):  # I8
+    return index.top_df_terms(index.postings(index.token_rows(documents(spark, sf_dir), X.preprocess_web(F.col("text")))))
+
+
+@query(f"WITH {WEB_TFIDF} SELECT term, df, cf::BIGINT AS cf, round(idf, 9) AS idf FROM v")
+def vocab_cap(spark, sf_dir):  # I6
+    return web_index(spark, sf_dir).vocab.select("term", "df", "cf", F.round("idf", 9).alias("idf"))
+
+
+@query(
+    f"""WITH h AS (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY term) AS df FROM ({D.postings(LAB)}) WHERE term IN ({D.quoted(WORDS)}))
+        SELECT term, any_value(df) AS df, list_sort(list(doc_id))::VARCHAR[] AS first_ids FROM h WHERE r <= 10 GROUP BY term"""
+)
+def posting_lookup(spark, sf_dir):  # I9
+    return index.posting_lookup(index.postings(lab_rows(spark, sf_dir)), WORDS).select("term", "df", F.col("first_ids").cast("array<string>").alias("first_ids"))
+
+
+@query(
+    f"""WITH p AS ({D.postings(LAB)}), t AS (SELECT DISTINCT term FROM p ORDER BY term LIMIT 1000),
+        h AS (SELECT term, doc_id, tf, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY term) AS df FROM p WHERE term IN (SELECT term FROM t))
+        SELECT term, any_value(df) AS df, string_agg(doc_id || ':' || tf, ', ' ORDER BY doc_id) AS posting_list FROM h WHERE r <= 15 GROUP BY term"""
+)
+def index_listing(spark, sf_dir):  # I10, T24
+    return index.index_listing(index.postings(lab_rows(spark, sf_dir)))
+
+
+@query(f"SELECT DISTINCT doc_id FROM ({D.postings(D.web('text'))}) WHERE term IN ({D.quoted(WORDS)})")
+def candidate_documents(spark, sf_dir):  # I11
+    return index.candidates(index.postings(index.token_rows(documents(spark, sf_dir), X.preprocess_web(F.col("text")))), WORDS)
+
+
+_BIWORDS = ORACLE_SQL["biword_index"]
+
+
+@query(
+    f"""WITH b AS ({_BIWORDS}), h AS (SELECT * FROM b WHERE list_has_any(string_split(biword, ' '), ['thst', 'eau'])), f AS (SELECT DISTINCT biword FROM h ORDER BY biword LIMIT 30)
+        SELECT biword, array_to_string(list_sort(list(DISTINCT doc_id::VARCHAR)), ', ') AS posting_list FROM h WHERE biword IN (SELECT biword FROM f) GROUP BY biword"""
+)
+def biword_listing(spark, sf_dir):  # I12
+    return index.biword_listing(biword_index(spark, sf_dir), ["thst", "eau"])
+
+
+@query(
+    f"""WITH h AS (SELECT term, doc_id, list_sort(list(pos)) AS ps FROM ({D.rows(LAB)}) WHERE term IN ('thst', 'eau') GROUP BY term, doc_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS r FROM h)
+        SELECT term, string_agg(doc_id || ': [' || array_to_string(ps, ', ') || ']', '; ' ORDER BY doc_id) AS postings FROM r WHERE r <= 8 GROUP BY term"""
+)
+def positional_listing(spark, sf_dir):  # I12
+    return index.positional_listing(lab_rows(spark, sf_dir), ["thst", "eau"])
+
+
+@query(f"WITH {WEB_TFIDF} SELECT doc_id, term, round(weight, 6) AS weight FROM w")
+def tfidf_weights(spark, sf_dir):  # V1
+    return web_index(spark, sf_dir).weights().select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+@query(f"WITH {D.tfidf(D.web('text'), 5000)} SELECT p.doc_id, p.term, p.tf FROM p JOIN v ON p.term = v.term")
+def bag_of_words(spark, sf_dir):  # V2
+    return mining.features(collection(spark, sf_dir), "bow", 5000).select("doc_id", "term", F.col("x").cast("long").alias("tf"))
+
+
+def _snippet_of(query_text: str) -> str:
+    return _snippet_sql("text", X.query_tokens_lab(query_text, stop=False, normalization="none"))
+
+
+@query(
+    f"""WITH {D.tfidf(LAB, None, 1)}, {D.scores({'er nd ha': ['er', 'nd', 'ha']})}, s2 AS (SELECT doc_id, round(score, 10) AS score FROM s),
+        b AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s2 WHERE score > 0 QUALIFY rank <= 10)
+        SELECT rank::INT AS rank, b.doc_id, lang AS category, {TITLE_SQL} AS title, round(score, 4) AS score, z.snippet
+        FROM b JOIN documents d ON b.doc_id = d.doc_id JOIN ({_snippet_of('er nd ha')}) z ON z.doc_id = b.doc_id"""
+)
+def tfidf_search(spark, sf_dir):  # V3, W2, O1, J2
+    lab = index.build_index(collection(spark, sf_dir), X.preprocess_lab(F.col("text")), max_features=None, min_chars=1)
+    return retrieve.ranked_tfidf(lab, "er nd ha", ["er", "nd", "ha"])
+
+
+@query(
+    f"""WITH {WEB_TFIDF}, {D.scores(SEARCHES)}, s2 AS (SELECT qid, doc_id, round(score, 10) AS score FROM s),
+        b AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s2)
+        SELECT qid, rank::INT AS rank, doc_id, round(score, 4) AS score FROM b WHERE rank <= 50 AND score > 0"""
+)
+def batch_search(spark, sf_dir):  # V3, V4, F5
+    return retrieve.ranked(retrieve.cosine_scores(web_index(spark, sf_dir), SEARCHES), 50)
+
+
+@query(
+    f"""WITH {WEB_TFIDF}, {D.scores({'q': ['thing', 'eau', 'nd']})} SELECT doc_id, round(round(score, 10), 4) AS relevance_score FROM s ORDER BY round(score, 10) DESC, doc_id LIMIT 30"""
+)
+def two_stage_search(spark, sf_dir):  # V4
+    return retrieve.search(web_index(spark, sf_dir), ["thing", "eau", "nd"], 30)
+
+
+_ASKED = [(0, "er", "er"), (1, "thinggs", "thinggs"), (2, "film", "film"), (3, "film", "movie"), (4, "govt", "govt"), (5, "govt", "government")]
+
+
+@query(
+    f"""WITH {WEB_TFIDF}, q(place, raw_token, term) AS (VALUES {", ".join(f"({a}, '{b}', '{c}')" for a, b, c in _ASKED)}),
+        c AS (SELECT q.term AS asked, v.term AS t, levenshtein(v.term, q.term) AS d FROM q JOIN v ON abs(length(v.term) - length(q.term)) <= 2),
+        k AS (SELECT asked, t AS correction FROM c WHERE d <= 2 QUALIFY row_number() OVER (PARTITION BY asked ORDER BY d, t) = 1)
+        SELECT place, raw_token, q.term, q.term IN (SELECT term FROM v) AS known, correction FROM q LEFT JOIN k ON q.term = k.asked"""
+)
+def query_expansion(spark, sf_dir):  # V5, T26, X2
+    return retrieve.process_query(web_index(spark, sf_dir), "er thinggs film govt")
+
+
+@query(
+    f"""WITH {WEB_TFIDF}, k AS (SELECT doc_id, term, weight, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 10) DESC, term) AS rank FROM w)
+        SELECT doc_id, rank::INT AS rank, term, round(round(weight, 10), 4) AS weight FROM k WHERE rank <= 8"""
+)
+def doc_top_keywords(spark, sf_dir):  # V10
+    return mining.top_keywords(web_index(spark, sf_dir).weights().withColumn("weight", F.round("weight", 10)))
+
+
+@query(
+    f"""WITH {WEB_TFIDF}, {D.scores(SEARCHES)}, f AS (SELECT qid, doc_id FROM (SELECT q.qid, p.doc_id, count(DISTINCT p.term) AS k, count(*) FILTER (true) AS c FROM p JOIN {D.query_values(SEARCHES)} ON p.term = q.term GROUP BY q.qid, p.doc_id) JOIN (VALUES {", ".join(f"('{q}', {len(t)})" for q, t in SEARCHES.items())}) z(qid, need) USING (qid) WHERE k = need)
+        SELECT f.qid, count(*) AS n, round(avg(coalesce(round(s.score, 10), 0)), 6) AS avg_similarity FROM f LEFT JOIN s ON f.qid = s.qid AND f.doc_id = s.doc_id GROUP BY f.qid"""
+)
+def retrieval_quality(spark, sf_dir):  # V11
+    own = web_index(spark, sf_dir)
+    found = retrieve.and_retrieval(own.postings, SEARCHES)
+    return retrieve.retrieval_quality(retrieve.cosine_scores(own, SEARCHES), found).withColumn("avg_similarity", F.round("avg_similarity", 6))
+
+
+def _boolean_sql(text: str) -> str:
+    """Set algebra over the postings, as the definition states it."""
+    out, op, negate = None, "INTERSECT", False
+    for w in text.lower().split():
+        if w == "and":
+            op = "INTERSECT"
+        elif w == "or":
+            op = "UNION"
+        elif w == "not":
+            negate = True
+        else:
+            forms = list(dict.fromkeys([w, X.lemma_word_lab(w), X.stem_word(w)]))
+            pick = "coalesce(" + ", ".join(f"(SELECT min(term) FROM p WHERE term = '{f}')" for f in forms) + ")"
+            docs = f"SELECT doc_id FROM p WHERE term = {pick}"
+            docs = f"(SELECT doc_id FROM documents EXCEPT ({docs}))" if negate else f"({docs})"
+            negate = False
+            out = docs if out is None else f"({out} {op} {docs})"
+    return f"WITH p AS ({D.postings(LAB)}) SELECT DISTINCT doc_id FROM ({out})"
+
+
+for key, expression in BOOLEAN.items():  # B1
+
+    def _boolean(spark, sf_dir, expression=expression):
+        return retrieve.boolean_search(index.postings(lab_rows(spark, sf_dir)), documents(spark, sf_dir).select("doc_id"), expression)
+
+    query(_boolean_sql(expression), key)(_boolean)
+
+
+@query(
+    f"""WITH b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id::VARCHAR) AS rank FROM ({_boolean_sql(BOOLEAN['boolean_and'])}) QUALIFY rank <= 10)
+        SELECT rank::INT AS rank, b.doc_id, {TITLE_SQL} AS title, lang AS category, z.snippet FROM b JOIN documents d ON b.doc_id = d.doc_id JOIN ({_snippet_of(BOOLEAN['boolean_and'])}) z ON z.doc_id = b.doc_id"""
+)
+def boolean_page(spark, sf_dir):  # B2
+    found = QUERIES["boolean_and"](spark, sf_dir).select("doc_id", F.col("doc_id").cast("string").alias("_s")).orderBy("_s").limit(10)
+    numbered = found.agg(F.array_sort(F.collect_list(F.struct("_s", "doc_id"))).alias("a")).select(F.posexplode("a").alias("i", "x")).select((F.col("i") + 1).alias("rank"), "x.doc_id")
+    docs = collection(spark, sf_dir).join(F.broadcast(numbered), "doc_id")
+    return docs.select("rank", "doc_id", "title", "category", X.snippet(F.col("text"), BOOLEAN["boolean_and"]).alias("snippet"))
+
+
+def _phrase_values() -> str:
+    return ", ".join(f"('{q}', {i}, '{t}', {len(ts)})" for q, ts in PHRASES.items() for i, t in enumerate(ts))
+
+
+_PHRASE_CTES = f"""t AS ({D.rows(LAB)}), q(qid, i, term, need) AS (VALUES {_phrase_values()}),
+        pos AS (SELECT DISTINCT qid, doc_id FROM (SELECT q.qid, t.doc_id, t.pos - q.i AS start, q.need, count(*) AS k FROM t JOIN q ON t.term = q.term GROUP BY ALL) WHERE k = need),
+        qb AS (SELECT a.qid, a.term || ' ' || b.term AS biword FROM q a JOIN q b ON a.qid = b.qid AND b.i = a.i + 1), nb AS (SELECT qid, count(DISTINCT biword) AS need FROM qb GROUP BY qid),
+        bi AS (SELECT qid, doc_id FROM (SELECT qb.qid, b.doc_id, count(DISTINCT b.biword) AS k FROM ({_BIWORDS}) b JOIN qb ON b.biword = qb.biword GROUP BY ALL) JOIN nb USING (qid) WHERE k = need)"""
+
+
+@query(f"WITH {_PHRASE_CTES} SELECT qid, doc_id FROM bi")
+def phrase_biword(spark, sf_dir):  # B3
+    return retrieve.phrase_biword(biword_index(spark, sf_dir), PHRASES)
+
+
+@query(f"WITH {_PHRASE_CTES} SELECT qid, doc_id FROM pos")
+def phrase_positional(spark, sf_dir):  # B4, W4
+    return retrieve.phrase_positional(lab_rows(spark, sf_dir), PHRASES)
+
+
+@query(
+    f"""WITH {_PHRASE_CTES}, n AS (SELECT DISTINCT qid FROM q), x AS (SELECT n.qid, (SELECT count(*) FROM bi WHERE bi.qid = n.qid) AS biword_results, (SELECT count(*) FROM pos WHERE pos.qid = n.qid) AS positional_results,
+        (SELECT count(*) FROM bi WHERE bi.qid = n.qid AND NOT EXISTS (SELECT 1 FROM pos WHERE pos.qid = bi.qid AND pos.doc_id = bi.doc_id)) AS false_positives FROM n)
+        SELECT *, CASE WHEN false_positives > 0 THEN 'Positional Index' ELSE 'Tie / Both Exact' END AS more_accurate FROM x"""
+)
+def biword_false_positives(spark, sf_dir):  # B5, P4, P5, J4, U4
+    return retrieve.phrase_comparison(biword_index(spark, sf_dir), lab_rows(spark, sf_dir), PHRASES)
+
+
+_COMPARED = {"things nding": "things nding", "er nd": "er nd", "thst ha": "thst ha", "eaux mentes": "eaux mentes"}
+
+
+def _and_sql(normalization: str) -> str:
+    queries = {q: X.query_tokens_lab(q, normalization=normalization) for q in _COMPARED}
+    values = ", ".join(f"('{q}', '{t}', {len(set(ts))})" for q, ts in queries.items() for t in dict.fromkeys(ts))
+    return f"SELECT qid, doc_id FROM (SELECT q.qid, x.doc_id, q.need, count(DISTINCT x.term) AS k FROM ({D.postings(D.lab('text', normalization))}) x JOIN (VALUES {values}) AS q(qid, term, need) ON x.term = q.term GROUP BY ALL) WHERE k = need"
+
+
+@query(
+    f"""WITH {WEB_TFIDF}, {D.scores({q: X.query_tokens_web(q) for q in _COMPARED})}, s2 AS (SELECT qid, doc_id, round(score, 10) AS score FROM s), a AS ({_and_sql('stemming')}), b AS ({_and_sql('lemmatization')}),
+        u AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.doc_id, b.doc_id) AS doc_id, a.qid IS NOT NULL AS st, b.qid IS NOT NULL AS le FROM a FULL JOIN b ON a.qid = b.qid AND a.doc_id = b.doc_id),
+        g AS (SELECT u.qid, count(*) FILTER (st) AS sn, count(*) FILTER (le) AS ln, avg(coalesce(score, 0)) FILTER (st) AS sa, avg(coalesce(score, 0)) FILTER (le) AS la, count(*) FILTER (st AND le)::DOUBLE / count(*) AS j FROM u LEFT JOIN s2 ON u.qid = s2.qid AND u.doc_id = s2.doc_id GROUP BY u.qid),
+        x AS (SELECT n.qid, coalesce(sn, 0) AS stemmed_results, coalesce(ln, 0) AS lemmatized_results, coalesce(sa, 0) AS sa, coalesce(la, 0) AS la, coalesce(j, 0) AS j FROM (VALUES {", ".join(f"('{q}')" for q in _COMPARED)}) n(qid) LEFT JOIN g ON n.qid = g.qid)
+        SELECT qid, stemmed_results, lemmatized_results, round(sa, 4) AS stem_avg_similarity, round(la, 4) AS lemma_avg_similarity, round(j, 3) AS jaccard,
+        CASE WHEN (round(sa, 12) = round(la, 12) AND lemmatized_results >= stemmed_results) OR (round(sa, 12) <> round(la, 12) AND la > sa) THEN 'Lemmatization' ELSE 'Stemming' END AS better FROM x"""
+)
+def stem_vs_lemma(spark, sf_dir):  # B6, P3
+    posted = {n: index.postings(lab_rows(spark, sf_dir, n)) for n in ("stemming", "lemmatization")}
+    found = [retrieve.and_retrieval(posted[n], {q: X.query_tokens_lab(q, normalization=n) for q in _COMPARED}) for n in posted]
+    scores = retrieve.cosine_scores(web_index(spark, sf_dir), {q: X.query_tokens_web(q) for q in _COMPARED})
+    return retrieve.stem_vs_lemma(*found, scores, list(_COMPARED))
+
+
+@query(f"SELECT term, levenshtein(term, 'goverment')::INT AS distance FROM ({_VOCAB}) WHERE abs(length(term) - 9) <= 3 AND levenshtein(term, 'goverment') <= 3 ORDER BY distance, term LIMIT 5", "spell_suggest_rare")
+def _spell_rare(spark, sf_dir):  # X1
+    return retrieve.suggest_correction(lab_vocabulary(spark, sf_dir), "goverment")
+
+
+@query(f"SELECT term, levenshtein(term, 'thingg')::INT AS distance FROM ({_VOCAB}) WHERE abs(length(term) - 6) <= 3 AND levenshtein(term, 'thingg') <= 3 ORDER BY distance, term LIMIT 5")
+def spell_suggest(spark, sf_dir):  # X1, T16, F6, J6, O2
+    return retrieve.suggest_correction(lab_vocabulary(spark, sf_dir), "thingg")
+
+
+@query()
+def soundex_match(spark, sf_dir):  # X3, T17; DuckDB has no soundex
+    return retrieve.phonetic_matches(lab_vocabulary(spark, sf_dir), "thonder")
+
+
+@query(f"WITH p AS ({D.postings(LAB)}), t AS (SELECT DISTINCT term FROM p WHERE term GLOB 'th*[st]?' ORDER BY term LIMIT 50) SELECT count(DISTINCT term) AS expanded_terms, count(DISTINCT doc_id) AS matching_docs FROM p WHERE term IN (SELECT term FROM t)")
+def wildcard_docs(spark, sf_dir):  # X4, T23
+    return retrieve.wildcard_docs(index.postings(lab_rows(spark, sf_dir)), "th*[st]?")
+
+
+@query(
+    f"""WITH k AS ({ORACLE_SQL['kgram_index']}), q(gram) AS (VALUES {", ".join(f"('{g}')" for g in X.query_kgrams("thinger"))})
+        SELECT term, count(*) AS shared FROM k JOIN q ON k.gram = q.gram GROUP BY term ORDER BY shared DESC, term LIMIT 10"""
+)
+def kgram_suggest(spark, sf_dir):  # X5
+    return retrieve.kgram_suggestions(lab_vocabulary(spark, sf_dir), "thinger")
+
+
+@query()
+def corrected_search(spark, sf_dir):  # X6
+    own = web_index(spark, sf_dir)
+    return retrieve.corrected_search(own, retrieve.suggest_correction(own.vocab, "thingg"))
+
+
+@query(f"SELECT q.term, max(x.term) IS NOT NULL AS found, count(x.doc_id) AS matched_docs FROM (VALUES {', '.join(f'({D.quoted([w])})' for w in WORDS)}) q(term) LEFT JOIN ({D.postings(LAB)}) x ON q.term = x.term GROUP BY q.term")
+def dictionary_lookup(spark, sf_dir):  # L1, L2, L4
+    return retrieve.dictionary_lookup(index.postings(lab_rows(spark, sf_dir)), WORDS)
+
+
+@query(f"SELECT count(*) AS dictionary_terms, count(*) AS sorted_height, (floor(log2(count(*))) + 1)::BIGINT AS median_first_height FROM ({_VOCAB})")
+def dictionary_heights(spark, sf_dir):  # L1, L3, P6
+    return retrieve.bst_heights(lab_vocabulary(spark, sf_dir))
+
+
+_META = f"""SELECT doc_id::VARCHAR AS id, 'dataset://bbc/' || doc_id AS url, 'dataset' AS source_type, lang AS category, {TITLE_SQL} AS title, 0 AS depth, NULL::VARCHAR AS parent_url, NULL::VARCHAR AS discovered_at,
+        {D.content_hash('text')} AS content_hash, 0 AS is_exact_duplicate, 0 AS is_near_duplicate, NULL::VARCHAR AS duplicate_of, {D.word_count('text')}::INT AS word_count, doc_id::VARCHAR AS doc_id FROM documents"""
+
+
+@query(_META)
+def metadata_build(spark, sf_dir):  # C8, D2
+    return corpus.base_corpus(collection(spark, sf_dir))[0]
+
+
+def base_with_api(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    docs = collection(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("string"))
+    return corpus.base_corpus(docs, io.fetch_articles(spark))
+
+
+@query(f"SELECT count(*) + 10 AS documents, count(DISTINCT lang) + 5 AS categories, 2::BIGINT AS source_types, 0::BIGINT AS exact_duplicates, 0::BIGINT AS near_duplicates FROM documents")
+def dashboard_counts(spark, sf_dir):  # S5, A3g, P15
+    return corpus.dashboard(base_with_api(spark, sf_dir)[0])
+
+
+@query("SELECT doc_id::VARCHAR AS id, md5(text) AS text_md5 FROM documents UNION ALL SELECT 'B' || item_id, md5(text) FROM benchmark")
+def merge_keep_first(spark, sf_dir):  # U1
+    base = corpus.content(collection(spark, sf_dir))
+    extra = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("id"), F.col("text").alias("raw_text"), F.lit(None).cast("string").alias("clean_text"))
+    again = base.withColumn("raw_text", F.lit("a later version"))
+    return corpus.merge(base, extra.unionByName(again)).select("id", F.md5("raw_text").alias("text_md5"))
+
+
+@query("SELECT source || CASE WHEN r > 1 THEN '_dup' || (r - 1) ELSE '' END AS doc_id, orig FROM (SELECT source, doc_id AS orig, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)")
+def dedup_ids(spark, sf_dir):  # W1
+    rows = documents(spark, sf_dir).select(F.col("source").alias("doc_id"), F.col("doc_id").alias("orig"))
+    return corpus.repair_ids(rows, F.col("orig"))
+
+
+@query(f"WITH h AS (SELECT doc_id, {D.content_hash('text')} AS content_hash FROM documents) SELECT doc_id, content_hash, CASE WHEN min(doc_id) OVER (PARTITION BY content_hash) < doc_id THEN min(doc_id) OVER (PARTITION BY content_hash) END AS duplicate_of FROM h")
+def exact_dups(spark, sf_dir):  # C4, W5
+    return duplicates.exact_duplicates(documents(spark, sf_dir))
+
+
+_NEAR_SQL = f"""WITH s AS (SELECT doc_id, list_sort(list_distinct({D.plain_tokens('text')})) AS t FROM documents),
+        c AS (SELECT min(doc_id) AS id, t, len(t) AS n FROM s WHERE len(t) > 0 GROUP BY t),
+        e AS (SELECT id, n, unnest(t) AS token FROM c), f AS (SELECT token, count(*) AS df FROM e GROUP BY token),
+        o AS (SELECT e.id, e.n, e.token, row_number() OVER (PARTITION BY e.id ORDER BY f.df, e.token) AS r FROM e JOIN f ON e.token = f.token),
+        x AS (SELECT * FROM o WHERE r <= n - ceil(0.85 * n) + 1),
+        p AS (SELECT DISTINCT a.id AS a, b.id AS b FROM x a JOIN x b ON a.token = b.token AND a.id < b.id WHERE least(a.n, b.n) >= 0.85 * greatest(a.n, b.n)),
+        j AS (SELECT a, b, len(list_intersect(u.t, v.t))::DOUBLE / (u.n + v.n - len(list_intersect(u.t, v.t))) AS jaccard FROM p JOIN c u ON p.a = u.id JOIN c v ON p.b = v.id),
+        m AS (SELECT a AS id, b AS other, jaccard FROM j WHERE jaccard >= 0.85 UNION ALL SELECT b, a, jaccard FROM j WHERE jaccard >= 0.85 UNION ALL SELECT id, id, 1.0 FROM c)
+        SELECT s.doc_id, min(m.other) AS duplicate_of, round(arg_min(m.jaccard, m.other), 6) AS jaccard FROM s JOIN c ON s.t = c.t JOIN m ON c.id = m.id GROUP BY s.doc_id HAVING min(m.other) < s.doc_id"""
+
+
+@query(_NEAR_SQL)
+def near_dups(spark, sf_dir):  # C5, J5, T18
+    return duplicates.near_duplicates(documents(spark, sf_dir))
+
+
+@query("SELECT lang AS value, count(*) AS n FROM documents GROUP BY lang")
+def category_counts(spark, sf_dir):  # A1g
+    return corpus.value_counts(documents(spark, sf_dir), "lang")
+
+
+@query(
+    f"""WITH w AS (SELECT {D.word_count('text')} AS words FROM documents WHERE text IS NOT NULL), l AS (SELECT min(words) AS lo, (max(words) - min(words)) / 10.0::DOUBLE AS w FROM w),
+        b AS (SELECT greatest(ceil((words - lo) / l.w), 1)::INT AS bin, lo, l.w AS w FROM w, l) SELECT bin, round(lo + (bin - 1) * w, 3) AS low, round(lo + bin * w, 3) AS high, count(*) AS n FROM b GROUP BY bin, lo, w"""
+)
+def length_histogram(spark, sf_dir):  # A4g, F4
+    return corpus.length_histogram(documents(spark, sf_dir))
+
+
+@query(f"WITH t AS (SELECT text, {LAB} AS w FROM documents) SELECT count(*) AS documents, (SELECT count(DISTINCT x) FROM (SELECT unnest(w) AS x FROM t)) AS vocabulary_size, round(avg(len(w)), 2) AS avg_tokens_per_doc, count(*) FILTER (text IS NULL) AS missing_text FROM t")
+def dataset_overview(spark, sf_dir):  # A2g
+    return corpus.overview(documents(spark, sf_dir), X.preprocess_lab(F.col("text")))
+
+
+@query("SELECT event_type AS action, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+def action_times(spark, sf_dir):  # A5g, P14
+    return corpus.action_times(table(spark, sf_dir, "events"), "event_type", "value").withColumn("total", F.round("total", 4))
+
+
+@query(f"SELECT id, source_type, category, title, depth, word_count FROM ({_META}) ORDER BY id LIMIT 10")
+def corpus_sample(spark, sf_dir):  # P8
+    return metadata_build(spark, sf_dir).select("id", "source_type", "category", "title", "depth", "word_count").orderBy("id").limit(10)
+
+
+@query(f"SELECT doc_id, {TITLE_SQL} AS title, md5(text) AS text_md5 FROM documents WHERE doc_id = 7")
+def read_document(spark, sf_dir):  # P1, F1
+    return collection(spark, sf_dir).filter("doc_id = 7").select("doc_id", "title", F.md5("text").alias("text_md5"))
+
+
+_BARE = D.without_lab_stopwords(D.lab_tokens("lower(text)"))
+_TRACE_SQL = {
+    "1 tokenize": D.lab_tokens("text", "keep"),
+    "2 lower": D.lab_tokens("lower(text)", "keep"),
+    "3 hyphens": D.lab_tokens("text"),
+    "4 stopwords": _BARE,
+    "5 stem": f"list_transform({_BARE}, lambda w: {D.stem('w')})",
+    "6 lemma": f"list_transform({_BARE}, lambda w: {D.lemma_lab('w')})",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS step, array_to_string(({sql})[1:80], ' ') AS tokens FROM documents WHERE doc_id = 7" for name, sql in _TRACE_SQL.items()))
+def preprocessing_trace(spark, sf_dir):  # P2
+    t = F.col("text")
+    bare = X.remove_stopwords_lab(X.tokenize_lab(F.lower(t)))
+    shown = (X.tokenize_lab(t, "keep"), X.tokenize_lab(F.lower(t), "keep"), X.tokenize_lab(t), bare, F.transform(bare, X.stem), F.transform(bare, X.lemma_lab))
+    steps = F.array(*(F.struct(F.lit(name).alias("step"), F.array_join(F.slice(tokens, 1, 80), " ").alias("tokens")) for name, tokens in zip(_TRACE_SQL, shown, strict=True)))
+    return documents(spark, sf_dir).filter("doc_id = 7").select(F.inline(steps))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({D.quoted(c)})" for c in io.COMPONENTS) + ") AS t(component, status, evidence)")
+def component_summary(spark, sf_dir):  # P7
+    return io.components(spark)
+
+
+@query(rf"SELECT url, left(trim(regexp_replace(regexp_replace(coalesce(html, ''), '{C.TAG}', ' ', 'g'), '\s+', ' ', 'g')), 4000) AS text FROM pages")
+def page_text(spark, sf_dir):  # S10
+    return table(spark, sf_dir, "pages").select("url", web_pages.page_text(F.col("html")).alias("text"))
+
+
+@query(f"SELECT url, CASE WHEN t = '' THEN url ELSE t END AS title FROM (SELECT url, trim(regexp_replace(regexp_extract(coalesce(html, ''), '{C.TITLE}', 1), '{C.TAG}', '', 'g')) AS t FROM pages)")
+def page_title(spark, sf_dir):  # S11
+    return table(spark, sf_dir, "pages").select("url", web_pages.page_title(F.col("html"), F.col("url")).alias("title"))
+
+
+def _links_sql(pattern: str) -> str:
+    first = "list_transform(list_sort(list_transform(list_distinct(l), lambda x: {'i': list_position(l, x), 'x': x})), lambda s: s.x)[1:15]"
+    return f"SELECT url, array_to_string({first}, ' ') AS links FROM (SELECT url, regexp_extract_all(coalesce(html, ''), '{pattern.replace(chr(39), chr(39) * 2)}', 1) AS l FROM pages)"
+
+
+@query(_links_sql(C.ABSOLUTE_LINK))
+def page_links_abs(spark, sf_dir):  # S9
+    return table(spark, sf_dir, "pages").select("url", F.array_join(web_pages.absolute_links(F.col("html")), " ").alias("links"))
+
+
+@query(_links_sql(C.ANY_LINK))
+def page_links_all(spark, sf_dir):  # S9, relative links as well
+    return table(spark, sf_dir, "pages").select("url", F.array_join(web_pages.all_links(F.col("html")), " ").alias("links"))
+
+
+def site(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    return graph.web_graph(collection(spark, sf_dir))
+
+
+_GRAPH = f"""d AS (SELECT doc_id, lang AS cat, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (ORDER BY lang, doc_id) - 1 AS idx, 'local-news://' || lang || '/' || doc_id AS url, 'local-news://' || lang || '/hub' AS hub FROM documents),
+        e AS (SELECT '{C.HOME_URL}' AS src, hub AS dst FROM d GROUP BY hub UNION ALL SELECT hub, url FROM d UNION ALL SELECT hub, url || '-mirror' FROM d WHERE idx % 25 = 0 UNION ALL SELECT hub, url || '-syndicated' FROM d WHERE idx % 20 = 0
+        UNION ALL SELECT a.url, b.url FROM d a, (VALUES (1), (2), (3)) o(k) JOIN d b ON true WHERE a.cat = b.cat AND b.i = (a.i + o.k) % a.n AND a.n > 3)"""
+_GRAPH = _GRAPH.replace("FROM d a, (VALUES (1), (2), (3)) o(k) JOIN d b ON true WHERE a.cat = b.cat AND b.i = (a.i + o.k) % a.n AND a.n > 3", "FROM (SELECT *, unnest([1, 2, 3]) AS k FROM d WHERE n > 3) a JOIN d b ON a.cat = b.cat AND b.i = (a.i + a.k) % a.n")
+
+
+@query(f"WITH {_GRAPH} SELECT src, dst FROM e")
+def web_graph_edges(spark, sf_dir):  # S6, C6, D8
+    return site(spark, sf_dir)[1].select("src", "dst")
+
+
+@query(f"WITH {_GRAPH} SELECT hub AS url FROM d GROUP BY hub UNION ALL SELECT '{C.HOME_URL}'")
+def seed_options(spark, sf_dir):  # S7
+    return graph.seed_options(site(spark, sf_dir)[0])
+
+
+@query(f"WITH RECURSIVE {_GRAPH}, r(url, depth) AS (SELECT '{C.HOME_URL}', 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON r.url = e.src WHERE r.depth < 3) SELECT url, min(depth) AS depth FROM r GROUP BY url")
+def crawl_depths(spark, sf_dir):  # C1, C3
+    visited, _ = graph.crawl_order(*site(spark, sf_dir), [C.HOME_URL], 3, 10**9)
+    return visited.select("url", "depth")
+
+
+@query(f"WITH RECURSIVE {_GRAPH}, r(url, depth) AS (SELECT '{C.HOME_URL}', 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON r.url = e.src WHERE r.depth < 2), m AS (SELECT url, min(depth) AS depth FROM r GROUP BY url) SELECT count(*) AS pages_fetched, 1 + (SELECT count(*) FROM m JOIN e ON m.url = e.src WHERE m.depth < 2) - count(*) AS pages_skipped_url_dup, max(depth) AS max_depth_reached FROM m")
+def crawl_url_stats(spark, sf_dir):  # C2, C7
+    visited, queue = graph.crawl_order(*site(spark, sf_dir), [C.HOME_URL], 2, 10**9)
+    done = visited.agg(F.count(F.lit(1)).alias("pages_fetched"), F.max("depth").alias("max_depth_reached"))
+    seen = queue.agg((F.count(F.lit(1)) - F.countDistinct("url")).alias("pages_skipped_url_dup"))
+    return done.crossJoin(seen)
+
+
+@query()
+def crawl_stats(spark, sf_dir):  # C1-C7: with the page cap and both duplicate tests
+    return graph.crawl(*site(spark, sf_dir), [C.HOME_URL], 3, 400)[3]
+
+
+def _pagerank_sql(rounds: int) -> str:
+    ctes = [_GRAPH, "g AS MATERIALIZED (SELECT DISTINCT src, dst FROM e)", "nd AS MATERIALIZED (SELECT src AS node FROM g UNION SELECT dst FROM g)", "o AS MATERIALIZED (SELECT src, count(*) AS k FROM g GROUP BY src)", "r0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM nd) AS s FROM nd)"]
+    for i in range(1, rounds + 1):
+        ctes.append(
+            f"""r{i} AS MATERIALIZED (SELECT nd.node, 0.15 / (SELECT count(*) FROM nd) + 0.85 * (coalesce(c.s, 0) + (SELECT coalesce(sum(s), 0) FROM r{i - 1} WHERE node NOT IN (SELECT src FROM o)) / (SELECT count(*) FROM nd)) AS s
+            FROM nd LEFT JOIN (SELECT g.dst, sum(r.s / o.k) AS s FROM g JOIN r{i - 1} r ON g.src = r.node JOIN o ON o.src = g.src GROUP BY g.dst) c ON nd.node = c.dst)"""
+        )
+    return f"WITH {', '.join(ctes)} SELECT node, round(s, 10) AS score FROM r{rounds}"
+
+
+@query(_pagerank_sql(PAGERANK_ROUNDS))
+def pagerank_10(spark, sf_dir):  # G1, G2
+    return graph.pagerank(site(spark, sf_dir)[1], max_iter=PAGERANK_ROUNDS, tol=None).select("node", F.round("score", 10).alias("score"))
+
+
+def _hits_sql(rounds: int) -> str:
+    ctes = [_GRAPH, "g AS MATERIALIZED (SELECT DISTINCT src, dst FROM e)", "nd AS MATERIALIZED (SELECT src AS node FROM g UNION SELECT dst FROM g)", "h0 AS (SELECT node, 1.0::DOUBLE AS s FROM nd)"]
+    for i in range(1, rounds + 1):
+        for new, old, at, to in ((f"a{i}", f"h{i - 1}", "src", "dst"), (f"h{i}", f"a{i}", "dst", "src")):
+            ctes.append(f"x{new} AS MATERIALIZED (SELECT g.{to} AS node, sum(z.s) AS s FROM g JOIN {old} z ON g.{at} = z.node GROUP BY g.{to})")
+            ctes.append(f"{new} AS MATERIALIZED (SELECT nd.node, coalesce(x.s, 0) / (SELECT sqrt(sum(s * s)) FROM x{new}) AS s FROM nd LEFT JOIN x{new} x ON nd.node = x.node)")
+    return f"WITH {', '.join(ctes)} SELECT a.node, round(h.s, 9) AS hub, round(a.s, 9) AS authority FROM a{rounds} a JOIN h{rounds} h ON a.node = h.node"
+
+
+@query(_hits_sql(PAGERANK_ROUNDS))
+def hits_10(spark, sf_dir):  # G3
+    return graph.hits(site(spark, sf_dir)[1], max_iter=PAGERANK_ROUNDS, tol=None).select("node", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority"))
+
+
+_LINK_SQL = f"""pr AS ({_pagerank_sql(PAGERANK_ROUNDS)}), pg AS (SELECT url, doc_id FROM ({f"WITH {_GRAPH} SELECT url, doc_id FROM d UNION ALL SELECT url || '-mirror', doc_id FROM d WHERE idx % 25 = 0 UNION ALL SELECT url || '-syndicated', doc_id FROM d WHERE idx % 20 = 0"})),
+        ls AS (SELECT pg.doc_id, sum(pr.score) AS link_score FROM pg JOIN pr ON pg.url = pr.node GROUP BY pg.doc_id)"""
+
+
+def link_scores(spark, sf_dir, scores: DataFrame | None = None) -> DataFrame:
+    scores = pagerank_10(spark, sf_dir) if scores is None else scores
+    found = rank.link_scores_by_doc(scores, site(spark, sf_dir)[0])
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "link_score")
+
+
+@query(f"WITH {_LINK_SQL} SELECT doc_id, round(link_score, 8) AS link_score FROM ls")
+def link_scores_by_doc(spark, sf_dir):  # V9, J3, Q14
+    return link_scores(spark, sf_dir).withColumn("link_score", F.round("link_score", 8))
+
+
+_RERANK_CTES = f"""{_LINK_SQL}, b AS ({ORACLE_SQL['batch_search']}), rl AS (SELECT qid, min(score) AS lo, max(score) AS hi FROM b GROUP BY qid), ll AS (SELECT min(link_score) AS lo, max(link_score) AS hi FROM ls),
+        z AS (SELECT b.qid, b.doc_id, b.score, coalesce(ls.link_score, 0) AS raw, round(0.7 * CASE WHEN rl.hi - rl.lo < 1e-12 THEN 0 ELSE (b.score - rl.lo) / (rl.hi - rl.lo) END + 0.3 * coalesce((ls.link_score - ll.lo) / (ll.hi - ll.lo), 0), 6) AS blended FROM b JOIN rl ON b.qid = rl.qid LEFT JOIN ls ON b.doc_id = ls.doc_id, ll)"""
+
+
+@query(
+    f"""WITH {_RERANK_CTES} SELECT qid, doc_id, score AS relevance_score, round(raw, 8) AS link_score_raw, blended AS blended_score,
+        row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INT AS old_rank, row_number() OVER (PARTITION BY qid ORDER BY blended DESC, doc_id)::INT AS new_rank,
+        (row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) - row_number() OVER (PARTITION BY qid ORDER BY blended DESC, doc_id))::INT AS rank_change FROM z"""
+)
+def rerank_pagerank(spark, sf_dir):  # V6, V7, V8, P11
+    results = batch_search(spark, sf_dir).select("qid", "doc_id", F.col("score").alias("relevance_score"))
+    return rank.rerank(results, link_scores(spark, sf_dir), dp=6).withColumn("link_score_raw", F.round("link_score_raw", 8))
+
+
+@query(
+    f"""WITH RECURSIVE t AS (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS word FROM (SELECT doc_id, {D.plain_tokens('text')} AS w FROM documents)),
+        m AS (SELECT doc_id, pos, word, word IN ({D.quoted(C.WEB_STOPWORDS)}) AS stop FROM t),
+        g AS (SELECT doc_id, pos, word, stop, sum(stop::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS ph FROM m),
+        k AS (SELECT doc_id, ph, word, pos, count(*) OVER (PARTITION BY doc_id, ph) - 1 AS deg FROM g WHERE NOT stop),
+        s AS (SELECT doc_id, word, (sum(deg) + count(*))::DOUBLE / count(*) AS sc FROM k GROUP BY doc_id, word),
+        p AS (SELECT k.doc_id, k.ph, string_agg(k.word, ' ' ORDER BY k.pos) AS phrase, round(sum(s.sc), 3) AS score FROM k JOIN s ON k.doc_id = s.doc_id AND k.word = s.word GROUP BY k.doc_id, k.ph),
+        u AS (SELECT doc_id, phrase, max(score) AS score, min(ph) AS ph FROM p GROUP BY doc_id, phrase),
+        r AS (SELECT doc_id, phrase, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ph) AS rank FROM u)
+        SELECT doc_id, rank::INT AS rank, phrase, score FROM r WHERE rank <= 8"""
+)
+def rake(spark, sf_dir):  # M1
+    return mining.rake(documents(spark, sf_dir))
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, lang AS category, text, {D.web_tokens('text')} AS w FROM documents)
+        SELECT doc_id, category, len(w)::BIGINT AS word_count, len(list_distinct(w))::BIGINT AS unique_words, CASE WHEN len(w) = 0 THEN 0.0 ELSE round(len(list_distinct(w))::DOUBLE / len(w), 3) END AS lexical_diversity, {D.flesch('text', 'w')} AS readability_flesch FROM t"""
+)
+def document_profile(spark, sf_dir):  # M2, A10g, T20
+    out = mining.profiles(collection(spark, sf_dir))
+    return out.withColumn("word_count", F.col("word_count").cast("long")).withColumn("unique_words", F.col("unique_words").cast("long"))
+
+
+@query()
+def full_profile(spark, sf_dir):  # M2, P10 with both keyword lists
+    docs = collection(spark, sf_dir)
+    return mining.full_profiles(docs, mining.keyword_index(docs).weights())
+
+
+_SPLIT = "sp AS (SELECT doc_id, lang AS label, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || ':42')) <= floor(count(*) OVER (PARTITION BY lang) * 0.25 + 0.5) AS test FROM documents WHERE lang IN (SELECT lang FROM documents GROUP BY lang HAVING count(*) >= 2))"
+
+
+@query(f"WITH {_SPLIT} SELECT label, count(*) FILTER (NOT test) AS n_train, count(*) FILTER (test) AS n_test FROM sp GROUP BY label")
+def stratified_split_counts(spark, sf_dir):  # M4, F8
+    split = mining.stratified_split(mining.classes_of(collection(spark, sf_dir), "category"), "category")
+    return split.groupBy("label").agg(F.count_if(~F.col("test")).alias("n_train"), F.count_if("test").alias("n_test"))
+
+
+def _bayes_sql(kind: str) -> str:
+    x = "SELECT p.doc_id, p.term, p.tf::DOUBLE AS x FROM p JOIN v ON p.term = v.term" if kind == "bow" else "SELECT doc_id, term, weight AS x FROM w"
+    return f"""WITH {D.tfidf(D.web('text'), 5000)}, {_SPLIT}, x AS ({x}),
+        cs AS (SELECT label, term, sum(x) AS s FROM x JOIN sp ON x.doc_id = sp.doc_id WHERE NOT test GROUP BY label, term),
+        c AS (SELECT label AS c, ln(count(*)::DOUBLE / (SELECT count(*) FROM sp WHERE NOT test)) AS prior, ln((SELECT coalesce(sum(s), 0) FROM cs WHERE cs.label = sp.label) + (SELECT count(DISTINCT term) FROM x)) AS norm FROM sp WHERE NOT test GROUP BY label),
+        tx AS (SELECT x.* FROM x JOIN sp ON x.doc_id = sp.doc_id WHERE test), ln_ AS (SELECT doc_id, sum(x) AS len FROM tx GROUP BY doc_id),
+        gn AS (SELECT tx.doc_id, cs.label AS c, sum(tx.x * ln(1 + cs.s)) AS gain FROM tx JOIN cs ON tx.term = cs.term GROUP BY tx.doc_id, cs.label),
+        sc AS (SELECT sp.doc_id, sp.label, c.c, round(c.prior + coalesce(gn.gain, 0) - coalesce(ln_.len, 0) * c.norm, 9) AS s FROM sp CROSS JOIN c LEFT JOIN ln_ ON ln_.doc_id = sp.doc_id LEFT JOIN gn ON gn.doc_id = sp.doc_id AND gn.c = c.c WHERE sp.test),
+        pd AS (SELECT doc_id, label, c AS prediction FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, c) = 1)"""
+
+
+for kind in ("bow", "tfidf"):  # M3, A8g
+
+    def _bayes(spark, sf_dir, kind=kind):
+        return mining.confusion(mining.classify(collection(spark, sf_dir), feature_type=kind))
+
+    query(f"{_bayes_sql(kind)} SELECT label, prediction, count(*) AS n FROM pd GROUP BY label, prediction", f"classify_nb_{kind}")(_bayes)
+
+
+@query(
+    f"""{_bayes_sql('tfidf')}, ac AS (SELECT label AS c, count(*) AS a, count(*) FILTER (label = prediction) AS tp FROM pd GROUP BY label), sa AS (SELECT prediction AS c, count(*) AS p FROM pd GROUP BY prediction)
+        SELECT round(sum(tp)::DOUBLE / sum(a), 4) AS accuracy, round(avg(2.0 * coalesce(tp, 0) / (coalesce(a, 0) + coalesce(p, 0))), 4) AS f1_macro, sum(a)::BIGINT AS n_test FROM ac FULL JOIN sa ON ac.c = sa.c"""
+)
+def classify_quality(spark, sf_dir):  # A9g
+    return mining.quality(mining.confusion(mining.classify(collection(spark, sf_dir))))
+
+
+@query()
+def classify_logreg(spark, sf_dir):  # M3
+    return mining.quality(mining.confusion(mining.classify(collection(spark, sf_dir), model_type="logreg", max_features=1000)))
+
+
+@query()
+def comparative_analysis(spark, sf_dir):  # M5
+    return mining.comparative_analysis(collection(spark, sf_dir))
+
+
+_CONTENT = f"WITH {WEB_TFIDF}, c AS (SELECT b.doc_id, sum(a.weight * b.weight) AS s FROM w a JOIN w b ON a.term = b.term WHERE a.doc_id = 0 AND b.doc_id <> 0 GROUP BY b.doc_id), cr AS (SELECT d.doc_id, round(round(coalesce(c.s, 0), 10), 4) AS similarity_score FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id WHERE d.doc_id <> 0)"
+
+
+@query(f"{_CONTENT} SELECT doc_id, similarity_score FROM cr")
+def content_recs(spark, sf_dir):  # R1: the scores of all documents
+    return recommend.content_based(web_index(spark, sf_dir), 0, None)
+
+
+@query(f"{_CONTENT} SELECT doc_id, similarity_score FROM cr ORDER BY similarity_score DESC, doc_id LIMIT 5")
+def content_top5(spark, sf_dir):  # R1, P12
+    return recommend.content_based(web_index(spark, sf_dir), 0, 5)
+
+
+_RATINGS = "SELECT o_custkey AS user_id, l_partkey AS doc_id, least(5, greatest(1, ceil(sum(l_quantity) / 10)))::INT AS rating FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey"
+
+
+def ratings(spark, sf_dir) -> DataFrame:
+    return recommend.ratings_from_orders(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
+
+
+@query(_RATINGS)
+def rating_table(spark, sf_dir):  # D18, R2
+    return ratings(spark, sf_dir)
+
+
+@query(f"WITH r AS ({_RATINGS}) SELECT count(DISTINCT user_id) AS users, count(DISTINCT doc_id) AS docs, count(*) AS ratings, round(count(*)::DOUBLE / (count(DISTINCT user_id) * count(DISTINCT doc_id)), 6) AS density FROM r")
+def rating_matrix(spark, sf_dir):  # R3
+    return recommend.matrix_shape(ratings(spark, sf_dir))
+
+
+@query(f"SELECT r.user_id, r.doc_id, r.rating, p.p_name AS title FROM ({_RATINGS}) r LEFT JOIN part p ON r.doc_id = p.p_partkey WHERE r.user_id = 1")
+def user_history(spark, sf_dir):  # R6, J2
+    titles = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("title"))
+    return recommend.user_history(ratings(spark, sf_dir), titles, 1).select("user_id", "doc_id", "rating", "title")
+
+
+@query()
+def synthetic_ratings(spark, sf_dir):  # R2, U3
+    return recommend.synthetic_ratings(collection(spark, sf_dir))
+
+
+@query()
+def cf_svd(spark, sf_dir):  # R4
+    return recommend.collaborative(recommend.synthetic_ratings(collection(spark, sf_dir)), "U001")
+
+
+@query()
+def hybrid_recs(spark, sf_dir):  # R5
+    docs = collection(spark, sf_dir)
+    return recommend.hybrid(web_index(spark, sf_dir), recommend.synthetic_ratings(docs), "U001", 0)
+
+
+@query(
+    f"""{_CONTENT}, rt AS (SELECT p_partkey AS doc_id, round(p_retailprice, 3) AS pr FROM part), ra AS (SELECT doc_id FROM ({_RATINGS}) WHERE user_id = 1), cl AS (SELECT min(similarity_score) AS lo, max(similarity_score) AS hi FROM cr), pl AS (SELECT min(pr) AS lo, max(pr) AS hi FROM rt),
+        z AS (SELECT coalesce(cr.doc_id, rt.doc_id) AS doc_id, coalesce((similarity_score - cl.lo) / (cl.hi - cl.lo), 0) AS c, coalesce((pr - pl.lo) / (pl.hi - pl.lo), 0) AS p FROM (cr FULL JOIN rt ON cr.doc_id = rt.doc_id), cl, pl)
+        SELECT doc_id, round(c, 3) AS content_score, round(p, 3) AS collaborative_score, round(0.5 * c + 0.5 * p, 3) AS hybrid_score FROM z WHERE doc_id NOT IN (SELECT doc_id FROM ra) AND doc_id <> 0 ORDER BY hybrid_score DESC, doc_id LIMIT 20"""
+)
+def hybrid_blend(spark, sf_dir):  # R5, J7, F7, with a table of predictions given
+    predicted = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.round("p_retailprice", 3).alias("predicted_rating"))
+    rated = ratings(spark, sf_dir).filter("user_id = 1")
+    return recommend.blend_recommendations(recommend.content_based(web_index(spark, sf_dir), 0, None), predicted, rated, 0, 20)
+
+
+EVALUATED = [("er nd ha", "en"), ("thing oner", "en"), ("mente eau", "fr"), ("un que ment", "fr"), ("sch der", "de")]
+EVALUATED_TERMS = {q: X.query_tokens_web(q) for q, _ in EVALUATED}
+
+
+def _judged_sql() -> str:
+    parts = (f"SELECT '{q}' AS qid, '{c}' AS category, doc_id FROM documents WHERE lang = '{c}' AND (" + " OR ".join(f"contains(lower(coalesce(text, '')), '{t}')" for t in q.split()) + ")" for q, c in EVALUATED)
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) QUALIFY count(*) OVER (PARTITION BY qid) >= 3"
+
+
+@query(_judged_sql())
+def eval_qrels(spark, sf_dir):  # E1, F3, F9, J1
+    return evaluate.judgements(collection(spark, sf_dir), EVALUATED)
+
+
+def _runs_sql(top: int = 50) -> str:
+    return f"WITH {WEB_TFIDF}, {D.scores(EVALUATED_TERMS)}, s2 AS (SELECT qid, doc_id, round(score, 10) AS score FROM s) SELECT 'tfidf' AS method, qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank, doc_id, round(score, 4) AS score FROM s2 WHERE score > 0 QUALIFY rank <= {top}"
+
+
+def _eval_sql(runs: str, k: int = 10) -> str:
+    return f"""rn AS ({runs}), qr AS (SELECT qid, doc_id FROM ({_judged_sql()})), nr AS (SELECT qid, count(*) AS n FROM qr GROUP BY qid),
+        jd AS (SELECT rn.method, rn.qid, rn.rank, (qr.doc_id IS NOT NULL)::INT AS rel FROM rn LEFT JOIN qr ON rn.qid = qr.qid AND rn.doc_id = qr.doc_id),
+        jh AS (SELECT *, sum(rel) OVER (PARTITION BY method, qid ORDER BY rank) AS hits FROM jd),
+        gr AS (SELECT method, qid, count(*) AS n, sum(rel) AS tp, count(*) FILTER (rank <= {k}) AS nk, coalesce(sum(rel) FILTER (rank <= {k}), 0) AS tpk, sum(rel * hits / rank::DOUBLE) AS ap, min(rank) FILTER (rel = 1) AS fr, coalesce(sum(rel / log2(rank + 1)) FILTER (rank <= {k}), 0) AS dcg FROM jh GROUP BY method, qid),
+        ev AS (SELECT mm.method, nr.qid, coalesce(tp::DOUBLE / gr.n, 0) AS p, coalesce(tp::DOUBLE / nr.n, 0) AS r, coalesce(tpk::DOUBLE / nullif(nk, 0), 0) AS pk, coalesce(tpk::DOUBLE / nr.n, 0) AS rk, coalesce(ap / nr.n, 0) AS ap, coalesce(1.0::DOUBLE / fr, 0) AS rr, coalesce(dcg, 0) / (SELECT sum(1 / log2(i + 1)) FROM (SELECT unnest(range(1, least(nr.n, {k}) + 1)) AS i)) AS nd FROM nr CROSS JOIN (SELECT DISTINCT method FROM rn) mm LEFT JOIN gr ON gr.qid = nr.qid AND gr.method = mm.method),
+        er AS (SELECT method, qid, round(p, 4) AS precision, round(r, 4) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1, round(pk, 4) AS precision_at_k, round(rk, 4) AS recall_at_k, round(ap, 4) AS average_precision, round(rr, 4) AS reciprocal_rank, round(nd, 4) AS ndcg_at_k FROM ev)"""
+
+
+_MEANS = ", ".join(f"round(avg({m}), 4) AS {m}" for m in evaluate.METRICS)
+
+
+def base_run(spark, sf_dir, top: int = 50) -> DataFrame:
+    return retrieve.ranked(retrieve.cosine_scores(web_index(spark, sf_dir), EVALUATED_TERMS), top).withColumn("method", F.lit("tfidf"))
+
+
+@query(f"WITH {_eval_sql(_runs_sql())} SELECT * FROM er UNION ALL SELECT method, 'MEAN' AS qid, {_MEANS} FROM er GROUP BY method")
+def evaluate_system(spark, sf_dir):  # E2-E8, W3, A7g, P13
+    return evaluate.with_mean(evaluate.evaluate(base_run(spark, sf_dir), evaluate.judgements(collection(spark, sf_dir), EVALUATED)))
+
+
+_METHODS_SQL = f"""{_LINK_SQL}, b AS ({_runs_sql()}), rl AS (SELECT qid, min(score) AS lo, max(score) AS hi FROM b GROUP BY qid), ll AS (SELECT min(link_score) AS lo, max(link_score) AS hi FROM ls),
+        z AS (SELECT b.qid, b.doc_id, round(0.7 * CASE WHEN rl.hi - rl.lo < 1e-12 THEN 0 ELSE (b.score - rl.lo) / (rl.hi - rl.lo) END + 0.3 * coalesce((ls.link_score - ll.lo) / (ll.hi - ll.lo), 0), 6) AS x FROM b JOIN rl ON b.qid = rl.qid LEFT JOIN ls ON b.doc_id = ls.doc_id, ll)"""
+
+
+@query(
+    f"""WITH {_METHODS_SQL}, {_eval_sql("SELECT method, qid, rank, doc_id FROM b UNION ALL SELECT 'tfidf + pagerank', qid, row_number() OVER (PARTITION BY qid ORDER BY x DESC, doc_id), doc_id FROM z")}
+        SELECT method, {_MEANS} FROM er GROUP BY method"""
+)
+def compare_methods(spark, sf_dir):  # E9, E10
+    base = base_run(spark, sf_dir)
+    again = rank.rerank(base.select("qid", "doc_id", F.col("score").alias("relevance_score")), link_scores(spark, sf_dir), dp=6)
+    runs = base.select("method", "qid", "rank", "doc_id").unionByName(again.select(F.lit("tfidf + pagerank").alias("method"), "qid", F.col("new_rank").alias("rank"), "doc_id"))
+    return evaluate.compare(evaluate.evaluate(runs, evaluate.judgements(collection(spark, sf_dir), EVALUATED)))
