@@ -17,9 +17,9 @@ with 100 * |x & y| >= threshold * |x | y| link. No link between different sets i
    sorted by position, and a probe skips the rest of a block at the first position
    that is too late, or the whole block if its own position is. A list yields pairs of
    leaders, never pairs of one leader's followers: those are linked through it.
-4. Answers. Pairs of leaders are checked by exact overlap. If they link, so do their
-   followers, through them. If not, a follower's answers come from its leader's
-   overlap: |y & z| <= |x & w| + |y - x| + |z - w| for followers y of x and z of w; only
+4. Answers. Pairs of leaders are checked by exact overlap. If they link, or other
+   links connect them, so do they their followers. If not, a follower's answers come
+   from its leader's overlap: |y & z| <= |x & w| + |y - x| + |z - w| for followers y of x and z of w; only
    pairs whose bound allows a link are checked themselves.
 5. Components of all links found.
 
@@ -384,20 +384,25 @@ class JaccardJoin:
         answers = keep(self.check(keep(found, "pairs"), texts), "answers")
 
         direct = self._linked(answers)
-        expanded = self._derived(answers, followers)
+        edges = [x.select(F.col("a").alias("u"), F.col("b").alias("v")) for x in (stars, direct)]
+        sure = keep(edges[0].unionByName(edges[1]), "sure")
+        expanded = self._derived(answers, followers, connected_components(sure, self.scratch))
         derived = keep(self._linked(self.check(expanded, texts)), "derived")
-        edges = [x.select(F.col("a").alias("u"), F.col("b").alias("v")) for x in (stars, direct, derived)]
-        out = keep(edges[0].unionByName(edges[1]).unionByName(edges[2]), "links")
+        out = keep(sure.unionByName(derived.select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
-        self.scratch.drop("texts", "pairs", "answers", "derived", "stars")
+        self.scratch.drop("texts", "pairs", "answers", "derived", "stars", "sure")
         return out
 
-    def _derived(self, answers: DataFrame, followers: DataFrame) -> DataFrame:
+    def _derived(self, answers: DataFrame, followers: DataFrame, components: DataFrame) -> DataFrame:
         """Pairs of sets whose leaders do not link, but whose overlap as bounded from the leaders' might.
 
-        The bound is tried on classes of followers with equal size and difference first."""
+        Leaders that other links connect already need no such pair. The bound is tried on classes of
+        followers with equal size and difference first."""
         t = self.threshold
         no = answers.filter(F.col("overlap") * (100 + t) < t * (F.col("n_a") + F.col("n_b")))
+        for s in ("a", "b"):
+            no = no.join(components.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}")), s, "left")
+        no = no.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
         kinds = followers.groupBy("leader", "n", "outside").agg(F.count(F.lit(1)).alias("_k")).drop("_k")
         sides = []
         for s in ("a", "b"):
