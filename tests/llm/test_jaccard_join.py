@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from textloom.llm.jaccard_join import Shingler, bucket_pairs, jaccard_components, least_overlap, list_pairs, prefix
+from textloom.llm.jaccard_join import Block, Shingler, bucket_pairs, jaccard_components, least_overlap, list_pairs, prefix
 
 SCHEMA = "doc_id long, text string, score int"
 
@@ -107,3 +107,34 @@ def test_shingler_forgets_without_changing_results(monkeypatch):
     s, fresh = Shingler(), Shingler()
     for text in (b"a b c d e f g h", b"x y z", b"a b c d e f g h i"):
         assert (s.elements(text) == fresh.elements(text)).all()
+
+
+def hub_corpus(seed, copies=60):
+    """Copies of one text with so many changes that most link with it alone, and some with nothing."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(vocabulary) for _ in range(150)]
+    texts = [" ".join(base)]
+    for _ in range(copies):
+        own = list(base)
+        for _ in range(rng.randint(1, 9)):
+            own[rng.randrange(len(own))] = rng.choice(vocabulary)
+        texts.append(" ".join(own))
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_hub_of_copies(spark, monkeypatch, seed):
+    monkeypatch.setattr("textloom.llm.jaccard_join.BLOCK", 5)
+    rows = hub_corpus(seed)
+    found = jaccard_components(spark.createDataFrame([(d, t, 0) for d, t in rows], SCHEMA)).collect()
+    assert sorted(map(tuple, found)) == brute(rows)
+
+
+def test_block_overlaps():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, size=rng.integers(1, 50)).astype(np.uint64)) for _ in range(40)]
+    block = Block(list(range(40)), sets)
+    for x in sets[:10]:
+        assert block.overlaps(x).tolist() == [len(np.intersect1d(x, y)) for y in sets]

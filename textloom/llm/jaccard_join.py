@@ -6,10 +6,10 @@ with 100 * |x & y| >= threshold * |x | y| link. No link between different sets i
 1. Sets. One pass makes each set's size, a 128-bit digest and a few min-hash band
    keys. Equal sets become one class, represented by its smallest id; from here on
    there are only representatives, whose texts go into one table bucketed by id.
-2. Leaders. Representatives with a band key in common are each checked against the
-   smallest id of the key's group (a star, not all pairs). A set that links to such a
-   leader follows it, and the exact number of its elements outside the leader is kept.
-   Which sets get a leader only matters for speed.
+2. Leaders. Representatives with a band key in common are each checked against one
+   leader of the key's group, its most typical member (a star, not all pairs). A set
+   that links to its leader follows it, and the exact number of its elements outside
+   the leader is kept. Which sets get which leader only matters for speed.
 3. Index. Every set puts its prefix, rarest elements first, into lists by element:
    (leader, size, position). Two linked sets share an element of their prefixes.
    Lists keep one entry per leader and size, that of the smallest position, as the
@@ -18,14 +18,16 @@ with 100 * |x & y| >= threshold * |x | y| link. No link between different sets i
    that is too late, or the whole block if its own position is. A list yields pairs of
    leaders, never pairs of one leader's followers: those are linked through it.
 4. Answers. Pairs of leaders are checked by exact overlap. If they link, or other
-   links connect them, so do they their followers. If not, a follower's answers come
-   from its leader's overlap: |y & z| <= |x & w| + |y - x| + |z - w| for followers y of x and z of w; only
-   pairs whose bound allows a link are checked themselves.
+   links connect them, that connects their followers too. If not, their followers'
+   answers are derived: |y & z| <= |x & w| + |y - x| + |z - w| for followers y of x and
+   z of w rules most out, and the others visit blocks of the other leader's followers,
+   which are held as differences from what the block shares, so that a set's overlaps
+   with all of a block follow from its overlap with that.
 5. Components of all links found.
 
 "Rarest first" is any fixed order, so an estimate does: elements that repeat within
-an Arrow batch are counted, and the ``HEAVY`` most frequent of them, a fixed number, are
-broadcast and come last. An element in D of the corpus's documents goes unnoticed only
+an Arrow batch are counted, and the most frequent of them, ``HEAVY`` at most, are broadcast
+and come last. An element in D of the corpus's documents goes unnoticed only
 if D is about the square root of the number of batches or less.
 
 Edge cases: null texts and texts without words have empty sets (n_shingles 0) and link
@@ -56,6 +58,8 @@ BANDS, BAND_ROWS = 6, 2
 HEAVY = 500_000
 #: Entries of the index that one bucket should hold.
 BUCKET_ENTRIES = 500_000
+#: Followers of one leader in a block that others visit.
+BLOCK = 1024
 _CACHED_WORDS = 300_000
 _PAIRS = "a long, b long"
 _CHECKED = "a long, b long, n_a long, n_b long, overlap long"
@@ -71,22 +75,22 @@ _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 2**64)) for k in range(64)]
 _ODD = _spread(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
 class Shingler:
     """Sets of n-gram hashes; a word is hashed once as long as it is cached."""
 
     def __init__(self, n: int = WORDS) -> None:
-        self.n, self.words = n, {}
+        self.n, self.words = n, _WordHashes()
 
     def _ids(self, words: list[bytes]) -> np.ndarray:
-        known = self.words
-        if len(known) > _CACHED_WORDS:
-            known.clear()
-        try:
-            return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-        except KeyError:
-            for w in set(words).difference(known):
-                known[w] = xxhash.xxh3_64_intdigest(w)
-            return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+        if len(self.words) > _CACHED_WORDS:
+            self.words.clear()
+        return np.fromiter(map(self.words.__getitem__, words), dtype=np.uint64, count=len(words))
 
     def elements(self, text: bytes | None) -> np.ndarray:
         """Sorted distinct hashes. bytes.lower() and bytes.split() know ASCII only, as the definition of a word does."""
@@ -98,11 +102,14 @@ class Shingler:
         h = np.zeros(len(ids) - n + 1, dtype=np.uint64)
         for k in range(n):
             h += ids[k : len(ids) - n + 1 + k] * _POWERS[k % 64]
-        return np.unique(_spread(h + np.uint64(n)))
+        h = np.sort(_spread(h + np.uint64(n)))
+        fresh = np.ones(len(h), dtype=bool)
+        np.not_equal(h[1:], h[:-1], out=fresh[1:])
+        return h[fresh]
 
 
 def band_keys(elements: np.ndarray) -> list[int]:
-    mins = np.array([(elements * odd).min() for odd in _ODD])
+    mins = (elements[None] * _ODD[:, None]).min(axis=1) if len(elements) < 50_000 else np.array([(elements * odd).min() for odd in _ODD])
     keys = np.zeros(BANDS, dtype=np.uint64)
     for r in range(BAND_ROWS):
         keys = _spread(keys ^ mins[r::BAND_ROWS]) + np.arange(BANDS, dtype=np.uint64)
@@ -305,6 +312,61 @@ def bucket_pairs(e: np.ndarray, leader: np.ndarray, size: np.ndarray, pos: np.nd
     return np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
 
 
+class Block:
+    """Sets held as differences from what most of them share, so that the overlaps of one set with all of
+    them follow from its overlap with that: less what a set lacks of it, plus what a set has besides."""
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray]) -> None:
+        self.ids, self.sizes = np.array(ids, dtype=np.int64), np.array([len(x) for x in sets])
+        values, counts = np.unique(np.concatenate(sets), return_counts=True)
+        self.common = values[2 * counts > len(sets)]
+        self.more = self._lists([np.setdiff1d(x, self.common, assume_unique=True) for x in sets])
+        self.less = self._lists([np.setdiff1d(self.common, x, assume_unique=True) for x in sets])
+
+    @staticmethod
+    def _lists(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        element, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(element, kind="stable")
+        return element[order], owner[order]
+
+    def _hits(self, lists: tuple[np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
+        begin, end = np.searchsorted(lists[0], x, side="left"), np.searchsorted(lists[0], x, side="right")
+        at = np.repeat(begin - np.cumsum(end - begin) + (end - begin), end - begin) + np.arange((end - begin).sum())
+        return np.bincount(lists[1][at], minlength=len(self.ids))
+
+    def overlaps(self, x: np.ndarray) -> np.ndarray:
+        shared = len(np.intersect1d(x, self.common, assume_unique=True))
+        return shared - self._hits(self.less, x) + self._hits(self.more, x)
+
+
+def _visit(n: int, threshold: int):
+    """Rows sorted by (host, block), its sets before the guests: one link at most of each guest with each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(n)
+        now, ids, sets, block = None, [], [], None
+        for batch in batches:
+            links = []
+            for host, number, guest, sid, text in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4).cast(pa.binary()), strict=True):
+                if now != (host, number):
+                    now, ids, sets, block = (host, number), [], [], None
+                x = shingler.elements(text.as_py())
+                if not guest:
+                    ids.append(sid)
+                    sets.append(x)
+                    continue
+                if not ids:
+                    continue
+                block = block or Block(ids, sets)
+                linked = block.overlaps(x) >= least_overlap(len(x), block.sizes, threshold)
+                if linked.any():
+                    links.append((sid, int(block.ids[linked].min())))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
+
+    return run
+
+
 def _probe(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[bytes]] = {}
@@ -359,9 +421,29 @@ class JaccardJoin:
         return checked.filter(F.col("overlap") * (100 + self.threshold) >= self.threshold * (F.col("n_a") + F.col("n_b")))
 
     def _stars(self, classes: DataFrame) -> DataFrame:
+        """Each set with the leaders of its band keys' groups: the member whose keys are the most common, so that a
+        group of near copies of one text is led by that text, or by one that hardly differs from it."""
         keys = classes.select("sid", F.posexplode("bands").alias("band", "key"))
-        heads = keys.groupBy("band", "key").agg(F.min("sid").alias("b"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
-        return keys.join(heads, ["band", "key"]).filter("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
+        groups = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+        shared = self.scratch.keep(keys.join(groups, ["band", "key"]), "keys")
+        common = shared.groupBy("sid").agg(F.sum("k").alias("common"))
+        heads = shared.join(common, "sid").groupBy("band", "key").agg(F.max(F.struct("common", (-F.col("sid")).alias("s"))).alias("m"))
+        return shared.join(heads, ["band", "key"]).select(F.col("sid").alias("a"), (-F.col("m.s")).alias("b")).filter("a <> b").distinct()
+
+    def _frequent(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted frequent elements and their counts: all above the least power of two that at most HEAVY exceed."""
+        counted = self.frequent.groupBy("element").agg(F.sum("times").alias("times"))
+        level = F.floor(F.log2("times")).cast("int")
+        levels = sorted(map(tuple, counted.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)  # 64 at most
+        least, taken = 64, 0
+        for at, k in levels:
+            if taken + k > HEAVY:
+                break
+            least, taken = at, taken + k
+        top = counted.filter(level >= least).toPandas()
+        values = top["element"].to_numpy(dtype=np.int64).astype(np.uint64)
+        order = np.argsort(values)
+        return values[order], top["times"].to_numpy(dtype=np.int64)[order].astype(np.int32)
 
     def links(self) -> DataFrame:
         """u, v: links between representatives, enough to connect what links connect."""
@@ -372,10 +454,7 @@ class JaccardJoin:
         followers = stars.groupBy(F.col("a").alias("sid")).agg(F.min(F.struct("b", F.col("n_a").alias("n"), (F.col("n_a") - F.col("overlap")).alias("outside"))).alias("x"))
         followers = keep(followers.select("sid", F.col("x.b").alias("leader"), "x.n", "x.outside"), "followers")
 
-        top = self.frequent.groupBy("element").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "element").limit(HEAVY).toPandas()
-        values = top["element"].to_numpy(dtype=np.int64).astype(np.uint64)
-        order = np.argsort(values)
-        heavy = self.spark.sparkContext.broadcast((values[order], top["times"].to_numpy(dtype=np.int64)[order].astype(np.int32)))
+        heavy = self.spark.sparkContext.broadcast(self._frequent())
         total = classes.agg(F.sum("n")).first()[0] or 0
         buckets = max(4 * self.partitions, total * (100 - self.threshold) // 100 // BUCKET_ENTRIES)
         led = texts.join(followers.select("sid", "leader").hint("shuffle_hash"), "sid", "left").select(F.coalesce("leader", "sid").alias("leader"), "text")
@@ -386,36 +465,44 @@ class JaccardJoin:
         direct = self._linked(answers)
         edges = [x.select(F.col("a").alias("u"), F.col("b").alias("v")) for x in (stars, direct)]
         sure = keep(edges[0].unionByName(edges[1]), "sure")
-        expanded = self._derived(answers, followers, connected_components(sure, self.scratch))
-        derived = keep(self._linked(self.check(expanded, texts)), "derived")
+        derived = keep(self._derived(answers, followers, connected_components(sure, self.scratch), texts), "derived")
         out = keep(sure.unionByName(derived.select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
         self.scratch.drop("texts", "pairs", "answers", "derived", "stars", "sure")
         return out
 
-    def _derived(self, answers: DataFrame, followers: DataFrame, components: DataFrame) -> DataFrame:
-        """Pairs of sets whose leaders do not link, but whose overlap as bounded from the leaders' might.
+    def _derived(self, answers: DataFrame, followers: DataFrame, components: DataFrame, texts: DataFrame) -> DataFrame:
+        """a, b: links between sets whose leaders do not link, and are not connected otherwise either.
 
-        Leaders that other links connect already need no such pair. The bound is tried on classes of
-        followers with equal size and difference first."""
+        Of two leaders, the one with more followers is the host: they and it are dealt to blocks. The other and its
+        followers visit every block of the host, unless the bound from the leaders' overlap, the followers' most
+        elements outside of their leader and their least size rules out a link."""
         t = self.threshold
         no = answers.filter(F.col("overlap") * (100 + t) < t * (F.col("n_a") + F.col("n_b")))
+        led = followers.groupBy("leader").agg(F.count(F.lit(1)).alias("k"), F.max("outside").alias("out"), F.min("n").alias("least"))
         for s in ("a", "b"):
             no = no.join(components.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}")), s, "left")
-        no = no.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
-        kinds = followers.groupBy("leader", "n", "outside").agg(F.count(F.lit(1)).alias("_k")).drop("_k")
-        sides = []
-        for s in ("a", "b"):
-            own = no.select(F.col(s).alias("leader"), F.col(f"n_{s}").alias("n"), F.lit(0).cast("long").alias("outside")).distinct()
-            sides.append(kinds.unionByName(own).select(F.col("leader").alias(s), F.col("n").alias(f"m_{s}"), F.col("outside").alias(f"o_{s}")))
-        bound = F.least(F.col("overlap") + F.col("o_a") + F.col("o_b"), F.col("m_a"), F.col("m_b"))
-        fit = no.join(sides[0], "a").join(sides[1], "b").filter(bound * (100 + t) >= t * (F.col("m_a") + F.col("m_b")))
-        members = followers.select("leader", "sid", "n", "outside")
-        for s in ("a", "b"):
-            leaders = no.select(F.col(s).alias("leader"), F.col(s).alias("sid"), F.col(f"n_{s}").alias("n"), F.lit(0).cast("long").alias("outside")).distinct()
-            side = members.unionByName(leaders).select(F.col("leader").alias(s), F.col("sid").alias(f"s_{s}"), F.col("n").alias(f"m_{s}"), F.col("outside").alias(f"o_{s}"))
-            fit = fit.join(side, [s, f"m_{s}", f"o_{s}"])
-        return fit.filter("s_a <> a OR s_b <> b").select(F.col("s_a").alias("a"), F.col("s_b").alias("b")).filter("a <> b").distinct()
+            no = no.join(led.select(F.col("leader").alias(s), F.col("k").alias(f"k_{s}"), F.col("out").alias(f"out_{s}"), F.col("least").alias(f"least_{s}")), s, "left")
+        no = no.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).na.fill(0, ["k_a", "k_b", "out_a", "out_b"]).filter("k_a + k_b > 0")
+        first = F.col("k_a") >= F.col("k_b")
+
+        def of(name: str, host: bool):
+            return F.when(first, F.col(f"{name}_{'a' if host else 'b'}")).otherwise(F.col(f"{name}_{'b' if host else 'a'}"))
+
+        calls = no.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("host"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("guest"), of("n", False).alias("n_guest"), of("k", True).alias("k"), of("out", True).alias("out"), F.least(of("n", True), of("least", True)).alias("least"), "overlap")
+        alone = calls.select("host", F.col("guest").alias("sid"), F.col("n_guest").alias("n"), F.lit(0).cast("long").alias("outside"), "k", "out", "least", "overlap")
+        company = calls.join(followers.select(F.col("leader").alias("guest"), "sid", "n", "outside"), "guest").select(*alone.columns)
+        bound = F.least(F.col("overlap") + F.col("outside") + F.col("out"), F.col("n"))
+        guests = alone.unionByName(company).filter(bound * (100 + t) >= t * (F.col("n") + F.col("least")))
+        guests = self.scratch.keep(guests.groupBy("host", "sid").agg(F.max("k").alias("k")), "guests")
+        hosts = guests.groupBy("host").agg(F.max("k").alias("k"))
+        blocks = (F.col("k") / BLOCK).cast("int") + 1
+        hosted = hosts.join(followers.select(F.col("leader").alias("host"), "sid"), "host").unionByName(hosts.select("host", "k", F.col("host").alias("sid")))
+        hosted = hosted.select("host", F.pmod(F.xxhash64("sid"), blocks.cast("long")).cast("int").alias("block"), F.lit(0).alias("guest"), "sid")
+        visits = guests.select("host", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("guest"), "sid")
+        rows = hosted.unionByName(visits).hint("shuffle_hash").join(texts, "sid").select("host", "block", "guest", "sid", "text")
+        dealt = rows.repartition(self.partitions, "host", "block").sortWithinPartitions("host", "block", "guest")
+        return map_arrow(dealt, _visit(self.words, t), _PAIRS)
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
