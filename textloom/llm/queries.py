@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import language_id, packing, toxicity
+from textloom.llm import importance, language_id, packing, piece_sampling, toxicity
 from textloom.llm.common import table
 from textloom.llm.exact_dedup import exact_dedup
 from textloom.llm.jaccard_join import jaccard_components
@@ -21,6 +21,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"), rule="common", min_docs=10, min_chars=1)
 
 
+def op2_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return importance.resample(docs, importance.good_ids(table(spark, sf_dir, "labels")))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(in_fold("doc_id", 4, 2), F.lit(False))
@@ -36,6 +41,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=("doc_id",)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op5_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.encode(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = archive_round_trip(table(spark, sf_dir, "pages"), min_dedup_bytes=0)
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -59,8 +68,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_importance": op2_importance,
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
+    "op5_piece_sampling": op5_piece_sampling,
     "op6_warc": op6_warc,
     "op7_nn_descent": op7_nn_descent,
     "op8_packing": op8_packing,
