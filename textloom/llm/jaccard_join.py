@@ -480,9 +480,9 @@ class JaccardJoin:
         t = self.threshold
         no = answers.filter(F.col("overlap") * (100 + t) < t * (F.col("n_a") + F.col("n_b")))
         led = followers.groupBy("leader").agg(F.count(F.lit(1)).alias("k"), F.max("outside").alias("out"), F.min("n").alias("least"))
+        known = components.select("node", "component").join(led.withColumnRenamed("leader", "node"), "node", "full")
         for s in ("a", "b"):
-            no = no.join(components.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}")), s, "left")
-            no = no.join(led.select(F.col("leader").alias(s), F.col("k").alias(f"k_{s}"), F.col("out").alias(f"out_{s}"), F.col("least").alias(f"least_{s}")), s, "left")
+            no = no.join(known.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}"), F.col("k").alias(f"k_{s}"), F.col("out").alias(f"out_{s}"), F.col("least").alias(f"least_{s}")), s, "left")
         no = no.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).na.fill(0, ["k_a", "k_b", "out_a", "out_b"]).filter("k_a + k_b > 0")
         first = F.col("k_a") >= F.col("k_b")
 
@@ -490,6 +490,7 @@ class JaccardJoin:
             return F.when(first, F.col(f"{name}_{'a' if host else 'b'}")).otherwise(F.col(f"{name}_{'b' if host else 'a'}"))
 
         calls = no.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("host"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("guest"), of("n", False).alias("n_guest"), of("k", True).alias("k"), of("out", True).alias("out"), F.least(of("n", True), of("least", True)).alias("least"), "overlap")
+        calls = self.scratch.keep(calls, "calls")
         alone = calls.select("host", F.col("guest").alias("sid"), F.col("n_guest").alias("n"), F.lit(0).cast("long").alias("outside"), "k", "out", "least", "overlap")
         company = calls.join(followers.select(F.col("leader").alias("guest"), "sid", "n", "outside"), "guest").select(*alone.columns)
         bound = F.least(F.col("overlap") + F.col("outside") + F.col("out"), F.col("n"))
