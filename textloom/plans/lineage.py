@@ -2,14 +2,38 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder is made only where the session names none, as in tests."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="textloom-")
+        context.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended
+        pass
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df.checkpoint() into spark.checkpoint.dir; a folder is made only where the session names none, as in tests."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="textloom-"))
-    return df.checkpoint()
+    """df as a table written to the shared folder.
+
+    Unlike a checkpointed plan, it is planned by its true size: the estimates of plans that
+    join with themselves round after round would grow without end."""
+    spark = df.sparkSession
+    path = f"{_shared_dir(spark)}/textloom/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
