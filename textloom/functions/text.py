@@ -142,9 +142,13 @@ def joined(tokens: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int = 2) -> Column:
-    """Empty if there are fewer than n tokens."""
-    spans = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
-    return F.when(F.size(tokens) >= n, spans).otherwise(F.array().cast("array<string>"))
+    """Empty if there are fewer than n tokens. Shifted arrays are zipped; a lambda over positions would
+    evaluate the tokens again for each of them. Give tokens as a column of their own where they are costly."""
+    size = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    out = F.slice(tokens, F.lit(1), size)
+    for k in range(2, n + 1):
+        out = F.zip_with(out, F.slice(tokens, F.lit(k), size), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
 
 
 def snippet(text: Column, query: str, width: int = 260) -> Column:

@@ -31,7 +31,8 @@ def positional(rows: DataFrame) -> DataFrame:
 
 def biwords(docs: DataFrame, tokens: Column, id_col: str = "doc_id") -> DataFrame:
     """Biword, doc_id, distinct. Neighbours are taken within the token array, so no window is needed."""
-    return docs.select(F.explode(F.array_distinct(X.ngrams(tokens, 2))).alias("biword"), F.col(id_col).alias("doc_id"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), tokens.alias("_w"))
+    return rows.select(F.explode(F.array_distinct(X.ngrams(F.col("_w"), 2))).alias("biword"), "doc_id")
 
 
 def vocabulary(posted: DataFrame) -> DataFrame:

@@ -76,7 +76,12 @@ _token_query("preprocess_lab_lemma", lambda: X.preprocess_lab(TEXT("text")), D.l
 _token_query("preprocess_lab_stem", lambda: X.preprocess_lab(TEXT("text"), normalization="stemming"), D.lab("text", "stemming"))
 for how in ("none", "stem", "lemma"):  # T11, T12
     _token_query(f"preprocess_web_{how}", lambda how=how: X.preprocess_web(TEXT("text"), True, how), D.web("text", how))
-_token_query("bigrams", lambda: X.ngrams(X.preprocess_web(TEXT("text")), 2), D.ngrams(f"({D.web('text')})", 2))  # T13
+
+
+@query(f"SELECT doc_id, len(g)::BIGINT AS n, md5(array_to_string(g, ' ')) AS tokens_md5 FROM (SELECT doc_id, {D.ngrams('t', 2)} AS g FROM (SELECT doc_id, {D.web('text')} AS t FROM documents))")
+def bigrams(spark, sf_dir):  # T13
+    tokens = documents(spark, sf_dir).select("doc_id", X.preprocess_web(F.col("text")).alias("t"))
+    return tokens.select("doc_id", X.ngrams(F.col("t"), 2).alias("g")).select("doc_id", *listed(F.col("g")))
 
 
 @query(f"SELECT doc_id, md5({D.clean('text')}) AS clean_md5 FROM documents")
