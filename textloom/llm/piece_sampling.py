@@ -41,7 +41,7 @@ UNIT = 32
 TEMPERATURE = 1.0
 SEED = 5
 _UNITS = re.compile(r" ?[^\W\d_]{1,%d}| ?\d{1,%d}|." % (UNIT - 1, UNIT - 1), re.DOTALL)
-_HELD_UNITS = 250_000
+_HELD_UNITS = 500_000
 _RARE = 1e-6
 
 
@@ -87,6 +87,8 @@ class PieceModel:
         order = np.argsort(keys)
         order = order[lengths[order] <= UNIT]
         self.keys, self.ids = keys[order], np.array(ids, dtype=np.int64)[order]
+        self.maybe = np.zeros(1 << 20, dtype=bool)  # by a key's upper bits; most spans are no pieces
+        self.maybe[self.keys >> np.uint64(44)] = True
         if len(np.unique(self.keys)) < len(self.keys):
             raise ValueError("two pieces share a key")
         self.weights = (order + 2.0) ** (-1 / temperature)  # pieces come by rank
@@ -111,16 +113,16 @@ class Sampler:
     def clear(self) -> None:
         self.last: dict[str, int] = {}
         self.nodes, self.filled = 0, 0
-        self.arrays = [np.zeros(1 << 16), np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)]
+        self.shares, self.pieces, self.before = np.zeros(1 << 16), np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 16, dtype=np.int32)
+        self.first = np.zeros(1 << 16, dtype=np.int32)  # of each node, its first edge
 
-    def _append(self, *columns: np.ndarray) -> None:
+    def _append(self, name: str, at: int, own: np.ndarray) -> None:
         """The arrays double when they are full."""
-        new = self.filled + len(columns[0])
-        while new > len(self.arrays[0]):
-            self.arrays = [np.concatenate([a, np.zeros_like(a)]) for a in self.arrays]
-        for array, own in zip(self.arrays, columns, strict=True):
-            array[self.filled : new] = own
-        self.filled = new
+        array = getattr(self, name)
+        while at + len(own) > len(array):
+            array = np.concatenate([array, np.zeros_like(array)])
+        array[at : at + len(own)] = own
+        setattr(self, name, array)
 
     def _add(self, units: list[str]) -> None:
         """Forward pass of new units. A unit of n characters has n + 1 nodes in a row, one before each character and one
@@ -135,14 +137,18 @@ class Sampler:
         left = lengths[unit] - place
         start, end, piece, weight = [], [], [], []
         codes = _spread(points.astype(np.uint64) + np.uint64(1))
-        h = np.zeros(len(codes), dtype=np.uint64)
+        at, h = np.arange(len(codes)), np.zeros(len(codes), dtype=np.uint64)
         for n in range(1, min(model.longest, int(lengths.max())) + 1):
-            h[: len(h) - n + 1] = h[: len(h) - n + 1] * _BASE + codes[n - 1 :]
-            at = np.flatnonzero(left >= n)
-            keys = _spread(h[at] + np.uint64(n))
-            hit = np.searchsorted(model.keys, keys)
+            if n > 1:
+                long = left[at] >= n
+                at, h = at[long], h[long]
+            h = h * _BASE + codes[at + (n - 1)]
+            keys = _spread(h + np.uint64(n))
+            found = model.maybe[keys >> np.uint64(44)]
+            hit = np.zeros(len(keys), dtype=np.int64)
+            hit[found] = np.searchsorted(model.keys, keys[found])
             hit[hit == len(model.keys)] = 0
-            found = model.keys[hit] == keys
+            found &= model.keys[hit] == keys
             node = first[unit[at]] + place[at]
             if n == 1:
                 start.append(node)
@@ -167,13 +173,19 @@ class Sampler:
             own = by_depth[a:b]
             np.add.at(forward, end[own], forward[start[own]] * weight[own])
         share = forward[start] * weight / forward[end]
+        order = np.lexsort((-share, end))
+        start, end, piece, share = start[order], end[order], piece[order], share[order]
         last = np.r_[end[1:] != end[:-1], True]
         run = np.cumsum(share)
         begin = np.r_[0.0, run[last][:-1]]
         run = np.minimum(run - np.repeat(begin, np.diff(np.r_[-1, np.flatnonzero(last)])), 1.0)
         run[last] = 1.0
-        nodes = self.nodes
-        self._append(nodes + end + run, piece, np.where(start == base[start], -1, nodes + start))
+        nodes, filled = self.nodes, self.filled
+        self._append("shares", filled, run)
+        self._append("pieces", filled, piece)
+        self._append("before", filled, np.where(start == base[start], -1, nodes + start))
+        self._append("first", nodes, filled + np.searchsorted(end, np.arange(total)))
+        self.filled += len(run)
         self.last.update(zip(units, (nodes + first + lengths).tolist(), strict=True))
         self.nodes += total
 
@@ -188,14 +200,18 @@ class Sampler:
         find = self.last.__getitem__
         counts = [len(own) for own in units]
         starts = [np.fromiter(map(find, own), dtype=np.int64, count=len(own)) for own in units]
-        shares, pieces, before = (a[: self.filled] for a in self.arrays)
+        shares, pieces, before, first = self.shares, self.pieces, self.before, self.first
         node = np.concatenate([*starts, np.zeros(0, np.int64)])
         place = np.concatenate([*(np.arange(n) for n in counts), np.zeros(0, np.int64)])
         stream = _spread(np.repeat(_spread(keys.astype(np.int64).view(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)), counts) + place.astype(np.uint64) * np.uint64(64))
         unit, step, drawn, units = np.arange(len(node)), 0, [], []
         while len(unit):
             u = (_spread(stream[unit] + np.uint64(step)) >> np.uint64(24)).astype(np.float64) / 2.0**40
-            edge = np.searchsorted(shares, node + u, side="right")
+            edge = first[node]
+            wrong = np.flatnonzero(shares[edge] <= u)
+            while len(wrong):
+                edge[wrong] += 1
+                wrong = wrong[shares[edge[wrong]] <= u[wrong]]
             drawn.append(pieces[edge])
             units.append(unit)
             node = before[edge]
@@ -205,9 +221,11 @@ class Sampler:
             return [np.zeros(0, np.int64) for _ in texts]
         steps = np.repeat(np.arange(len(drawn)), [len(x) for x in drawn])
         drawn, units = np.concatenate(drawn), np.concatenate(units)
-        order = np.lexsort((-steps, units))  # edges were drawn from the end
-        drawn, units = drawn[order], units[order]
-        text_of = np.repeat(np.arange(len(texts)), counts)[units]
+        of_unit = np.bincount(units, minlength=len(stream))
+        place = np.cumsum(of_unit)[units] - 1 - steps  # edges were drawn from the end
+        ordered = np.empty(len(drawn), dtype=np.int64)
+        ordered[place] = drawn
+        drawn, text_of = ordered, np.repeat(np.repeat(np.arange(len(texts)), counts), of_unit)
         if (drawn < 0).any():
             drawn, text_of = self._bytes(drawn, text_of)
         return np.split(drawn, np.searchsorted(text_of, np.arange(1, len(texts))))
