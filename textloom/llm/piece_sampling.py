@@ -1,16 +1,16 @@
 """SentencePiece encoding by forward-filtering backward-sampling, and decoding.
 
-A text is cut into units: a run of letters or of digits with the space before it, or a single
-other character; runs of more than ``UNIT`` characters are cut again. A unit's lattice has an edge for every
+A text is cut into units where its two neighbouring characters are side by side in no piece, so that no piece
+can span a cut and the lattice of the text is that of its units in a row. The lattice has an edge for every
 piece of the vocabulary that matches, and for characters without a piece an edge of the
 pieces of their UTF-8 bytes. A piece of rank r has weight (r + 2) ** (-1 / temperature), as BPE
-models give ranks only. The forward pass sums the weights of all paths to each position;
+models give ranks only. The forward pass sums the weights of all paths to each position, as logarithms, as a unit may have any length;
 sampling goes backwards, taking each edge with its share of the sum at its end, so that a
 segmentation comes with exactly its share of all.
 
 A worker runs the forward pass once per distinct unit it holds, for all new units of a batch
 together, and lays the shares of all its units end to end, so that one binary search draws one edge for every open unit of a
-batch. Draws come from a hash of (row key, seed, place in the text, step), so a row's
+batch. Draws come from a hash of (row key, seed, position in the text), so a row's
 segmentation does not depend on partitions, batches or other rows.
 
 Decoding joins the pieces' bytes and is lossless for every text: spaces are the piece
@@ -23,7 +23,6 @@ Edge cases: null and empty texts have no pieces and decode to the empty text; a
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,11 +36,10 @@ from textloom.llm.common import map_arrow
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-UNIT = 32
 TEMPERATURE = 1.0
 SEED = 5
-_UNITS = re.compile(r" ?[^\W\d_]{1,%d}| ?\d{1,%d}|." % (UNIT - 1, UNIT - 1), re.DOTALL)
 _HELD_UNITS = 500_000
+_HELD_EDGES = 12_000_000
 _RARE = 1e-6
 
 
@@ -77,15 +75,16 @@ class PieceModel:
                 self.bytes_of[i] = pieces[-1].encode()
         if min(self.byte_ids) < 0:
             raise ValueError("the model has no byte pieces")
-        self.longest = min(UNIT, max(map(len, pieces)))
+        self.longest = max(map(len, pieces))
         keys = np.zeros(len(pieces), dtype=np.uint64)
         lengths = np.array([len(p) for p in pieces])
-        for n in np.unique(lengths[lengths <= UNIT]).tolist():
+        self.joined = np.zeros(1 << 22, dtype=bool)  # by a pair of characters; two pairs in one place only leave a cut out
+        for n in np.unique(lengths).tolist():
             at = np.flatnonzero(lengths == n)
             points = np.frombuffer("".join(pieces[k] for k in at).encode("utf-32-le"), dtype=np.uint32)
             keys[at] = span_keys(points, n)[::n]
+            self.joined[_pairs(points)[np.arange(1, len(points)) % n > 0]] = True
         order = np.argsort(keys)
-        order = order[lengths[order] <= UNIT]
         self.keys, self.ids = keys[order], np.array(ids, dtype=np.int64)[order]
         self.maybe = np.zeros(1 << 20, dtype=bool)  # by a key's upper bits; most spans are no pieces
         self.maybe[self.keys >> np.uint64(44)] = True
@@ -94,6 +93,12 @@ class PieceModel:
         self.weights = (order + 2.0) ** (-1 / temperature)  # pieces come by rank
 
 
+def _pairs(points: np.ndarray) -> np.ndarray:
+    """The place in ``joined`` of each character and the next one."""
+    codes = points.astype(np.uint64)
+    return ((codes[:-1] << np.uint64(21) | codes[1:]) * _BASE) >> np.uint64(42)
+
+
 def span_keys(points: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit key of the n code points from each position on (garbage where there are fewer)."""
     codes = _spread(points.astype(np.uint64) + np.uint64(1))
@@ -163,16 +168,18 @@ class Sampler:
         order = np.argsort(end, kind="stable")
         start, end, piece, weight = start[order], end[order], piece[order], weight[order]
         total = int((lengths + 1).sum())
-        forward = np.zeros(total)
-        forward[first] = 1.0
+        forward, weight = np.zeros(total), np.log(weight)
         base = np.repeat(first, lengths + 1)  # of each node
         depth = end - base[end]
         by_depth = np.argsort(depth, kind="stable")
         cuts = np.searchsorted(depth[by_depth], np.arange(1, int(lengths.max()) + 2))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            own = by_depth[a:b]
-            np.add.at(forward, end[own], forward[start[own]] * weight[own])
-        share = forward[start] * weight / forward[end]
+            own = by_depth[a:b]  # in the order of their ends
+            at, paths = end[own], forward[start[own]] + weight[own]
+            begin = np.r_[0, np.flatnonzero(at[1:] != at[:-1]) + 1]
+            most = np.maximum.reduceat(paths, begin)
+            forward[at[begin]] = most + np.log(np.add.reduceat(np.exp(paths - np.repeat(most, np.diff(np.r_[begin, len(at)]))), begin))
+        share = np.exp(forward[start] + weight - forward[end])
         order = np.lexsort((-share, end))
         start, end, piece, share = start[order], end[order], piece[order], share[order]
         last = np.r_[end[1:] != end[:-1], True]
@@ -189,24 +196,34 @@ class Sampler:
         self.last.update(zip(units, (nodes + first + lengths).tolist(), strict=True))
         self.nodes += total
 
+    def _units(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The units of all texts, each one's text, and its end in it."""
+        whole, ends = "".join(texts), np.cumsum([len(t) for t in texts])
+        points = np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32)
+        if not len(points):
+            return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        cut = np.r_[~self.model.joined[_pairs(points)], True]
+        cut[ends[ends > 0] - 1] = True
+        last = np.flatnonzero(cut) + 1
+        begin = np.r_[0, last[:-1]]
+        text = np.searchsorted(ends, begin, side="right")
+        return [whole[a:b] for a, b in zip(begin.tolist(), last.tolist(), strict=True)], text, last - np.r_[0, ends[:-1]][text]
+
     def sample(self, texts: list[str], keys: np.ndarray, seed: int) -> list[np.ndarray]:
         """The piece ids of each text."""
-        if len(self.last) > _HELD_UNITS:
+        if len(self.last) > _HELD_UNITS or self.filled > _HELD_EDGES:
             self.clear()
-        units = [_UNITS.findall(text) for text in texts]
-        new = list({u: None for own in units for u in own if u not in self.last})
+        units, text_of, place = self._units(texts)
+        new = list({u: None for u in units if u not in self.last})
         if new:
             self._add(new)
-        find = self.last.__getitem__
-        counts = [len(own) for own in units]
-        starts = [np.fromiter(map(find, own), dtype=np.int64, count=len(own)) for own in units]
         shares, pieces, before, first = self.shares, self.pieces, self.before, self.first
-        node = np.concatenate([*starts, np.zeros(0, np.int64)])
-        place = np.concatenate([*(np.arange(n) for n in counts), np.zeros(0, np.int64)])
-        stream = _spread(np.repeat(_spread(keys.astype(np.int64).view(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)), counts) + place.astype(np.uint64) * np.uint64(64))
-        unit, step, drawn, units = np.arange(len(node)), 0, [], []
+        node = np.fromiter(map(self.last.__getitem__, units), dtype=np.int64, count=len(units))
+        # a unit's nodes lie in a row, so that a stream and a node give the position in the text
+        stream = _spread(keys.astype(np.int64).view(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64))[text_of] + (place - node).astype(np.uint64)
+        unit, drawn, units = np.arange(len(node)), [], []
         while len(unit):
-            u = (_spread(stream[unit] + np.uint64(step)) >> np.uint64(24)).astype(np.float64) / 2.0**40
+            u = (_spread(stream[unit] + node.astype(np.uint64)) >> np.uint64(24)).astype(np.float64) / 2.0**40
             edge = first[node]
             wrong = np.flatnonzero(shares[edge] <= u)
             while len(wrong):
@@ -216,7 +233,6 @@ class Sampler:
             units.append(unit)
             node = before[edge]
             unit, node = unit[node >= 0], node[node >= 0]
-            step += 1
         if not drawn:
             return [np.zeros(0, np.int64) for _ in texts]
         steps = np.repeat(np.arange(len(drawn)), [len(x) for x in drawn])
@@ -225,7 +241,7 @@ class Sampler:
         place = np.cumsum(of_unit)[units] - 1 - steps  # edges were drawn from the end
         ordered = np.empty(len(drawn), dtype=np.int64)
         ordered[place] = drawn
-        drawn, text_of = ordered, np.repeat(np.repeat(np.arange(len(texts)), counts), of_unit)
+        drawn, text_of = ordered, np.repeat(text_of, of_unit)
         if (drawn < 0).any():
             drawn, text_of = self._bytes(drawn, text_of)
         return np.split(drawn, np.searchsorted(text_of, np.arange(1, len(texts))))
