@@ -8,6 +8,7 @@ of their text, which compares them whole.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -840,7 +841,7 @@ def base_run(spark, sf_dir, top: int = 50) -> DataFrame:
 
 
 @query(f"WITH {_eval_sql(_runs_sql())} SELECT * FROM er UNION ALL SELECT method, 'MEAN' AS qid, {_MEANS} FROM er GROUP BY method")
-def evaluate_system(spark, sf_dir):  # E2-E8, W3, A7g, P13
+def evaluate_system(spark, sf_dir):  # E2-E8, W3, A7g
     return evaluate.with_mean(evaluate.evaluate(base_run(spark, sf_dir), evaluate.judgements(collection(spark, sf_dir), EVALUATED)))
 
 
@@ -852,8 +853,40 @@ _METHODS_SQL = f"""{_LINK_SQL}, b AS ({_runs_sql()}), rl AS (SELECT qid, min(sco
     f"""WITH {_METHODS_SQL}, {_eval_sql("SELECT method, qid, rank, doc_id FROM b UNION ALL SELECT 'tfidf + pagerank', qid, row_number() OVER (PARTITION BY qid ORDER BY x DESC, doc_id), doc_id FROM z")}
         SELECT method, {_MEANS} FROM er GROUP BY method"""
 )
-def compare_methods(spark, sf_dir):  # E9, E10
+def compare_methods(spark, sf_dir):  # E9, for two methods; compare_link_methods has all three
     base = base_run(spark, sf_dir)
-    again = rank.rerank(base.select("qid", "doc_id", F.col("score").alias("relevance_score")), link_scores(spark, sf_dir), dp=6)
-    runs = base.select("method", "qid", "rank", "doc_id").unionByName(again.select(F.lit("tfidf + pagerank").alias("method"), "qid", F.col("new_rank").alias("rank"), "doc_id"))
+    return evaluate.compare(evaluate.evaluate(_runs(base, _reranked(base, link_scores(spark, sf_dir), "tfidf + pagerank")), evaluate.judgements(collection(spark, sf_dir), EVALUATED)))
+
+
+def _reranked(base: DataFrame, link: DataFrame, method: str) -> DataFrame:
+    again = rank.rerank(base.select("qid", "doc_id", F.col("score").alias("relevance_score")), link, dp=6)
+    return again.select(F.lit(method).alias("method"), "qid", F.col("new_rank").alias("rank"), "doc_id")
+
+
+def _runs(base: DataFrame, *others: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, others, base.select("method", "qid", "rank", "doc_id"))
+
+
+def authority_scores(spark, sf_dir) -> DataFrame:
+    return link_scores(spark, sf_dir, hits_10(spark, sf_dir).select("node", F.col("authority").alias("score")))
+
+
+_PAGERANK_RUN = "SELECT 'tfidf + pagerank' AS method, qid, row_number() OVER (PARTITION BY qid ORDER BY x DESC, doc_id) AS rank, doc_id FROM z"
+_HITS_CTES = f"""{_METHODS_SQL}, hi AS ({_hits_sql(PAGERANK_ROUNDS)}), la AS (SELECT pg.doc_id, sum(hi.authority) AS link_score FROM pg JOIN hi ON pg.url = hi.node GROUP BY pg.doc_id), lh AS (SELECT min(link_score) AS lo, max(link_score) AS hi FROM la),
+        zh AS (SELECT b.qid, b.doc_id, round(0.7 * CASE WHEN rl.hi - rl.lo < 1e-12 THEN 0 ELSE (b.score - rl.lo) / (rl.hi - rl.lo) END + 0.3 * coalesce((la.link_score - lh.lo) / (lh.hi - lh.lo), 0), 6) AS x FROM b JOIN rl ON b.qid = rl.qid LEFT JOIN la ON b.doc_id = la.doc_id, lh)"""
+
+
+@query(
+    f"""WITH {_HITS_CTES}, {_eval_sql(f"SELECT method, qid, rank, doc_id FROM b UNION ALL {_PAGERANK_RUN} UNION ALL SELECT 'tfidf + hits', qid, row_number() OVER (PARTITION BY qid ORDER BY x DESC, doc_id), doc_id FROM zh")}
+        SELECT method, {_MEANS} FROM er GROUP BY method"""
+)
+def compare_link_methods(spark, sf_dir):  # E9, E10
+    base = base_run(spark, sf_dir)
+    runs = _runs(base, _reranked(base, link_scores(spark, sf_dir), "tfidf + pagerank"), _reranked(base, authority_scores(spark, sf_dir), "tfidf + hits"))
     return evaluate.compare(evaluate.evaluate(runs, evaluate.judgements(collection(spark, sf_dir), EVALUATED)))
+
+
+@query(f"WITH {_METHODS_SQL}, {_eval_sql(_PAGERANK_RUN)} SELECT * FROM er UNION ALL SELECT method, 'MEAN' AS qid, {_MEANS} FROM er GROUP BY method")
+def evaluate_pagerank(spark, sf_dir):  # P13
+    again = _reranked(base_run(spark, sf_dir), link_scores(spark, sf_dir), "tfidf + pagerank")
+    return evaluate.with_mean(evaluate.evaluate(again, evaluate.judgements(collection(spark, sf_dir), EVALUATED)))
