@@ -735,7 +735,7 @@ def classify_quality(spark, sf_dir):  # A9g
 
 @query()
 def classify_logreg(spark, sf_dir):  # M3
-    return mining.quality(mining.confusion(mining.classify(collection(spark, sf_dir), model_type="logreg", max_features=1000)))
+    return mining.quality(mining.confusion(mining.classify(collection(spark, sf_dir), model_type="logreg")))
 
 
 @query()
