@@ -25,6 +25,10 @@ with 100 * |x & y| >= threshold * |x | y| link. No link between different sets i
    with all of a block follow from its overlap with that.
 5. Components of all links found.
 
+``link_counts`` gives the join itself, with no link left out: every class's exact number of
+linked classes. There each set visits the blocks of its own leader and of all leaders
+that its leader is a candidate with, linked or connected or not, and a visit counts on both sides.
+
 "Rarest first" is any fixed order, so an estimate does: elements that repeat within
 an Arrow batch are counted, and the most frequent of them, ``HEAVY`` at most, are broadcast
 and come last. An element in D of the corpus's documents goes unnoticed only
@@ -45,7 +49,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import Scratch, map_arrow, shuffle_partitions
@@ -367,6 +371,62 @@ def _visit(n: int, threshold: int):
     return run
 
 
+def _count(n: int, threshold: int):
+    """Rows as in _visit: sid and its links, in part. A block counts the links among its own sets, and each
+    visit counts for the guest and for the block's sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(n)
+        now, ids, sets, block, counts = None, [], [], None, None
+
+        def linked(x: np.ndarray) -> np.ndarray:
+            return block.overlaps(x) >= least_overlap(len(x), block.sizes, threshold)
+
+        def closed() -> tuple[Block, np.ndarray]:
+            nonlocal block
+            block = Block(ids, sets)
+            return block, np.array([int(linked(x).sum()) - 1 for x in sets], dtype=np.int64)
+
+        for batch in batches:
+            rows: list[tuple[np.ndarray, np.ndarray]] = []
+            for host, number, guest, sid, text in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4).cast(pa.binary()), strict=True):
+                if now != (host, number):
+                    if ids:
+                        block, counts = (block, counts) if block else closed()
+                        rows.append((block.ids, counts))
+                    now, ids, sets, block, counts = (host, number), [], [], None, None
+                x = shingler.elements(text.as_py())
+                if not guest:
+                    ids.append(sid)
+                    sets.append(x)
+                    continue
+                if not ids:
+                    continue
+                if not block:
+                    block, counts = closed()
+                found = linked(x)
+                counts += found
+                rows.append((np.array([sid]), np.array([int(found.sum())])))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=["sid", "links"])
+        if ids:
+            block, counts = (block, counts) if block else closed()
+            yield pa.RecordBatch.from_arrays([pa.array(block.ids), pa.array(counts)], names=["sid", "links"])
+
+    return run
+
+
+def _digests(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(n)
+        for batch in batches:
+            found = [shingler.elements(text) for text in batch.column(1).cast(pa.binary()).to_pylist()]
+            keys = np.array([np.frombuffer(hashlib.blake2b(e.tobytes(), digest_size=16).digest(), dtype=np.int64)[0] for e in found], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(e) for e in found], pa.int64()), pa.array(keys)], names=["doc", "text", "n", "key"])
+
+    return run
+
+
 def _probe(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[bytes]] = {}
@@ -382,6 +442,11 @@ def _probe(threshold: int):
     return run
 
 
+def _blocks() -> Column:
+    """The number of a host's blocks, by its followers k."""
+    return (F.col("k") / BLOCK).cast("int") + 1
+
+
 class JaccardJoin:
     """The join's tables, each written to the shared folder: sets, classes, links."""
 
@@ -445,8 +510,9 @@ class JaccardJoin:
         order = np.argsort(values)
         return values[order], top["times"].to_numpy(dtype=np.int64)[order].astype(np.int32)
 
-    def links(self) -> DataFrame:
-        """u, v: links between representatives, enough to connect what links connect."""
+    def _candidates(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """The representatives' texts, the links of the stars, the followers, and the checked pairs of leaders: a link between
+        sets of different leaders is between sets of one of these pairs."""
         keep = self.scratch.keep
         classes = keep(self.classes(), "classes")
         texts = self._texts(classes)
@@ -460,8 +526,12 @@ class JaccardJoin:
         led = texts.join(followers.select("sid", "leader").hint("shuffle_hash"), "sid", "left").select(F.coalesce("leader", "sid").alias("leader"), "text")
         entries = map_arrow(led, _index_entries(self.words, self.threshold, heavy, buckets), "bucket long, entries binary")
         found = map_arrow(entries.repartition(max(self.partitions, buckets // 4), "bucket"), _probe(self.threshold), _PAIRS).distinct()
-        answers = keep(self.check(keep(found, "pairs"), texts), "answers")
+        return texts, stars, followers, keep(self.check(keep(found, "pairs"), texts), "answers")
 
+    def links(self) -> DataFrame:
+        """u, v: links between representatives, enough to connect what links connect."""
+        keep = self.scratch.keep
+        texts, stars, followers, answers = self._candidates()
         direct = self._linked(answers)
         edges = [x.select(F.col("a").alias("u"), F.col("b").alias("v")) for x in (stars, direct)]
         sure = keep(edges[0].unionByName(edges[1]), "sure")
@@ -484,6 +554,17 @@ class JaccardJoin:
         for s in ("a", "b"):
             no = no.join(known.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}"), F.col("k").alias(f"k_{s}"), F.col("out").alias(f"out_{s}"), F.col("least").alias(f"least_{s}")), s, "left")
         no = no.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).na.fill(0, ["k_a", "k_b", "out_a", "out_b"]).filter("k_a + k_b > 0")
+        guests = self._guests(no, followers)
+        guests = self.scratch.keep(guests.groupBy("host", "sid").agg(F.max("k").alias("k")), "guests")
+        hosts = guests.groupBy("host").agg(F.max("k").alias("k"))
+        hosted = self._hosted(hosts, followers)
+        visits = guests.select("host", F.explode(F.sequence(F.lit(0), _blocks() - 1)).alias("block"), F.lit(1).alias("guest"), "sid")
+        return map_arrow(self._dealt(hosted, visits, texts), _visit(self.words, t), _PAIRS)
+
+    def _guests(self, pairs: DataFrame, followers: DataFrame) -> DataFrame:
+        """host, guest, sid, k (the host's followers) of the sets that the bound lets visit, for pairs of leaders with their overlap and
+        what is known of their followers."""
+        t, no = self.threshold, pairs
         first = F.col("k_a") >= F.col("k_b")
 
         def of(name: str, host: bool):
@@ -491,19 +572,52 @@ class JaccardJoin:
 
         calls = no.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("host"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("guest"), of("n", False).alias("n_guest"), of("k", True).alias("k"), of("out", True).alias("out"), F.least(of("n", True), of("least", True)).alias("least"), "overlap")
         calls = self.scratch.keep(calls, "calls")
-        alone = calls.select("host", F.col("guest").alias("sid"), F.col("n_guest").alias("n"), F.lit(0).cast("long").alias("outside"), "k", "out", "least", "overlap")
+        alone = calls.select("host", "guest", F.col("guest").alias("sid"), F.col("n_guest").alias("n"), F.lit(0).cast("long").alias("outside"), "k", "out", "least", "overlap")
         company = calls.join(followers.select(F.col("leader").alias("guest"), "sid", "n", "outside"), "guest").select(*alone.columns)
         bound = F.least(F.col("overlap") + F.col("outside") + F.col("out"), F.col("n"))
-        guests = alone.unionByName(company).filter(bound * (100 + t) >= t * (F.col("n") + F.col("least")))
-        guests = self.scratch.keep(guests.groupBy("host", "sid").agg(F.max("k").alias("k")), "guests")
-        hosts = guests.groupBy("host").agg(F.max("k").alias("k"))
-        blocks = (F.col("k") / BLOCK).cast("int") + 1
+        return alone.unionByName(company).filter(bound * (100 + t) >= t * (F.col("n") + F.col("least"))).select("host", "guest", "sid", "k")
+
+    def _hosted(self, hosts: DataFrame, followers: DataFrame) -> DataFrame:
+        """The sets of the hosts (host, k), dealt to blocks."""
         hosted = hosts.join(followers.select(F.col("leader").alias("host"), "sid"), "host").unionByName(hosts.select("host", "k", F.col("host").alias("sid")))
-        hosted = hosted.select("host", F.pmod(F.xxhash64("sid"), blocks.cast("long")).cast("int").alias("block"), F.lit(0).alias("guest"), "sid")
-        visits = guests.select("host", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("guest"), "sid")
+        return hosted.select("host", F.pmod(F.xxhash64("sid"), _blocks().cast("long")).cast("int").alias("block"), F.lit(0).alias("guest"), "sid")
+
+    def _dealt(self, hosted: DataFrame, visits: DataFrame, texts: DataFrame) -> DataFrame:
         rows = hosted.unionByName(visits).hint("shuffle_hash").join(texts, "sid").select("host", "block", "guest", "sid", "text")
-        dealt = rows.repartition(self.partitions, "host", "block").sortWithinPartitions("host", "block", "guest")
-        return map_arrow(dealt, _visit(self.words, t), _PAIRS)
+        return rows.repartition(self.partitions, "host", "block").sortWithinPartitions("host", "block", "guest")
+
+    def counts(self) -> DataFrame:
+        """sid, links: the exact number of other sets that each representative links with, where there are any.
+        A sid must have one set and one text."""
+        keep, t = self.scratch.keep, self.threshold
+        texts, _, followers, answers = self._candidates()
+        # A leader may follow another in turn, and then is in that one's group only: each set is in one group, as in the index.
+        follows = followers.select("sid")
+
+        def members(rows: DataFrame, leader: str) -> DataFrame:
+            return rows.filter(F.col("sid") != F.col(leader)).unionByName(rows.filter(F.col("sid") == F.col(leader)).join(follows, "sid", "left_anti"))
+
+        led = followers.groupBy("leader").agg(F.count(F.lit(1)).alias("k"), F.max("outside").alias("out"), F.min("n").alias("least"))
+        led = keep(led, "led")
+        pairs = answers
+        for s in ("a", "b"):
+            pairs = pairs.join(led.select(F.col("leader").alias(s), F.col("k").alias(f"k_{s}"), F.col("out").alias(f"out_{s}"), F.col("least").alias(f"least_{s}")), s, "left")
+        pairs = keep(pairs.na.fill(0, ["k_a", "k_b", "out_a", "out_b"]), "counted")
+        direct = self._linked(pairs.filter("k_a + k_b = 0"))
+        guests = keep(members(self._guests(pairs.filter("k_a + k_b > 0"), followers), "guest"), "guests")
+        hosted = keep(members(self._hosted(led.select(F.col("leader").alias("host"), "k"), followers), "host"), "hosted")
+        visits = guests.select("host", F.explode(F.sequence(F.lit(0), _blocks() - 1)).alias("block"), F.lit(1).alias("guest"), "sid")
+        wide = led.select(F.col("leader").alias("host"), "k").filter(_blocks() > 1)
+        later = hosted.join(wide, "host").filter(F.col("block") < _blocks() - 1)  # each pair of a leader's blocks meets once
+        later = later.select("host", F.explode(F.sequence(F.col("block") + 1, _blocks() - 1)).alias("block"), F.lit(1).alias("guest"), "sid")
+        found = map_arrow(self._dealt(hosted, visits.unionByName(later), texts), _count(self.words, t), "sid long, links long")
+        one = F.lit(1).cast("long").alias("links")
+        for s in ("a", "b"):
+            found = found.unionByName(direct.select(F.col(s).alias("sid"), one))
+        out = keep(found.groupBy("sid").agg(F.sum("links").alias("links")), "counts")
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        self.scratch.drop("texts", "pairs", "answers", "stars", "counted", "guests", "hosted")
+        return out
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
@@ -518,3 +632,26 @@ class JaccardJoin:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest id that links reach)."""
     return JaccardJoin(docs, id_col, text_col, words, threshold).result()
+
+
+def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, class_id (the smallest id with an equal set), n_links (the exact
+    number of other classes that its class links with).
+
+    Classes go by the first 64 bits of their digest, as the elements do, so that each has one id and one text here even
+    if rows repeat an id. A null doc_id and an empty set link with nothing."""
+    scratch = Scratch(docs.sparkSession, "link-counts")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    keyed = map_arrow(rows, _digests(words), "doc long, text string, n long, key long")
+    keyed = scratch.keep(keyed, "keyed")
+    some = keyed.filter("n > 0 AND doc IS NOT NULL")
+    classes = scratch.keep(some.groupBy("key").agg(F.min("doc").alias("class_id")), "classes")
+    first = some.join(classes, "key").filter("doc = class_id").select("key", "text").dropDuplicates(["key"])
+    first = scratch.keep(first, "first")
+    keyed = scratch.keep(keyed.select("doc", "n", "key"), "rows")
+    scratch.drop("keyed")  # the texts that are needed from here on are in first
+    found = JaccardJoin(first, "key", "text", words, threshold).counts()
+    scratch.drop("first")
+    known = classes.join(found.withColumnRenamed("sid", "key"), "key", "left")
+    out = keyed.select("doc", "n", F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("key")).alias("key")).join(known, "key", "left")
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textloom.llm import importance, language_id, packing, piece_sampling, toxicity
 from textloom.llm.common import table
 from textloom.llm.exact_dedup import exact_dedup
-from textloom.llm.jaccard_join import jaccard_components
+from textloom.llm.jaccard_join import jaccard_components, link_counts
 from textloom.llm.language_id import in_fold
 from textloom.llm.line_dedup import line_dedup
 from textloom.llm.nn_descent import nearest_neighbours
@@ -62,6 +62,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=5, threshold=75)
 
 
+def op9_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_counts(table(spark, sf_dir, "documents"), words=5, threshold=75)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_nn_descent": op7_nn_descent,
     "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
+    "op9_jaccard_links": op9_jaccard_links,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -135,6 +140,26 @@ ORACLE_SQL: dict[str, str] = {
         SELECT s.doc_id, len(any_value(s.shingles))::BIGINT AS n_shingles, min(reach.other) AS component_id
         FROM s JOIN reach ON s.doc_id = reach.doc_id GROUP BY s.doc_id
     """,
+    "op9_jaccard_links": rf"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), s AS (
+            SELECT doc_id, list_sort(list_distinct(CASE WHEN len(words) = 0 THEN []
+                WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END)) AS shingles
+            FROM w
+        ), c AS (
+            SELECT doc_id, len(shingles) AS n, shingles, CASE WHEN len(shingles) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY shingles) END AS class_id FROM s
+        ), e AS (
+            SELECT doc_id, n, unnest(shingles) AS shingle FROM c WHERE doc_id = class_id
+        ), pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+        ), k AS (
+            SELECT a, count(*) AS n_links FROM pairs GROUP BY a
+        )
+        SELECT c.doc_id, c.n::BIGINT AS n_shingles, c.class_id, coalesce(k.n_links, 0)::BIGINT AS n_links FROM c LEFT JOIN k ON c.class_id = k.a
+    """,
     "op10_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {_LOWERED} AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
