@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from textloom.functions import constants as C
 from textloom.functions import text as X
 from textloom.operators.duplicates import similar_sets
-from textloom.plans.lineage import cut
+from textloom.plans.lineage import cut, drop
 
 _PREFIX = "local-news://"
 
@@ -70,6 +70,21 @@ def seed_options(pages: DataFrame) -> DataFrame:
     return pages.filter(F.endswith("url", F.lit("/hub")) | (F.col("url") == C.HOME_URL)).select("url")
 
 
+def first_by_path(level: DataFrame, most: int) -> DataFrame:
+    """The ``most`` first rows of a level by path: numbered within the ranges of a global sort, so that no task holds more
+    than its range; the driver sees one count per range."""
+    ranged = cut(level.repartitionByRange("path").sortWithinPartitions("path").withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = sorted(map(tuple, ranged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()))
+    keep, left = F.lit(False), most
+    for p, n in counts:
+        keep = keep | ((part == p) & (F.col("_at").bitwiseAND((1 << 33) - 1) < left))
+        left -= n
+        if left <= 0:
+            break
+    return ranged.filter(keep).drop("_at")
+
+
 def crawl_order(pages: DataFrame, links: DataFrame, seeds: list[str], max_depth: int, max_pages: int) -> tuple[DataFrame, DataFrame]:
     """Visited (url, depth, parent_url, path) and queue (url, depth, path) of a breadth-first crawl.
 
@@ -86,10 +101,14 @@ def crawl_order(pages: DataFrame, links: DataFrame, seeds: list[str], max_depth:
         fresh = level if tried is None else level.join(tried, "url", "left_anti")
         first = fresh.groupBy("url").agg(F.min(F.struct("path", "parent_url")).alias("m"))
         wanted = cut(first.select("url", F.lit(depth).alias("depth"), F.col("m.parent_url").alias("parent_url"), F.col("m.path").alias("path")))
-        fetched = cut(wanted.join(known, "url", "left_semi").orderBy("path").limit(left))
+        fetched = cut(wanted.join(known, "url", "left_semi"))
+        found = fetched.count()
+        if found > left:
+            fetched = cut(first_by_path(fetched, left))
+            found = left
         tried = wanted.select("url") if tried is None else tried.unionByName(wanted.select("url"))
         visited = fetched if visited is None else visited.unionByName(fetched)
-        left -= fetched.count()
+        left -= found
         if left <= 0 or depth == max_depth:
             break
         level = cut(links.join(fetched.select(F.col("url").alias("src"), "path"), "src").select(F.col("dst").alias("url"), F.lit(depth + 1).alias("depth"), F.col("src").alias("parent_url"), F.concat("path", F.array("pos")).alias("path")))
@@ -150,14 +169,15 @@ def pagerank(links: DataFrame, damping: float = 0.85, max_iter: int = 100, tol:
     n = state.count()
     if not n:
         return state.select("node", F.lit(0.0).alias("score"))
-    ranks = state.withColumn("score", F.lit(1.0 / n))
+    ranks, kept = state.withColumn("score", F.lit(1.0 / n)), None
     for _ in range(max_iter):
         sent = edges.join(ranks.select(F.col("node").alias("src"), (F.col("score") / F.col("out")).alias("share")), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("got"))
         lost = ranks.filter(F.col("out").isNull()).agg((F.coalesce(F.sum("score"), F.lit(0.0)) / n).alias("lost"))
         moved = ranks.join(sent, "node", "left").crossJoin(F.broadcast(lost))
         new = moved.select("node", "out", F.col("score").alias("old"), ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost"))).alias("score"))
-        new = cut(new)
-        ranks = new.drop("old")
+        before, kept = kept, cut(new)
+        new, ranks = kept, kept.drop("old")
+        drop(before)  # the round before last is read no more
         if tol is not None and new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] < tol:
             break
     return ranks.select("node", "score")
@@ -174,9 +194,11 @@ def hits(links: DataFrame, max_iter: int = 100, tol: float | None = 1e-8) -> Dat
         whole = nodes.join(raw, "node", "left").crossJoin(F.broadcast(length))
         return whole.select("node", F.coalesce(F.col("x") / F.when(F.coalesce("len", F.lit(0.0)) > 0, F.col("len")).otherwise(1.0), F.lit(0.0)).alias(name))
 
+    authority, kept = None, None
     for _ in range(max_iter):
         raw = edges.join(state.select(F.col("node").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("hub").alias("x"))
-        authority = cut(scaled(raw, "authority"))
+        before, authority = authority, cut(scaled(raw, "authority"))
+        drop(before)
         raw = edges.join(authority.select(F.col("node").alias("dst"), "authority"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum("authority").alias("x"))
         new = cut(scaled(raw, "hub").join(authority, "node"))
         moved = None
@@ -184,6 +206,8 @@ def hits(links: DataFrame, max_iter: int = 100, tol: float | None = 1e-8) -> Dat
             old = state.select("node", F.col("hub").alias("h"), F.col("authority").alias("a"))
             moved = new.join(old, "node").agg(F.sum(F.abs(F.col("hub") - F.col("h")) + F.abs(F.col("authority") - F.col("a")))).first()[0]
         state = new
+        drop(kept)
+        kept = new
         if moved is not None and moved < tol:
             break
     return state

@@ -14,6 +14,8 @@ def _shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="textloom-")
         context.setCheckpointDir(base)
     return base.rstrip("/")
@@ -36,4 +38,13 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{_shared_dir(spark)}/textloom/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._textloom_path = path
+    return out
+
+
+def drop(df: DataFrame | None) -> None:
+    """Removes the table of a ``cut`` result that no pending plan reads."""
+    path = getattr(df, "_textloom_path", None)
+    if path:
+        _remove(df.sparkSession, path)
