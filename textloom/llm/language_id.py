@@ -11,19 +11,22 @@ p_n(c|h) = alpha_n(hc) + gamma_n(h) * p_(n-1)(c|h'). Orders below the highest
 count distinct left neighbours. A document gets the language of the lowest
 cross-entropy per character; ties go to the language that sorts first.
 
-Calibrated rejection: part of the sample is held back from the counts; a document
-is rejected if its cross-entropy exceeds what the held-back documents of its
-language show (mean plus 1.5 times their largest excess, 0.5 nats at least, plus
-8 standard deviations of a text of its length), or if it has no letter.
+Calibrated rejection: every fifth document of a language's sample is held back from
+the counts; a document is rejected if its cross-entropy exceeds what the held-back
+documents of its language show (mean plus 1.5 times their largest excess, 0.5 nats at
+least, plus 8 standard deviations of a text of its length), or if it has no letter. A
+language with fewer than ``LEAST_HELD`` held-back documents has no limit, so that of
+its documents only those without letters are rejected.
 
 Bounds: the models are fitted on at most ``sample_docs`` documents of each
-language, the smallest by hash of their ids, of at most ``max_chars`` characters
-each; so the models' size has a bound and they are broadcast. Prediction reads every
-whole text.
+language, the smallest by hash of their ids, each read whole; words are counted by the
+executors. The models are broadcast. Prediction reads every whole text.
 
 Edge cases: null and letterless texts get ``und``, score 0 and are rejected; rows
-with a null lang or id train nothing; with no training rows all texts are ``und``; an
-empty table gives an empty result.
+with a null text, lang or id train nothing; an id that repeats in a language is one
+document, by the text of the smallest hash; a language with one document has a model;
+with no training rows all texts are ``und``; an empty table gives an empty result;
+further columns of any name are carried.
 """
 
 from __future__ import annotations
@@ -34,14 +37,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import map_arrow
+from textloom.llm.common import bounded_sample, fresh_names, map_arrow
 
 ORDER = 5
 START, END = 2, 3
 UND = "und"
+#: Held-back documents that a language needs for a limit.
+LEAST_HELD = 3
 _WORD = re.compile(r"[^\W\d_]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _CACHED_WORDS, _CACHED_CHARS = 300_000, 8_000_000
@@ -168,36 +173,49 @@ def fit(words: dict[str, Counter]) -> LanguageModel:
     return LanguageModel(langs, tables, alphas, gammas, floor)
 
 
-def calibrate(model: LanguageModel, held: dict[str, list[list[str]]]) -> None:
-    """Sets the rejection limits from word lists of documents that the counts have not seen."""
+def calibrate(model: LanguageModel, held: dict[str, list[Counter]]) -> None:
+    """Sets the rejection limits from the word counts of documents that the models' counts have not seen."""
     for k, lang in enumerate(model.langs):
         texts = [x for x in held.get(lang, []) if x]
-        if len(texts) < 3:
+        if len(texts) < LEAST_HELD:
             continue
-        entropy, n = model.entropies(texts)
-        own = entropy[:, k]
+        own, n = np.zeros(len(texts)), np.zeros(len(texts))
+        for i, words in enumerate(texts):
+            times = np.fromiter(words.values(), dtype=np.int64, count=len(words))
+            sums, scored = model.score(list(words))
+            n[i] = times @ scored
+            own[i] = -(times @ sums[:, k]) / n[i]
         mean = np.average(own, weights=n)
         model.mean[k] = mean
         model.sigma[k] = np.sqrt(np.mean((own - mean) ** 2 * n))
         model.margin[k] = max(0.5, 1.5 * float(own.max() - mean))
 
 
-def training_sample(docs: DataFrame, may_learn: Column, id_col: str, text_col: str, lang_col: str, sample_docs: int, max_chars: int) -> DataFrame:
-    """id, lang, text of a bounded sample: ids are ranked first, so that texts are read for the chosen ones alone."""
-    ranked = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    chosen = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & may_learn).select(id_col, lang_col).withColumn("_r", F.row_number().over(ranked)).filter(F.col("_r") <= sample_docs).select(id_col)
-    texts = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars))
-    return texts.join(F.broadcast(chosen.distinct()), id_col, "left_semi").select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [Counter(words_of(t.as_py())) for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], names=["lang", "at", "words", "times"])
 
 
-def train(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 500, max_chars: int = 20_000) -> LanguageModel:
-    """Models of the languages in lang_col, from rows where may_learn holds; every fifth document of the sample calibrates."""
-    rows = sorted(training_sample(docs, may_learn, id_col, text_col, lang_col, sample_docs, max_chars).toLocalIterator(), key=lambda r: (r.lang, r.id, r.text))
+def training_sample(docs: DataFrame, may_learn: Column, id_col: str, text_col: str, lang_col: str, sample_docs: int) -> DataFrame:
+    """lang, at (the hash that orders them), words, times of a bounded sample of whole documents."""
+    rows = docs.filter(may_learn & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("group"), F.col(text_col).alias("text"))
+    chosen = bounded_sample(rows, "id", sample_docs, "group")
+    texts = rows.join(F.broadcast(chosen), ["id", "group"])  # at most sample_docs rows per language
+    texts = texts.groupBy("id", "group").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return map_arrow(texts.select("group", F.xxhash64("id"), "text"), _word_counts, "lang string, at long, words array<string>, times array<long>")
+
+
+def train(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 500) -> LanguageModel:
+    """Models of the languages in lang_col, from rows where may_learn holds."""
+    rows = sorted(training_sample(docs, may_learn, id_col, text_col, lang_col, sample_docs).collect(), key=lambda r: (r.lang, r.at, r.words))
     counted: dict[str, Counter] = {}
-    held: dict[str, list[list[str]]] = {}
-    for i, r in enumerate(rows):
-        words = words_of(r.text)
-        if i % 5 == 4:
+    held: dict[str, list[Counter]] = {}
+    place: Counter = Counter()
+    for r in rows:
+        words = Counter(dict(zip(r.words, r.times, strict=True)))
+        place[r.lang] += 1
+        if place[r.lang] % 5 == 0:  # never a language's first document
             held.setdefault(r.lang, []).append(words)
         else:
             counted.setdefault(r.lang, Counter()).update(words)
@@ -206,14 +224,12 @@ def train(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
     return model
 
 
-_caches: dict[str, dict] = {}
-
-
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] | None = None, names: tuple[str, ...] = ("lang_pred", "score", "entropy", "rejected")) -> DataFrame:
     """The columns ``keep`` (all if None) of every row, then the language, score, entropy and rejection, under ``names``."""
     keep = tuple(docs.columns) if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
+    (whole,) = fresh_names(("text",), [*keep, *names])
+    rows = docs.select(*keep, F.col(text_col).alias(whole))
     added = ", ".join(f"`{n}` {t}" for n, t in zip(names, ("string", "double", "double", "boolean"), strict=True))
     names = [*keep, *names]
 
