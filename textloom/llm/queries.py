@@ -163,7 +163,7 @@ ORACLE_SQL: dict[str, str] = {
     "op10_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {_LOWERED} AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-               doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+               row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY norm)
     """,
 }
