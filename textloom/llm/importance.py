@@ -12,9 +12,9 @@ exactly by four counting rounds over 16 bits each, with 65,536 counts at most pe
 task sorts all keys. A document's score is the logistic of its mean log ratio per n-gram.
 
 Edge cases: null, empty and wordless texts have log weight 0, score 0.5; a null id counts as
--1 in the noise; equal keys (rows that repeat) go by id, then stay or go together; with no target
-every weight is 0 and the sample is uniform; an empty table gives an empty result; k is
-round(fraction x rows), at least 1 where there are rows.
+-1 in the noise; of equal keys (rows that repeat an id and a text, or lack an id) the first rows
+stay, so that exactly k do; with no target every weight is 0 and the sample is uniform; an empty table
+gives an empty result; k is round(fraction x rows), at least 1 where there are rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import Scratch, map_arrow
+from textloom.llm.common import Scratch, bounded_sample, map_arrow, row_marker
 from textloom.llm.jaccard_join import Shingler, _spread
 
 BUCKETS = 1 << 14
@@ -70,7 +70,7 @@ def _model(counts: DataFrame) -> np.ndarray:
 
 def log_ratios(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_target: int = MAX_TARGET) -> np.ndarray:
     """log(target / raw) of every bucket; good has the ids of target documents."""
-    chosen = good.filter(F.col(id_col).isNotNull()).select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(max_target)
+    chosen = bounded_sample(good, id_col, max_target).withColumnRenamed("id", id_col)
     target = bucket_counts(docs.join(F.broadcast(chosen), id_col, "left_semi"), text_col)
     raw = _model(bucket_counts(docs, text_col))
     known = _model(target)
@@ -127,13 +127,16 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> tuple[int, int]:
 def resample(docs: DataFrame, good: DataFrame, fraction: float = FRACTION, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", max_target: int = MAX_TARGET) -> DataFrame:
     """doc_id, log_weight, score, gumbel_key, selected of every row."""
     rows = weigh(docs, log_ratios(docs, good, id_col, text_col, max_target), id_col, text_col, seed)
-    rows = Scratch(docs.sparkSession, "importance").keep(rows, "weights")
-    k = max(1, round(fraction * rows.count()))
-    limit, among = kth_largest(rows, "place", k) if not rows.isEmpty() else (0, 0)
-    ties = [r[0] for r in rows.filter(F.col("place") == limit).select("doc_id").orderBy("doc_id").limit(among).collect()][-1:] if among else []
-    last = ties[0] if ties else None
-    tied = F.lit(True) if last is None else F.coalesce(F.col("doc_id") <= last, F.lit(True))
-    selected = (F.col("place") > limit) | ((F.col("place") == limit) & tied)
+    rows = Scratch(docs.sparkSession, "importance").keep(rows.withColumn("marker", row_marker()), "weights")
+    n = rows.count()
+    selected = F.lit(True)
+    if n:
+        limit, among = kth_largest(rows, "place", max(1, round(fraction * n)))
+        tied = rows.filter(F.col("place") == limit)
+        k = tied.count()
+        last = kth_largest(tied, "marker", k - among + 1)[0] if among < k else None  # the among-th smallest marker of the tied rows
+        first = F.lit(True) if last is None else F.col("marker") <= last
+        selected = (F.col("place") > limit) | ((F.col("place") == limit) & first)
     return rows.select("doc_id", "log_weight", "score", "gumbel_key", selected.alias("selected"))
 
 
