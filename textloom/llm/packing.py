@@ -6,9 +6,10 @@ length share a bucket and every piece is a sequence of its own, so no sequence
 crosses documents and none needs padding: its length is a power of two.
 
 Sequence ids are dense and bucket by bucket, longest bucket first. Within a bucket,
-pieces are numbered per shard (a hash of document and start), so that no task has
-to order a whole bucket; the counts of buckets and shards, at most 12 x shards rows,
-give each shard its first id.
+pieces are numbered per shard (a hash of document and start), and there are as many
+shards as pieces of the table ask for, so that no task orders more than about
+``SHARD_PIECES``. Counts give each shard its first id, in two levels: shards within a
+bucket's super-shard of ``SUPER`` shards, and super-shards.
 
 Tokens are those of the ``tokenizers`` file at ``tokenizer_path``. The vocabulary is
 read as byte-pair ranks for tiktoken, which encodes several times faster; texts with
@@ -38,7 +39,8 @@ from textloom.llm.common import Scratch, map_arrow, shuffle_partitions
 TOKENIZER = "byte_bpe_50k.json"
 SEQUENCE_TOKENS = 2048
 END_ID = 1
-MAX_SHARDS = 1024
+#: Pieces that a shard should hold, over all its buckets, and shards in a super-shard.
+SHARD_PIECES, SUPER = 50_000, 1024
 
 #: Beyond Latin letters and general punctuation, Unicode tables of libraries may differ.
 _EXOTIC = re.compile("[^\x00-ɏ‐-‧‰-⁞]")
@@ -73,8 +75,9 @@ class Encoder:
         if not _EXOTIC.search(text) and not (self.special and self.special.search(text)):
             try:
                 return np.asarray(self.fast.encode_ordinary(text), dtype="<u4")
-            except Exception:  # its regular expression engine gives up on very long runs
-                pass
+            except BaseException as error:  # its regular expression engine panics on very long runs
+                if type(error).__name__ != "PanicException":
+                    raise
         return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
@@ -130,13 +133,22 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, sequence_tokens: int = SEQUENCE_TOKENS, end_id: int = END_ID, with_ids: bool = False, shards: int | None = None) -> DataFrame:
     """The pieces with sequence_id and offset; the bucket of a sequence is its length."""
     spark = docs.sparkSession
-    shards = min(MAX_SHARDS, 4 * shuffle_partitions(spark)) if shards is None else shards
-    cut = Scratch(spark, "packing").keep(pieces(docs, id_col, text_col, tokenizer_path, sequence_tokens, end_id, with_ids), "pieces")
-    cut = cut.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
-    counts = cut.groupBy("length", "_shard").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(F.desc("length"), "_shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("length", "_shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("length", "_shard").orderBy("doc_id", "start", "doc_tokens", "ids_crc32")
-    numbered = cut.withColumn("_k", F.row_number().over(within) - 1)
-    joined = numbered.join(F.broadcast(bases), ["length", "_shard"])  # at most log2(sequence_tokens) + 1 lengths x shards rows
-    return joined.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids, (F.col("_base") + F.col("_k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    own = pieces(docs, id_col, text_col, tokenizer_path, sequence_tokens, end_id, with_ids)
+    cut = Scratch(spark, "packing").keep(own, "pieces")
+    shards = max(shuffle_partitions(spark), -(-cut.count() // SHARD_PIECES)) if shards is None else shards
+    cut = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
+    bases = _bases(cut.groupBy("length", "shard").agg(F.count(F.lit(1)).alias("n")))
+    within = Window.partitionBy("length", "shard").orderBy("doc_id", "start", "doc_tokens", "ids_crc32")
+    numbered = cut.withColumn("k", F.row_number().over(within) - 1)
+    joined = numbered.join(bases, ["length", "shard"])
+    return joined.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids, (F.col("base") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+
+
+def _bases(counts: DataFrame) -> DataFrame:
+    """length, shard, base (its first sequence id) from the counts (length, shard, n)."""
+    rows = counts.withColumn("super", F.floor(F.col("shard") / SUPER))
+    earlier = Window.partitionBy("length", "super").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    inner = rows.select("length", "super", "shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("inner"))
+    before = Window.orderBy(F.desc("length"), "super").rowsBetween(Window.unboundedPreceding, -1)  # lengths x super-shards rows
+    outer = rows.groupBy("length", "super").agg(F.sum("n").alias("n")).select("length", "super", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("outer"))
+    return inner.join(outer, ["length", "super"]).select("length", "shard", (F.col("inner") + F.col("outer")).alias("base"))
