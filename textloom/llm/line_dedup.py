@@ -173,10 +173,11 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if rule not in ("common", "first"):
         raise ValueError(f"unknown rule: {rule}")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text_col).alias("rid"), text_col)
-    hashed = map_arrow(rows, _hash_lines(min_chars), _LINES)
-    ranged = hashed.repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos", "rid")
     scratch = Scratch(docs.sparkSession, "lines")
+    hashed = scratch.keep(map_arrow(rows, _hash_lines(min_chars), _LINES), "hashes")  # read twice: for the ranges' limits, and to be dealt
+    ranged = hashed.repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos", "rid")
     found = scratch.keep(map_arrow(ranged, _stream(rule, min_docs), _STREAMED), "streamed")
+    scratch.drop("hashes")
     edges = found.filter("kind = 'c'")
     undecided = found.filter("kind = 'u'")
     if rule == "common":
