@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.llm.exact_dedup import exact_dedup, keep_winners
 from textloom.llm.line_dedup import keep_bitmaps, line_dedup
@@ -26,16 +27,36 @@ def test_exact_dedup(spark):
     groups = defaultdict(list)
     for d, t in rows:
         groups[lower(t)].append(d)
-    want = []
+    want, stays = [], set()
     for d, t in rows:
         own = [x for x in groups[lower(t)] if x is not None]
         best = max(own) if own else None
-        want.append((d, best, len(groups[lower(t)]), d == best, hashlib.sha256(lower(t).encode()).hexdigest()))
+        stay = d == best and lower(t) not in stays  # one of rows that repeat the winner
+        stays |= {lower(t)} if stay else set()
+        want.append((d, best, len(groups[lower(t)]), stay, hashlib.sha256(lower(t).encode()).hexdigest()))
     assert found == sorted(want, key=repr)
     kept = keep_winners(frame(spark, rows))
     assert kept.columns == ["doc_id", "text", "digest", "kept", "doc"]
     assert sorted(map(repr, [(r.doc_id, r.text) for r in kept.collect()])) == sorted(repr((d, t)) for (d, t), w in zip(rows, want) if w[3])
-    assert exact_dedup(frame(spark, [])).collect() == []
+    assert exact_dedup(frame(spark, [])).collect() == [] and keep_winners(frame(spark, [])).collect() == []
+    # digests and fingerprints that all texts share change nothing, nor do groups that are broadcast
+    weak = exact_dedup(frame(spark, rows), digest=lambda t: F.unhex(F.lit("00")), fingerprint=lambda t: F.lit(1).cast("long"))
+    assert sorted((tuple(r)[:3] + tuple(r)[4:] for r in weak.collect()), key=repr) == sorted((w[:3] + w[4:] for w in want), key=repr)
+
+
+def test_exact_dedup_with_hot_groups(spark, monkeypatch):
+    monkeypatch.setattr("textloom.llm.common.LEAST_HOT", 3)
+    rows = [(i % 50, "hot") for i in range(200)] + [(i, f"text {i % 40}") for i in range(80)]
+    found = exact_dedup(frame(spark, rows)).collect()
+    assert {(r.keep_id, r.group_size) for r in found if r.group_size > 2} == {(49, 200)} and len(found) == 280
+    assert sorted((r.doc_id, r.group_size) for r in found if r.kept) == sorted([(49, 200)] + [(40 + i, 2) for i in range(40)])
+
+
+def test_keep_winners_with_clashing_names(spark):
+    names = ["doc_id", "text", "marker", "_marker", "row", "norm", "_digest", "_print", "_keep", "salt", "id", "group_size"]
+    frame = spark.createDataFrame([(7, "same", *range(10)), (7, "same", *range(10)), (7, "same", *range(10)), (5, "Same", *range(10))], ", ".join(f"{n} {'string' if n == 'text' else 'long'}" for n in names))
+    kept = keep_winners(frame)
+    assert kept.columns == names and [(r.doc_id, r.text) for r in kept.collect()] == [(7, "same")]
 
 
 def test_exact_dedup_is_native(spark):

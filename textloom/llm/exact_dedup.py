@@ -85,4 +85,4 @@ def keep_winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows of docs that stay, with all their columns."""
     (marker,) = fresh_names(("marker",), docs.columns)
     winners = exact_groups(docs, id_col, text_col, salts).select(F.col("keep_marker").alias(marker))
-    return docs.withColumn(marker, row_marker()).join(winners, marker, "left_semi").select(*docs.columns)
+    return docs.withColumn(marker, row_marker()).join(winners.hint("shuffle_hash"), marker, "left_semi").select(*docs.columns)

@@ -4,12 +4,14 @@ A document's set holds the hashes (64 bits) of its distinct word n-grams. Docume
 with 100 * |x & y| >= threshold * |x | y| link. No link between different sets is lost:
 
 1. Sets. One pass makes each set's size, a 128-bit digest and a few min-hash band
-   keys. Equal sets become one class, represented by its smallest id; from here on
-   there are only representatives, whose texts go into one table bucketed by id.
+   keys. Equal sets become one class, represented by one row, whose marker (not the
+   document's id, which may repeat) stands for it; from here on there are only
+   representatives, whose texts go into one table bucketed by marker.
 2. Leaders. Representatives with a band key in common are each checked against one
    leader of the key's group, its most typical member (a star, not all pairs). A set
    that links to its leader follows it, and the exact number of its elements outside
-   the leader is kept. Which sets get which leader only matters for speed.
+   the leader is kept. Which sets get which leader only matters for speed. The pairs
+   of a set that has many are dealt to blocks, and its text travels once to each.
 3. Index. Every set puts its prefix, rarest elements first, into lists by element:
    (leader, size, position). Two linked sets share an element of their prefixes.
    Lists keep one entry per leader and size, that of the smallest position, as the
@@ -37,7 +39,9 @@ if D is about the square root of the number of batches or less.
 Edge cases: null texts and texts without words have empty sets (n_shingles 0) and link
 with nothing; fewer words than n make one element of the whole sequence; a null doc_id
 links with nothing and has a null component; rows that repeat an id with different texts
-are matched each on its own; an empty table gives an empty result.
+are matched each on its own; an empty table gives an empty result; further columns of the
+input, of any name, are ignored, or carried by ``keep_one_each``. The input must come in the
+same partitions each time it is read, as files do.
 """
 
 from __future__ import annotations
@@ -52,7 +56,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import Scratch, map_arrow, shuffle_partitions
+from textloom.llm.common import Scratch, fresh_names, join_groups, map_arrow, row_marker, shuffle_partitions
 from textloom.llm.components import connected_components
 
 WORDS = 5
@@ -62,8 +66,10 @@ BANDS, BAND_ROWS = 6, 2
 HEAVY = 500_000
 #: Entries of the index that one bucket should hold.
 BUCKET_ENTRIES = 500_000
-#: Followers of one leader in a block that others visit.
+#: Followers of one leader in a block that others visit, and partners of a set in a block that its text travels to.
 BLOCK = 1024
+#: Rows of the table that one partition of texts should hold.
+PARTITION_ROWS = 100_000
 _CACHED_WORDS = 300_000
 _PAIRS = "a long, b long"
 _CHECKED = "a long, b long, n_a long, n_b long, overlap long"
@@ -126,7 +132,7 @@ def least_overlap(a, b, threshold: int):
 
 
 def _sets(n: int):
-    names = ["doc", "n", "d1", "d2", "bands", "element", "times"]
+    names = ["row", "doc", "n", "d1", "d2", "bands", "element", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
@@ -134,17 +140,17 @@ def _sets(n: int):
         def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
             values, times = np.unique(np.concatenate(held), return_counts=True)
             values, times = values[times > 1], times[times > 1]
-            none = [pa.nulls(len(values), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+            none = [pa.nulls(len(values), t) for t in (*[pa.int64()] * 5, pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays([*none, pa.array(values.astype(np.int64)), pa.array(times.astype(np.int64))], names=names)
 
         held, size, seen = [], 0, set()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 e = shingler.elements(text)
                 digest = hashlib.blake2b(e.tobytes(), digest_size=16).digest()
                 d1, d2 = np.frombuffer(digest, dtype=np.int64).tolist()
-                rows.append((doc, len(e), d1, d2, band_keys(e) if len(e) else []))
+                rows.append((row, doc, len(e), d1, d2, band_keys(e) if len(e) else []))
                 if digest not in seen:  # copies do not make an element frequent
                     seen.add(digest)
                     held.append(e)
@@ -154,7 +160,7 @@ def _sets(n: int):
                         held, size, seen = [], 0, set()
             if rows:
                 columns = list(zip(*rows, strict=True))
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                types = (*[pa.int64()] * 5, pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64())], names=names)
         if held:
             yield frequent(held)
@@ -188,6 +194,25 @@ def _check(n: int):
     return run
 
 
+def _check_dealt(n: int):
+    """As _check, for rows sorted by (hub, block), the hub's text before those of its partners."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, now, own = Shingler(n), None, None
+        for batch in batches:
+            rows = []
+            for hub, block, guest, sid, text in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4).cast(pa.binary()), strict=True):
+                x = shingler.elements(text.as_py())
+                if not guest:
+                    now, own = (hub, block), x
+                elif now == (hub, block):
+                    rows.append((sid, hub, len(x), len(own), len(np.intersect1d(x, own, assume_unique=True))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b", "n_a", "n_b", "overlap"])
+
+    return run
+
+
 def prefix(elements: np.ndarray, heavy: np.ndarray, times: np.ndarray, threshold: int) -> np.ndarray:
     """The elements of the prefix in the fixed order: those not known as frequent by hash, then the others by count."""
     size = len(elements)
@@ -416,17 +441,6 @@ def _count(n: int, threshold: int):
     return run
 
 
-def _digests(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(n)
-        for batch in batches:
-            found = [shingler.elements(text) for text in batch.column(1).cast(pa.binary()).to_pylist()]
-            keys = np.array([np.frombuffer(hashlib.blake2b(e.tobytes(), digest_size=16).digest(), dtype=np.int64)[0] for e in found], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(e) for e in found], pa.int64()), pa.array(keys)], names=["doc", "text", "n", "key"])
-
-    return run
-
-
 def _probe(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[bytes]] = {}
@@ -455,45 +469,73 @@ class JaccardJoin:
             raise ValueError("threshold is a percentage")
         self.spark, self.words, self.threshold = docs.sparkSession, words, threshold
         self.scratch = Scratch(self.spark, "jaccard")
-        self.partitions = shuffle_partitions(self.spark)
-        self.rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-        schema = "doc long, n long, d1 long, d2 long, bands array<long>, element long, times long"
+        self.table = None
+        self.rows = docs.select(row_marker().alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+        schema = "row long, doc long, n long, d1 long, d2 long, bands array<long>, element long, times long"
         both = self.scratch.keep(map_arrow(self.rows, _sets(words), schema), "sets")
-        self.sets = both.filter("n IS NOT NULL").select("doc", "n", "d1", "d2", "bands")
+        self.sets = both.filter("n IS NOT NULL").select("row", "doc", "n", "d1", "d2", "bands")
         self.frequent = both.filter("times IS NOT NULL").select("element", "times")
-
-    def classes(self) -> DataFrame:
-        """One row per distinct set: d1, d2, sid (its smallest id), n, bands."""
+        self.partitions = max(shuffle_partitions(self.spark), -(-both.count() // PARTITION_ROWS))
         some = self.sets.filter("n > 0 AND doc IS NOT NULL")
-        return some.groupBy("d1", "d2").agg(F.min("doc").alias("sid"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        classes = some.groupBy("d1", "d2").agg(F.min("row").alias("sid"), F.min("doc").alias("least"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+        #: One row per distinct set: d1, d2, sid (the row that represents it), least (its smallest id), size, n, bands.
+        self.classes = self.scratch.keep(classes, "classes")
 
-    def _texts(self, classes: DataFrame) -> DataFrame:
+    def _texts(self) -> DataFrame:
         """sid, text of the representatives, bucketed by sid: texts are shuffled this once."""
         name = f"textloom_texts_{uuid.uuid4().hex}"
-        dealt = self.rows.repartition(self.partitions, "doc")
-        own = dealt.join(classes.select(F.col("sid").alias("doc")).distinct().hint("shuffle_hash"), "doc", "left_semi").withColumnRenamed("doc", "sid")
-        own.write.bucketBy(self.partitions, "sid").option("path", self.scratch.path("texts")).saveAsTable(name)
+        dealt = self.rows.select(F.col("row").alias("sid"), "text").repartition(self.partitions, "sid")
+        own = dealt.join(self.classes.select("sid").hint("shuffle_hash"), "sid", "left_semi")
         self.table = name
+        own.write.bucketBy(self.partitions, "sid").option("path", self.scratch.path("texts")).saveAsTable(name)
         return self.spark.table(name)
 
+    def _close(self) -> None:
+        """Removes the texts, whatever has happened before."""
+        if self.table is not None:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+            self.table = None
+        self.scratch.drop("texts")
+
     def check(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """a, b, n_a, n_b, overlap of the pairs (a, b). Only one text of a pair is shuffled."""
-        one = pairs.hint("shuffle_hash").join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b")
+        """a, b, n_a, n_b, overlap of the pairs (a, b, k), a written table, where b has k pairs. Only one text of a pair is shuffled."""
+        few = pairs.filter(F.col("k") <= BLOCK).select("a", "b")
+        one = few.hint("shuffle_hash").join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b")
         two = one.hint("shuffle_hash").join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
-        return map_arrow(two.select("a", "b", "text_a", "text_b"), _check(self.words), _CHECKED)
+        out = map_arrow(two.select("a", "b", "text_a", "text_b"), _check(self.words), _CHECKED)
+        many = pairs.filter(F.col("k") > BLOCK)
+        if many.isEmpty():
+            return out
+        hubs = many.groupBy("b").agg(F.first("k").alias("k"))
+        host = hubs.select(F.col("b").alias("host"), F.explode(F.sequence(F.lit(0), _blocks() - 1)).alias("block"), F.lit(0).alias("guest"), F.col("b").alias("sid"))
+        guest = many.select(F.col("b").alias("host"), F.pmod(F.xxhash64("a"), _blocks().cast("long")).cast("int").alias("block"), F.lit(1).alias("guest"), F.col("a").alias("sid"))
+        return out.unionByName(map_arrow(self._dealt(host, guest, texts), _check_dealt(self.words), _CHECKED))
+
+    def _oriented(self, pairs: DataFrame) -> DataFrame:
+        """a, b, k of pairs of sets: b is the one with more pairs, k. No set is the a of more pairs than about the root of
+        twice their number, as each of its partners has as many."""
+        ends = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).groupBy("s").agg(F.count(F.lit(1)).alias("k"))
+        for s in ("a", "b"):
+            pairs = pairs.join(ends.select(F.col("s").alias(s), F.col("k").alias(f"k_{s}")), s)
+        first = F.col("k_a") > F.col("k_b")
+        return pairs.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest("k_a", "k_b").alias("k"))
 
     def _linked(self, checked: DataFrame) -> DataFrame:
         return checked.filter(F.col("overlap") * (100 + self.threshold) >= self.threshold * (F.col("n_a") + F.col("n_b")))
 
-    def _stars(self, classes: DataFrame) -> DataFrame:
-        """Each set with the leaders of its band keys' groups: the member whose keys are the most common, so that a
-        group of near copies of one text is led by that text, or by one that hardly differs from it."""
-        keys = classes.select("sid", F.posexplode("bands").alias("band", "key"))
-        groups = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-        shared = self.scratch.keep(keys.join(groups, ["band", "key"]), "keys")
+    def _stars(self) -> DataFrame:
+        """a, b, k: each set a with the leaders b of its band keys' groups (k: b's pairs): the member whose keys are the most
+        common, so that a group of near copies of one text is led by that text, or by one that hardly differs from it."""
+        keep, key = self.scratch.keep, ["band", "key"]
+        keys = self.classes.select("sid", F.posexplode("bands").alias("band", "key"))
+        groups = keep(keys.groupBy(*key).agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "groups")
+        shared = keep(join_groups(keys, groups, key, "k"), "keys")
         common = shared.groupBy("sid").agg(F.sum("k").alias("common"))
-        heads = shared.join(common, "sid").groupBy("band", "key").agg(F.max(F.struct("common", (-F.col("sid")).alias("s"))).alias("m"))
-        return shared.join(heads, ["band", "key"]).select(F.col("sid").alias("a"), (-F.col("m.s")).alias("b")).filter("a <> b").distinct()
+        heads = shared.join(common, "sid").groupBy(*key).agg(F.max(F.struct("common", (-F.col("sid")).alias("s"))).alias("m"), F.first("k").alias("size"))
+        heads = keep(heads.select(*key, (-F.col("m.s")).alias("b"), "size"), "heads")
+        led = keep(join_groups(shared.select("sid", *key), heads, key, "size").select(F.col("sid").alias("a"), "b").filter("a <> b").distinct(), "led")
+        hubs = keep(led.groupBy("b").agg(F.count(F.lit(1)).alias("k")), "hubs")
+        return keep(join_groups(led, hubs, ["b"], "k"), "star-pairs")
 
     def _frequent(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted frequent elements and their counts: all above the least power of two that at most HEAVY exceed."""
@@ -514,31 +556,33 @@ class JaccardJoin:
         """The representatives' texts, the links of the stars, the followers, and the checked pairs of leaders: a link between
         sets of different leaders is between sets of one of these pairs."""
         keep = self.scratch.keep
-        classes = keep(self.classes(), "classes")
-        texts = self._texts(classes)
-        stars = keep(self._linked(self.check(self._stars(classes), texts)), "stars")
+        texts = self._texts()
+        stars = keep(self._linked(self.check(self._stars(), texts)), "stars")
         followers = stars.groupBy(F.col("a").alias("sid")).agg(F.min(F.struct("b", F.col("n_a").alias("n"), (F.col("n_a") - F.col("overlap")).alias("outside"))).alias("x"))
         followers = keep(followers.select("sid", F.col("x.b").alias("leader"), "x.n", "x.outside"), "followers")
 
         heavy = self.spark.sparkContext.broadcast(self._frequent())
-        total = classes.agg(F.sum("n")).first()[0] or 0
+        total = self.classes.agg(F.sum("n")).first()[0] or 0
         buckets = max(4 * self.partitions, total * (100 - self.threshold) // 100 // BUCKET_ENTRIES)
         led = texts.join(followers.select("sid", "leader").hint("shuffle_hash"), "sid", "left").select(F.coalesce("leader", "sid").alias("leader"), "text")
         entries = map_arrow(led, _index_entries(self.words, self.threshold, heavy, buckets), "bucket long, entries binary")
         found = map_arrow(entries.repartition(max(self.partitions, buckets // 4), "bucket"), _probe(self.threshold), _PAIRS).distinct()
-        return texts, stars, followers, keep(self.check(keep(found, "pairs"), texts), "answers")
+        pairs = keep(self._oriented(keep(found, "found")), "pairs")
+        return texts, stars, followers, keep(self.check(pairs, texts), "answers")
 
     def links(self) -> DataFrame:
         """u, v: links between representatives, enough to connect what links connect."""
         keep = self.scratch.keep
-        texts, stars, followers, answers = self._candidates()
-        direct = self._linked(answers)
-        edges = [x.select(F.col("a").alias("u"), F.col("b").alias("v")) for x in (stars, direct)]
-        sure = keep(edges[0].unionByName(edges[1]), "sure")
-        derived = keep(self._derived(answers, followers, connected_components(sure, self.scratch), texts), "derived")
-        out = keep(sure.unionByName(derived.select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
-        self.scratch.drop("texts", "pairs", "answers", "derived", "stars", "sure")
+        try:
+            texts, stars, followers, answers = self._candidates()
+            direct = self._linked(answers)
+            edges = [x.select(F.col("a").alias("u"), F.col("b").alias("v")) for x in (stars, direct)]
+            sure = keep(edges[0].unionByName(edges[1]), "sure")
+            derived = keep(self._derived(answers, followers, connected_components(sure, self.scratch), texts), "derived")
+            out = keep(sure.unionByName(derived.select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
+        finally:
+            self._close()
+        self.scratch.drop("found", "pairs", "answers", "derived", "stars", "sure", "keys", "led", "star-pairs")
         return out
 
     def _derived(self, answers: DataFrame, followers: DataFrame, components: DataFrame, texts: DataFrame) -> DataFrame:
@@ -587,8 +631,13 @@ class JaccardJoin:
         return rows.repartition(self.partitions, "host", "block").sortWithinPartitions("host", "block", "guest")
 
     def counts(self) -> DataFrame:
-        """sid, links: the exact number of other sets that each representative links with, where there are any.
-        A sid must have one set and one text."""
+        """sid, links: the exact number of other sets that each representative links with, where there are any."""
+        try:
+            return self._counts()
+        finally:
+            self._close()
+
+    def _counts(self) -> DataFrame:
         keep, t = self.scratch.keep, self.threshold
         texts, _, followers, answers = self._candidates()
         # A leader may follow another in turn, and then is in that one's group only: each set is in one group, as in the index.
@@ -615,43 +664,54 @@ class JaccardJoin:
         for s in ("a", "b"):
             found = found.unionByName(direct.select(F.col(s).alias("sid"), one))
         out = keep(found.groupBy("sid").agg(F.sum("links").alias("links")), "counts")
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
-        self.scratch.drop("texts", "pairs", "answers", "stars", "counted", "guests", "hosted")
+        self.scratch.drop("found", "pairs", "answers", "stars", "counted", "guests", "hosted", "keys", "led", "star-pairs")
         return out
 
-    def result(self) -> DataFrame:
-        """doc_id, n_shingles, component_id of every row."""
-        components = connected_components(self.links(), self.scratch)
-        classes = self.spark.read.parquet(self.scratch.path("classes")).select("d1", "d2", "sid")
-        labels = classes.join(components.withColumnRenamed("node", "sid"), "sid", "left").select("d1", "d2", F.coalesce("component", "sid").alias("component"))
-        out = self.sets.join(labels, ["d1", "d2"], "left")
-        component = F.when(F.col("doc").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")))
-        return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    def _labelled(self, labels: DataFrame, alone: list[Column]) -> DataFrame:
+        """row, doc, n of every row with what labels (d1, d2, size and more) has for its class, or with ``alone``."""
+        some = F.col("doc").isNotNull() & (F.col("n") > 0)
+        narrow = self.sets.select("row", "doc", "n", "d1", "d2")
+        linked = join_groups(narrow.filter(some), labels, ["d1", "d2"], "size").drop("d1", "d2", "size")
+        return linked.unionByName(narrow.filter(~some).select("row", "doc", "n", *alone))
+
+    def rows_by_component(self) -> DataFrame:
+        """row, doc, n, component (null where nothing can link), label (its smallest id; null for a null doc) of every row."""
+        keep = self.scratch.keep
+        nodes = connected_components(self.links(), self.scratch).withColumnRenamed("node", "sid")
+        known = self.classes.select("d1", "d2", "sid", "size", "least").join(nodes, "sid", "left")
+        known = keep(known.select("d1", "d2", "size", "least", F.coalesce("component", "sid").alias("component")), "known")
+        whole = keep(known.groupBy("component").agg(F.min("least").alias("label"), F.count(F.lit(1)).alias("members")), "components")
+        labels = join_groups(known.drop("least"), whole, ["component"], "members").select("d1", "d2", "size", "component", "label")
+        return self._labelled(keep(labels, "labels"), [F.lit(None).cast("long").alias("component"), F.col("doc").alias("label")])
+
+    def rows_by_links(self) -> DataFrame:
+        """row, doc, n, class_id, links of every row."""
+        labels = self.classes.select("d1", "d2", "size", "sid", F.col("least").alias("class_id")).join(self.counts(), "sid", "left")
+        labels = labels.select("d1", "d2", "size", "class_id", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+        return self._labelled(self.scratch.keep(labels, "labels"), [F.col("doc").alias("class_id"), F.lit(0).cast("long").alias("links")])
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest id that links reach)."""
-    return JaccardJoin(docs, id_col, text_col, words, threshold).result()
+    found = JaccardJoin(docs, id_col, text_col, words, threshold).rows_by_component()
+    return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("label").alias("component_id"))
 
 
 def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, n_shingles, class_id (the smallest id with an equal set), n_links (the exact
-    number of other classes that its class links with).
-
-    Classes go by the first 64 bits of their digest, as the elements do, so that each has one id and one text here even
-    if rows repeat an id. A null doc_id and an empty set link with nothing."""
-    scratch = Scratch(docs.sparkSession, "link-counts")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    keyed = map_arrow(rows, _digests(words), "doc long, text string, n long, key long")
-    keyed = scratch.keep(keyed, "keyed")
-    some = keyed.filter("n > 0 AND doc IS NOT NULL")
-    classes = scratch.keep(some.groupBy("key").agg(F.min("doc").alias("class_id")), "classes")
-    first = some.join(classes, "key").filter("doc = class_id").select("key", "text").dropDuplicates(["key"])
-    first = scratch.keep(first, "first")
-    keyed = scratch.keep(keyed.select("doc", "n", "key"), "rows")
-    scratch.drop("keyed")  # the texts that are needed from here on are in first
-    found = JaccardJoin(first, "key", "text", words, threshold).counts()
-    scratch.drop("first")
-    known = classes.join(found.withColumnRenamed("sid", "key"), "key", "left")
-    out = keyed.select("doc", "n", F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("key")).alias("key")).join(known, "key", "left")
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"))
+    number of other classes that its class links with). A null doc_id and an empty set link with nothing."""
+    found = JaccardJoin(docs, id_col, text_col, words, threshold).rows_by_links()
+    return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "class_id", F.col("links").alias("n_links"))
+
+
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, less all but one row of each component: that of the smallest id, and of
+    rows that repeat it the first. Rows that link with nothing stay, those of a null id or of no words among them."""
+    join = JaccardJoin(docs, id_col, text_col, words, threshold)
+    rows = join.rows_by_component()
+    linked = F.col("doc").isNotNull() & (F.col("n") > 0)
+    # Rows of different components may share a label if ids repeat, so the first row goes by component, not by label.
+    first = rows.filter(linked).groupBy("component").agg(F.min(F.struct("doc", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    (marker,) = fresh_names(("marker",), docs.columns)
+    stay = first.unionByName(rows.filter(~linked).select("row")).withColumnRenamed("row", marker)
+    return docs.withColumn(marker, row_marker()).join(stay.hint("shuffle_hash"), marker, "left_semi").select(*docs.columns)
