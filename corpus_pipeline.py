@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its
 result is written as Parquet and read again as the next one's docs. All but the last
-return the columns of documents.
+return the columns of documents, and whatever further columns there are, of any name.
+
+Edge cases: null texts and texts without letters go in the language stage; a null lang or
+source changes nothing; rows with a null id stay in all stages but the exact dedup, where an
+equal text with an id beats them; rows that repeat an id are told apart by their texts and
+rows that repeat both are copies, of which the exact dedup keeps one; without toxic labels no
+document is toxic, and without any lang none is known, so that all go; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import exact_dedup, language_id, packing, toxicity
 from textloom.llm.common import Scratch, fresh_names, table
-from textloom.llm.jaccard_join import jaccard_components
+from textloom.llm.jaccard_join import keep_one_each
 from textloom.llm.language_id import in_fold
 
 
@@ -36,9 +43,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect, the one with the smallest id stays."""
-    losers = jaccard_components(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(losers.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """Of documents that links connect, the row with the smallest id stays."""
+    return keep_one_each(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
