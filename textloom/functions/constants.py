@@ -87,6 +87,6 @@ ANY_LINK = r"""(?i)href=["']([^"'#]+)"""
 TITLE = "(?is)<title[^>]*>(.*?)</title>"
 
 HOME_URL = "local-news://home"
-HOME_TITLE = "SmartNews Home"
-HOME_TEXT = "Front page linking to all news sections."
+HOME_TITLE = "Start page"
+HOME_TEXT = "Every section of the collection is linked from here."
 SYNDICATED_SENTENCE = " This report was later updated with additional wire-service coverage."

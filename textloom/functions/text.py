@@ -194,7 +194,10 @@ def flesch(text: Column) -> Column:
     words = tokenize_web(text)
     n = F.size(words)
     sentences = F.greatest(F.regexp_count(text_or_empty(text), F.lit(C.SENTENCE_END)), F.lit(1))
-    spoken = F.aggregate(words, F.lit(0), lambda total, w: total + syllables(w))
+    # Over the joined words: all vowel groups, less one for each word that ends in e and has another group, and one for each word without any.
+    line = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
+    silent = F.regexp_count(line, F.lit("[aeiouy][a-z0-9]*[b-df-hj-np-tv-xz0-9][aeiouy]*e "))
+    spoken = F.regexp_count(line, F.lit(C.VOWELS)) - silent + F.regexp_count(line, F.lit(" [b-df-hj-np-tv-xz0-9]+ "))
     score = F.lit(206.835) - F.lit(1.015) * (n / sentences) - F.lit(84.6) * (spoken / F.nullif(n, F.lit(0)))
     return F.when(n == 0, F.lit(0.0)).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 1))
 
@@ -221,22 +224,11 @@ def wildcard(term: Column, pattern: str) -> Column:
     return term.rlike("^" + fnmatch.translate(pattern.lower()).replace(r"\Z", "").replace(r"\z", "") + "$")
 
 
-def title_case(text: Column) -> Column:
-    """T24."""
-    return F.initcap(text)
-
-
 def posting_list(postings: Column, most: int = 15) -> Column:
     """T24: "doc:tf" of the first postings, an array of structs (doc_id, tf)."""
     return F.array_join(F.transform(F.slice(postings, 1, most), lambda p: F.concat(p["doc_id"].cast("string"), F.lit(":"), p["tf"].cast("string"))), ", ")
 
 
-def synonyms(term: Column) -> Column:
-    """The term's expansions, or an empty array."""
-    table = F.create_map(*(x for k, v in C.SYNONYMS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    return F.coalesce(F.try_element_at(table, term), F.array().cast("array<string>"))
-
-
 # The same functions over a driver-side query string, for plans that are built from it.
 
 

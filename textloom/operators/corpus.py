@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from textloom.functions import text as X
+from textloom.plans.lineage import cut
 
 METADATA = {
     "id": "string", "url": "string", "source_type": "string", "category": "string", "title": "string", "depth": "int", "parent_url": "string",
@@ -28,11 +29,18 @@ def text_column(df: DataFrame) -> str | None:
 
 
 def synthesize_ids(df: DataFrame) -> DataFrame:
-    """D0001 and on, in input order, where there is no doc_id."""
+    """D0001 and on, in input order, where there is no doc_id: a row's number in its partition, and the rows of the
+    partitions before it. The input is written first, so that both passes see the same partitions."""
     if "doc_id" in df.columns:
         return df
-    order = Window.orderBy("_at")
-    return df.withColumn("_at", F.monotonically_increasing_id()).withColumn("doc_id", F.format_string("D%04d", F.row_number().over(order))).drop("_at")
+    placed = cut(df.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    numbered = placed.withColumn("_part", part).join(before, "_part")
+    number = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    return numbered.select(*df.columns, F.format_string("D%04d", number).alias("doc_id"))
 
 
 def repair_ids(df: DataFrame, order: Column) -> DataFrame:
@@ -105,6 +113,12 @@ def action_times(log: DataFrame, action: str, seconds: str) -> DataFrame:
     return log.groupBy(F.col(action).alias("action")).agg(F.count(F.lit(1)).alias("n"), F.sum(seconds).alias("total"))
 
 
+def growth(log: DataFrame, time_col: str) -> DataFrame:
+    """Day, added, documents (so far). One row per day is ordered."""
+    days = log.groupBy(F.date_format(F.col(time_col), "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("added"))
+    return days.withColumn("documents", F.sum("added").over(Window.orderBy("day")))
+
+
 def flagged(meta: DataFrame) -> DataFrame:
     """F2."""
     return meta.filter((F.col("is_exact_duplicate") == 1) | (F.col("is_near_duplicate") == 1))

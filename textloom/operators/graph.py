@@ -154,6 +154,11 @@ def crawl(pages: DataFrame, links: DataFrame, seeds: list[str], max_depth: int =
     return meta.drop("tick"), texts, edges, stats.crossJoin(repeats)
 
 
+def unite_links(crawls: list[DataFrame]) -> DataFrame:
+    """Src, dst of the links of several crawls, each once."""
+    return reduce(DataFrame.unionByName, [c.select("src", "dst") for c in crawls]).distinct()
+
+
 def adjacency(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """G1: nodes (node) and distinct links (src, dst); self-links stay."""
     edges = links.select("src", "dst").distinct()

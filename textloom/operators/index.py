@@ -6,6 +6,7 @@ only for display. Positions count after stopword removal.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -64,30 +65,38 @@ def weights(posted: DataFrame, vocab: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """The tables of one collection. ``postings`` has all terms; ``vocab`` (df, cf, first_seen, idf) only the
-    terms that are weighted: two characters or more, and the most frequent ``max_features``."""
+    """The tables of one collection. ``postings`` has all terms; ``vocab`` (df, cf, first_seen, idf) only the
+    terms that are weighted: two characters or more, and the most frequent ``max_features``; ``weighted`` (term, doc_id,
+    weight), where it was built, spares each search the weights and lengths of the collection."""
 
     docs: DataFrame
     postings: DataFrame
     vocab: DataFrame
     n_docs: DataFrame
+    weighted: DataFrame | None = None
+    capped: Callable[[DataFrame, DataFrame], DataFrame] | None = None
 
     def weights(self) -> DataFrame:
-        return weights(self.postings, self.vocab)
+        return weights(self.postings, self.vocab) if self.weighted is None else self.weighted
 
-    def persist(self) -> SearchIndex:
-        """Keeps the tables for repeated searches; persist only what is read again."""
-        return SearchIndex(self.docs, self.postings.persist(), self.vocab.persist(), self.n_docs)
+    def built(self, keep: Callable[[str, DataFrame, tuple[str, ...]], DataFrame]) -> SearchIndex:
+        """The index with its tables written by keep(name, table, sorted by) and read from there."""
+        posted = keep("postings", self.postings, ("term", "doc_id"))
+        n_docs = keep("n_docs", self.n_docs, ())
+        vocab = keep("vocab", self.capped(posted, n_docs), ("term",))
+        return SearchIndex(self.docs, posted, vocab, n_docs, keep("weights", weights(posted, vocab), ("term", "doc_id")), self.capped)
 
 
 def build_index(docs: DataFrame, tokens: Column, id_col: str = "doc_id", max_features: int | None = 8000, min_chars: int = 2) -> SearchIndex:
     rows = token_rows(docs, tokens, id_col)
     posted = postings(rows)
     n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
-    vocab = vocabulary(posted).filter(F.length("term") >= min_chars)
-    if max_features is not None:
-        vocab = cap_vocabulary(vocab, max_features)
-    return SearchIndex(docs.withColumnRenamed(id_col, "doc_id"), posted, with_idf(vocab, n_docs), n_docs)
+
+    def capped(posted: DataFrame, n_docs: DataFrame) -> DataFrame:
+        vocab = vocabulary(posted).filter(F.length("term") >= min_chars)
+        return with_idf(vocab if max_features is None else cap_vocabulary(vocab, max_features), n_docs)
+
+    return SearchIndex(docs.withColumnRenamed(id_col, "doc_id"), posted, capped(posted, n_docs), n_docs, capped=capped)
 
 
 def index_stats(index: SearchIndex) -> DataFrame:
@@ -136,8 +145,10 @@ def candidates(posted: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def biword_listing(pairs: DataFrame, terms: list[str], most: int = 30) -> DataFrame:
-    """Biwords that contain a query term, with their documents."""
+    """Biwords that contain a query term, with their documents; the first of all biwords if none does."""
     hits = pairs.filter(F.arrays_overlap(F.split("biword", " "), F.array(*map(F.lit, terms))))
+    if hits.isEmpty():
+        hits = pairs
     first = hits.select("biword").distinct().orderBy("biword").limit(most)
     return hits.join(first, "biword", "left_semi").groupBy("biword").agg(F.array_join(F.array_sort(F.collect_set(F.col("doc_id").cast("string"))), ", ").alias("posting_list"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +26,16 @@ def candidate_phrases(text: Column) -> Column:
 
 
 def rake(docs: DataFrame, n: int = 8) -> DataFrame:
-    """M1: doc_id, rank, phrase, score. A word scores (degree + frequency) / frequency in its document, a phrase the sum."""
+    """M1: doc_id, rank, phrase, score. A word scores (degree + frequency) / frequency in its document, a phrase the sum.
+
+    Words are counted per distinct (document, word, phrase length), and a phrase is scored once per document: two
+    aggregations by document and word, and one by document, over rows that were combined before they were shuffled."""
     phrases = docs.select("doc_id", F.posexplode(candidate_phrases(F.col("text"))).alias("p", "phrase"))
-    words = phrases.select("doc_id", "p", F.explode(F.split("phrase", " ")).alias("word"), (F.size(F.split("phrase", " ")) - 1).alias("deg"))
-    scores = words.groupBy("doc_id", "word").agg(((F.sum("deg") + F.count(F.lit(1))) / F.count(F.lit(1))).alias("s"))
-    summed = words.join(scores, ["doc_id", "word"]).groupBy("doc_id", "p").agg(F.round(F.sum("s"), 3).alias("score"))
-    best = summed.join(phrases, ["doc_id", "p"]).groupBy("doc_id", "phrase").agg(F.max("score").alias("score"), F.min("p").alias("p"))
+    phrases = phrases.groupBy("doc_id", "phrase").agg(F.min("p").alias("p"), F.count(F.lit(1)).alias("k"))
+    words = phrases.select("doc_id", "p", "phrase", "k", F.split("phrase", " ").alias("w")).select("doc_id", "p", "phrase", "k", (F.size("w") - 1).alias("deg"), F.explode("w").alias("word"))
+    own = Window.partitionBy("doc_id", "word")
+    scored = words.withColumn("s", (F.sum(F.col("k") * F.col("deg")).over(own) + F.sum("k").over(own)) / F.sum("k").over(own))
+    best = scored.groupBy("doc_id", "p", "phrase").agg(F.round(F.sum("s"), 3).alias("score"))
     by = Window.partitionBy("doc_id").orderBy(F.desc("score"), "p")
     return best.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= n).select("doc_id", "rank", "phrase", "score")
 
@@ -127,8 +133,11 @@ def logistic_regression(x: DataFrame, split: DataFrame, max_iter: int = 500) ->
 
 
 def confusion(predictions: DataFrame) -> DataFrame:
-    """A8g in long form: label, prediction, n."""
-    return predictions.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    """A8g in long form: label, prediction, n of every pair of classes, those of no row with 0."""
+    found = predictions.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    names = found.select(F.col("label").alias("c")).union(found.select("prediction")).distinct()  # the classes
+    every = names.withColumnRenamed("c", "label").crossJoin(F.broadcast(names.withColumnRenamed("c", "prediction")))
+    return every.join(found, ["label", "prediction"], "left").na.fill(0, ["n"])
 
 
 def quality(matrix: DataFrame) -> DataFrame:
@@ -142,20 +151,20 @@ def quality(matrix: DataFrame) -> DataFrame:
     )
 
 
-def classify(docs: DataFrame, label: str = "category", feature_type: str = "tfidf", model_type: str = "nb", test_size: float = 0.25, normalize: str = "none", max_features: int = 5000) -> DataFrame:
-    """M3: doc_id, label, prediction of the held-out quarter."""
+def classify(docs: DataFrame, label: str = "category", feature_type: str = "tfidf", model_type: str = "nb", test_size: float = 0.25, normalize: str = "none", max_features: int = 5000, keep: Callable[[str, DataFrame], DataFrame] = lambda name, rows: rows) -> DataFrame:
+    """M3: doc_id, label, prediction of the held-out quarter. ``keep`` may write the split and the features, by their names, for reuse."""
     kept = classes_of(docs.filter(F.col(label).isNotNull()), label)
-    split = stratified_split(kept, label, test_size)
-    x = features(kept, feature_type, max_features, normalize)
+    split = keep(f"split {label} {test_size}", stratified_split(kept, label, test_size))
+    x = keep(f"features {label} {feature_type} {max_features} {normalize}", features(kept, feature_type, max_features, normalize))
     return naive_bayes(x, split) if model_type == "nb" else logistic_regression(x, split)
 
 
-def comparative_analysis(docs: DataFrame, label: str = "category") -> DataFrame:
+def comparative_analysis(docs: DataFrame, label: str = "category", keep: Callable[[str, DataFrame], DataFrame] = lambda name, rows: rows) -> DataFrame:
     """M5: normalization, feature_type, accuracy, f1_macro, n_test of six settings."""
     out = None
     for normalize in ("none", "stem", "lemma"):
         for kind in ("bow", "tfidf"):
-            row = quality(confusion(classify(docs, label, kind, "nb", normalize=normalize))).select(F.lit(normalize).alias("normalization"), F.lit(kind.upper()).alias("feature_type"), "accuracy", "f1_macro", "n_test")
+            row = quality(confusion(classify(docs, label, kind, "nb", normalize=normalize, keep=keep))).select(F.lit(normalize).alias("normalization"), F.lit(kind.upper()).alias("feature_type"), "accuracy", "f1_macro", "n_test")
             out = row if out is None else out.unionByName(row)
     return out
 

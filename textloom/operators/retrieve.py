@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,14 +20,17 @@ def query_table(index: SearchIndex, queries: dict[str, list[str]]) -> DataFrame:
 
 def query_weights(index: SearchIndex, queries: dict[str, list[str]]) -> DataFrame:
     """qid, term, idf, qw: the queries' terms that have a weight, each query scaled to length 1."""
-    asked = index.vocab.join(F.broadcast(query_table(index, queries)), "term").select("qid", "term", "idf", (F.col("qtf") * F.col("idf")).alias("w"))
+    own = index.vocab.filter(F.col("term").isin(sorted({t for terms in queries.values() for t in terms})))
+    asked = own.join(F.broadcast(query_table(index, queries)), "term").select("qid", "term", "idf", (F.col("qtf") * F.col("idf")).alias("w"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("qid")))
     return asked.select("qid", "term", "idf", (F.col("w") / length).alias("qw"))
 
 
 def cosine_scores(index: SearchIndex, queries: dict[str, list[str]]) -> DataFrame:
     """V3: qid, doc_id, score of every document that shares a weighted term with a query; all queries in one plan."""
-    return index.weights().join(query_weights(index, queries), "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 10).alias("score"))
+    asked = sorted({t for terms in queries.values() for t in terms})
+    own = index.weights().filter(F.col("term").isin(asked))  # of a built index, only these terms' row groups are read
+    return own.join(F.broadcast(query_weights(index, queries)), "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 10).alias("score"))
 
 
 def ranked(scores: DataFrame, top_k: int, dp: int = 4) -> DataFrame:
@@ -128,7 +130,7 @@ def and_retrieval(posted: DataFrame, queries: dict[str, list[str]]) -> DataFrame
     """qid, doc_id of documents with all distinct terms of a query."""
     rows = [(q, t, len(set(ts))) for q, ts in queries.items() for t in set(ts)]
     asked = posted.sparkSession.createDataFrame(rows, "qid string, term string, need int")
-    hits = posted.join(F.broadcast(asked), "term").groupBy("qid", "doc_id", "need").agg(F.countDistinct("term").alias("k"))
+    hits = posted.filter(F.col("term").isin(sorted({r[1] for r in rows}))).join(F.broadcast(asked), "term").groupBy("qid", "doc_id", "need").agg(F.countDistinct("term").alias("k"))
     return hits.filter("k = need").select("qid", "doc_id")
 
 
@@ -142,7 +144,7 @@ def phrase_positional(rows: DataFrame, queries: dict[str, list[str]]) -> DataFra
     """Qid, doc_id of documents with the query's tokens at consecutive positions: as many hits as tokens at one start."""
     asked = [(q, t, i, len(ts)) for q, ts in queries.items() for i, t in enumerate(ts)]
     table = rows.sparkSession.createDataFrame(asked, "qid string, term string, offset int, need int")
-    hits = rows.join(F.broadcast(table), "term").groupBy("qid", "doc_id", "need", (F.col("pos") - F.col("offset")).alias("start")).count()
+    hits = rows.filter(F.col("term").isin(sorted({r[1] for r in asked}))).join(F.broadcast(table), "term").groupBy("qid", "doc_id", "need", (F.col("pos") - F.col("offset")).alias("start")).count()
     return hits.filter("count = need").select("qid", "doc_id").distinct()
 
 
@@ -162,6 +164,20 @@ def phrase_comparison(pairs: DataFrame, rows: DataFrame, queries: dict[str, list
     return out.withColumn("more_accurate", F.when(F.col("false_positives") > 0, "Positional Index").otherwise("Tie / Both Exact"))
 
 
+def phrase_page(pairs: DataFrame, rows: DataFrame, queries: dict[str, list[str]], docs: DataFrame) -> DataFrame:
+    """Qid, doc_id, title, category, exact of the biword results; exact where the positional index has them too."""
+    exact = phrase_positional(rows, queries).withColumn("exact", F.lit(True))
+    found = phrase_biword(pairs, queries).join(exact, ["qid", "doc_id"], "left").join(docs.select("doc_id", "title", "category"), "doc_id")
+    return found.select("qid", "doc_id", "title", "category", F.coalesce("exact", F.lit(False)).alias("exact"))
+
+
+def first_false_positive(pairs: DataFrame, rows: DataFrame, queries: dict[str, list[str]]) -> DataFrame:
+    """P5: qid, first_false_positive: the smallest id that the biword index has and the positional one has not, or null."""
+    wrong = phrase_biword(pairs, queries).join(phrase_positional(rows, queries), ["qid", "doc_id"], "left_anti")
+    first = wrong.groupBy("qid").agg(F.min("doc_id").alias("first_false_positive"))
+    return rows.sparkSession.createDataFrame([(q,) for q in queries], "qid string").join(first, "qid", "left")
+
+
 def stem_vs_lemma(stem_hits: DataFrame, lemma_hits: DataFrame, scores: DataFrame, queries: list[str]) -> DataFrame:
     """Per query both pipelines' AND results: counts, overlap, average similarity and the better one."""
     one = stem_hits.withColumn("_s", F.lit(1)).join(lemma_hits.withColumn("_l", F.lit(1)), ["qid", "doc_id"], "full").join(scores, ["qid", "doc_id"], "left")
@@ -229,7 +245,8 @@ def corrected_search(index: SearchIndex, suggestions: DataFrame, top_k: int = 10
 def dictionary_lookup(posted: DataFrame, terms: list[str]) -> DataFrame:
     """L1, L2, L4: term, found, matched_docs: an equality join; the trees of the reference are only its access paths."""
     asked = posted.sparkSession.createDataFrame([(t.strip().lower(),) for t in dict.fromkeys(terms) if t.strip()], "term string")
-    hits = posted.join(F.broadcast(asked), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    known = posted.filter(F.col("term").isin([t.strip().lower() for t in terms]))
+    hits = known.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return asked.join(hits, "term", "left").select("term", F.col("n").isNotNull().alias("found"), F.coalesce("n", F.lit(0).cast("long")).alias("matched_docs"))
 
 
@@ -258,11 +275,6 @@ def btree_height(n: int, t: int = 4) -> tuple[int, int]:
     return math.ceil(math.log(n + 1, 2 * t) - 1e-12), 1 + math.floor(math.log((n + 1) / 2, t) + 1e-12)
 
 
-def union_terms(parts: list[DataFrame]) -> DataFrame:
-    """U4: distinct union of id tables."""
-    return reduce(DataFrame.unionByName, parts).distinct()
-
-
 def collection_vocabulary(rows: DataFrame) -> DataFrame:
     """term, df, cf, first_seen (the first position of the term in the collection's order)."""
     posted = postings(rows)

@@ -18,6 +18,7 @@ from textloom.functions import text as X
 from textloom.operators import corpus, duplicates, evaluate, graph, index, mining, rank, recommend, retrieve
 from textloom.plans import duck as D
 from textloom.plans.session import table
+from textloom.plans.store import built, scratch_path
 from textloom.sources import io, pages as web_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,8 +124,29 @@ def snippet(spark, sf_dir):  # T14
     return documents(spark, sf_dir).select("doc_id", X.snippet(F.col("text"), "thing eau nd").alias("snippet"))
 
 
+def kept(spark, sf_dir, name: str, build: Callable[[], DataFrame], sort_by: tuple[str, ...] = ()) -> DataFrame:
+    """A table built once per input."""
+    return built(spark, f"{sf_dir}/documents.parquet", name, build, sort_by)
+
+
 def lab_rows(spark, sf_dir, normalization="lemmatization") -> DataFrame:
-    return index.token_rows(documents(spark, sf_dir), X.preprocess_lab(F.col("text"), normalization=normalization))
+    """The positions of the lab index, sorted by term."""
+    tokens = X.preprocess_lab(F.col("text"), normalization=normalization)
+    return kept(spark, sf_dir, f"lab {normalization}", lambda: index.token_rows(documents(spark, sf_dir), tokens), ("term", "doc_id", "pos"))
+
+
+def lab_postings(spark, sf_dir, normalization="lemmatization") -> DataFrame:
+    return kept(spark, sf_dir, f"lab {normalization} postings", lambda: index.postings(lab_rows(spark, sf_dir, normalization)), ("term", "doc_id"))
+
+
+def lab_biwords(spark, sf_dir) -> DataFrame:
+    return kept(spark, sf_dir, "lab biwords", lambda: index.biwords(documents(spark, sf_dir), X.preprocess_lab(F.col("text"))), ("biword", "doc_id"))
+
+
+def lab_index(spark, sf_dir) -> index.SearchIndex:
+    """The lab profile's index of all terms."""
+    own = index.build_index(collection(spark, sf_dir), X.preprocess_lab(F.col("text")), max_features=None, min_chars=1)
+    return own.built(lambda name, rows, by: lab_postings(spark, sf_dir) if name == "postings" else kept(spark, sf_dir, f"lab index {name}", lambda: rows, by))
 
 
 LAB = D.lab("text")
@@ -154,11 +176,17 @@ def kgram_index(spark, sf_dir):  # I4, T22
 
 
 def lab_vocabulary(spark, sf_dir) -> DataFrame:
-    return index.vocabulary(index.postings(lab_rows(spark, sf_dir)))
+    return index.vocabulary(lab_postings(spark, sf_dir))
 
 
 def web_index(spark, sf_dir, max_features=8000) -> index.SearchIndex:
-    return index.build_index(collection(spark, sf_dir), X.preprocess_web(F.col("text")), max_features=max_features)
+    own = index.build_index(collection(spark, sf_dir), X.preprocess_web(F.col("text")), max_features=max_features)
+    shared = ("postings", "n_docs")  # whatever the cap
+    return own.built(lambda name, rows, by: kept(spark, sf_dir, f"web {name}" if name in shared else f"web {max_features} {name}", lambda: rows, by))
+
+
+def web_postings(spark, sf_dir) -> DataFrame:
+    return web_index(spark, sf_dir).postings
 
 
 WEB_TFIDF = D.tfidf(D.web("text"), 8000)
@@ -175,7 +203,7 @@ def index_stats(spark, sf_dir):  # I6, I7
 
 @query(f"SELECT term, count(*) AS df FROM ({D.postings(D.web('text'))}) GROUP BY term ORDER BY df DESC, term LIMIT 15")
 def top_df_terms(spark, sf_dir):  # I8
-    return index.top_df_terms(index.postings(index.token_rows(documents(spark, sf_dir), X.preprocess_web(F.col("text")))))
+    return index.top_df_terms(web_postings(spark, sf_dir))
 
 
 @query(f"WITH {WEB_TFIDF} SELECT term, df, cf::BIGINT AS cf, round(idf, 9) AS idf FROM v")
@@ -188,7 +216,7 @@ def vocab_cap(spark, sf_dir):  # I6
         SELECT term, any_value(df) AS df, list_sort(list(doc_id))::VARCHAR[] AS first_ids FROM h WHERE r <= 10 GROUP BY term"""
 )
 def posting_lookup(spark, sf_dir):  # I9
-    return index.posting_lookup(index.postings(lab_rows(spark, sf_dir)), WORDS).select("term", "df", F.col("first_ids").cast("array<string>").alias("first_ids"))
+    return index.posting_lookup(lab_postings(spark, sf_dir), WORDS).select("term", "df", F.col("first_ids").cast("array<string>").alias("first_ids"))
 
 
 @query(
@@ -197,12 +225,12 @@ def posting_lookup(spark, sf_dir):  # I9
         SELECT term, any_value(df) AS df, string_agg(doc_id || ':' || tf, ', ' ORDER BY doc_id) AS posting_list FROM h WHERE r <= 15 GROUP BY term"""
 )
 def index_listing(spark, sf_dir):  # I10, T24
-    return index.index_listing(index.postings(lab_rows(spark, sf_dir)))
+    return index.index_listing(lab_postings(spark, sf_dir))
 
 
 @query(f"SELECT DISTINCT doc_id FROM ({D.postings(D.web('text'))}) WHERE term IN ({D.quoted(WORDS)})")
 def candidate_documents(spark, sf_dir):  # I11
-    return index.candidates(index.postings(index.token_rows(documents(spark, sf_dir), X.preprocess_web(F.col("text")))), WORDS)
+    return index.candidates(web_postings(spark, sf_dir), WORDS)
 
 
 _BIWORDS = ORACLE_SQL["biword_index"]
@@ -213,7 +241,7 @@ _BIWORDS = ORACLE_SQL["biword_index"]
         SELECT biword, array_to_string(list_sort(list(DISTINCT doc_id::VARCHAR)), ', ') AS posting_list FROM h WHERE biword IN (SELECT biword FROM f) GROUP BY biword"""
 )
 def biword_listing(spark, sf_dir):  # I12
-    return index.biword_listing(biword_index(spark, sf_dir), ["thst", "eau"])
+    return index.biword_listing(lab_biwords(spark, sf_dir), ["thst", "eau"])
 
 
 @query(
@@ -246,8 +274,7 @@ def _snippet_of(query_text: str) -> str:
         FROM b JOIN documents d ON b.doc_id = d.doc_id JOIN ({_snippet_of('er nd ha')}) z ON z.doc_id = b.doc_id"""
 )
 def tfidf_search(spark, sf_dir):  # V3, W2, O1, J2
-    lab = index.build_index(collection(spark, sf_dir), X.preprocess_lab(F.col("text")), max_features=None, min_chars=1)
-    return retrieve.ranked_tfidf(lab, "er nd ha", ["er", "nd", "ha"])
+    return retrieve.ranked_tfidf(lab_index(spark, sf_dir), "er nd ha", ["er", "nd", "ha"])
 
 
 @query(
@@ -320,7 +347,7 @@ def _boolean_sql(text: str) -> str:
 for key, expression in BOOLEAN.items():  # B1
 
     def _boolean(spark, sf_dir, expression=expression):
-        return retrieve.boolean_search(index.postings(lab_rows(spark, sf_dir)), documents(spark, sf_dir).select("doc_id"), expression)
+        return retrieve.boolean_search(lab_postings(spark, sf_dir), documents(spark, sf_dir).select("doc_id"), expression)
 
     query(_boolean_sql(expression), key)(_boolean)
 
@@ -348,7 +375,7 @@ _PHRASE_CTES = f"""t AS ({D.rows(LAB)}), q(qid, i, term, need) AS (VALUES {_phra
 
 @query(f"WITH {_PHRASE_CTES} SELECT qid, doc_id FROM bi")
 def phrase_biword(spark, sf_dir):  # B3
-    return retrieve.phrase_biword(biword_index(spark, sf_dir), PHRASES)
+    return retrieve.phrase_biword(lab_biwords(spark, sf_dir), PHRASES)
 
 
 @query(f"WITH {_PHRASE_CTES} SELECT qid, doc_id FROM pos")
@@ -362,7 +389,7 @@ def phrase_positional(spark, sf_dir):  # B4, W4
         SELECT *, CASE WHEN false_positives > 0 THEN 'Positional Index' ELSE 'Tie / Both Exact' END AS more_accurate FROM x"""
 )
 def biword_false_positives(spark, sf_dir):  # B5, P4, P5, J4, U4
-    return retrieve.phrase_comparison(biword_index(spark, sf_dir), lab_rows(spark, sf_dir), PHRASES)
+    return retrieve.phrase_comparison(lab_biwords(spark, sf_dir), lab_rows(spark, sf_dir), PHRASES)
 
 
 _COMPARED = {"things nding": "things nding", "er nd": "er nd", "thst ha": "thst ha", "eaux mentes": "eaux mentes"}
@@ -383,7 +410,7 @@ def _and_sql(normalization: str) -> str:
         CASE WHEN (round(sa, 12) = round(la, 12) AND lemmatized_results >= stemmed_results) OR (round(sa, 12) <> round(la, 12) AND la > sa) THEN 'Lemmatization' ELSE 'Stemming' END AS better FROM x"""
 )
 def stem_vs_lemma(spark, sf_dir):  # B6, P3
-    posted = {n: index.postings(lab_rows(spark, sf_dir, n)) for n in ("stemming", "lemmatization")}
+    posted = {n: lab_postings(spark, sf_dir, n) for n in ("stemming", "lemmatization")}
     found = [retrieve.and_retrieval(posted[n], {q: X.query_tokens_lab(q, normalization=n) for q in _COMPARED}) for n in posted]
     scores = retrieve.cosine_scores(web_index(spark, sf_dir), {q: X.query_tokens_web(q) for q in _COMPARED})
     return retrieve.stem_vs_lemma(*found, scores, list(_COMPARED))
@@ -399,14 +426,28 @@ def spell_suggest(spark, sf_dir):  # X1, T16, F6, J6, O2
     return retrieve.suggest_correction(lab_vocabulary(spark, sf_dir), "thingg")
 
 
-@query()
-def soundex_match(spark, sf_dir):  # X3, T17; DuckDB has no soundex
+def _soundex_sql(w: str) -> str:
+    """The code from its definition: equal neighbours count once, also across h and w; vowels part them."""
+    letters = f"regexp_replace(lower({w}), '[^a-z]', '', 'g')"
+    coded = f"translate({letters}, 'bfpvcgjkqsxzdtlmnr', '111122222222334556')"  # digits for the coded letters
+    bare = f"left({coded}, 1) || regexp_replace(substr({coded}, 2), '[hw]', '', 'g')"
+    for digit in "123456":
+        bare = f"regexp_replace({bare}, '{digit}+', '{digit}', 'g')"
+    rest = f"regexp_replace(substr({bare}, 2), '[^1-6]', '', 'g')"
+    return f"CASE WHEN {letters} = '' THEN '' ELSE upper(left({letters}, 1)) || left({rest} || '000', 3) END"
+
+
+@query(
+    f"""SELECT term, {_soundex_sql('term')} AS code, levenshtein(term, 'thonder')::INT AS distance FROM ({_VOCAB})
+        WHERE {_soundex_sql('term')} = {_soundex_sql("'thonder'")} ORDER BY distance, term LIMIT 10"""
+)
+def soundex_match(spark, sf_dir):  # X3, T17
     return retrieve.phonetic_matches(lab_vocabulary(spark, sf_dir), "thonder")
 
 
 @query(f"WITH p AS ({D.postings(LAB)}), t AS (SELECT DISTINCT term FROM p WHERE term GLOB 'th*[st]?' ORDER BY term LIMIT 50) SELECT count(DISTINCT term) AS expanded_terms, count(DISTINCT doc_id) AS matching_docs FROM p WHERE term IN (SELECT term FROM t)")
 def wildcard_docs(spark, sf_dir):  # X4, T23
-    return retrieve.wildcard_docs(index.postings(lab_rows(spark, sf_dir)), "th*[st]?")
+    return retrieve.wildcard_docs(lab_postings(spark, sf_dir), "th*[st]?")
 
 
 @query(
@@ -417,7 +458,11 @@ def kgram_suggest(spark, sf_dir):  # X5
     return retrieve.kgram_suggestions(lab_vocabulary(spark, sf_dir), "thinger")
 
 
-@query()
+@query(
+    f"""WITH {WEB_TFIDF}, best AS (SELECT term FROM v WHERE abs(length(term) - 6) <= 3 AND levenshtein(term, 'thingg') <= 3 ORDER BY levenshtein(term, 'thingg'), term LIMIT 1),
+        b AS (SELECT w.term AS qid, doc_id, round(weight, 10) AS score FROM w JOIN best ON w.term = best.term)
+        SELECT qid, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank, doc_id, round(score, 4) AS score FROM b QUALIFY rank <= 10"""
+)
 def corrected_search(spark, sf_dir):  # X6
     own = web_index(spark, sf_dir)
     return retrieve.corrected_search(own, retrieve.suggest_correction(own.vocab, "thingg"))
@@ -425,7 +470,7 @@ def corrected_search(spark, sf_dir):  # X6
 
 @query(f"SELECT q.term, max(x.term) IS NOT NULL AS found, count(x.doc_id) AS matched_docs FROM (VALUES {', '.join(f'({D.quoted([w])})' for w in WORDS)}) q(term) LEFT JOIN ({D.postings(LAB)}) x ON q.term = x.term GROUP BY q.term")
 def dictionary_lookup(spark, sf_dir):  # L1, L2, L4
-    return retrieve.dictionary_lookup(index.postings(lab_rows(spark, sf_dir)), WORDS)
+    return retrieve.dictionary_lookup(lab_postings(spark, sf_dir), WORDS)
 
 
 @query(f"SELECT count(*) AS dictionary_terms, count(*) AS sorted_height, (floor(log2(count(*))) + 1)::BIGINT AS median_first_height FROM ({_VOCAB})")
@@ -473,10 +518,7 @@ def exact_dups(spark, sf_dir):  # C4, W5
 
 _NEAR_SQL = f"""WITH s AS (SELECT doc_id, list_sort(list_distinct({D.plain_tokens('text')})) AS t FROM documents),
         c AS (SELECT min(doc_id) AS id, t, len(t) AS n FROM s WHERE len(t) > 0 GROUP BY t),
-        e AS (SELECT id, n, unnest(t) AS token FROM c), f AS (SELECT token, count(*) AS df FROM e GROUP BY token),
-        o AS (SELECT e.id, e.n, e.token, row_number() OVER (PARTITION BY e.id ORDER BY f.df, e.token) AS r FROM e JOIN f ON e.token = f.token),
-        x AS (SELECT * FROM o WHERE r <= n - ceil(0.85 * n) + 1),
-        p AS (SELECT DISTINCT a.id AS a, b.id AS b FROM x a JOIN x b ON a.token = b.token AND a.id < b.id WHERE least(a.n, b.n) >= 0.85 * greatest(a.n, b.n)),
+        p AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.id < b.id AND least(a.n, b.n) >= 0.85 * greatest(a.n, b.n)),
         j AS (SELECT a, b, len(list_intersect(u.t, v.t))::DOUBLE / (u.n + v.n - len(list_intersect(u.t, v.t))) AS jaccard FROM p JOIN c u ON p.a = u.id JOIN c v ON p.b = v.id),
         m AS (SELECT a AS id, b AS other, jaccard FROM j WHERE jaccard >= 0.85 UNION ALL SELECT b, a, jaccard FROM j WHERE jaccard >= 0.85 UNION ALL SELECT id, id, 1.0 FROM c)
         SELECT s.doc_id, min(m.other) AS duplicate_of, round(arg_min(m.jaccard, m.other), 6) AS jaccard FROM s JOIN c ON s.t = c.t JOIN m ON c.id = m.id GROUP BY s.doc_id HAVING min(m.other) < s.doc_id"""
@@ -571,7 +613,8 @@ def page_links_all(spark, sf_dir):  # S9, relative links as well
 
 
 def site(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return graph.web_graph(collection(spark, sf_dir))
+    pages, links = graph.web_graph(collection(spark, sf_dir))
+    return pages, kept(spark, sf_dir, "links", lambda: links)
 
 
 _GRAPH = f"""d AS (SELECT doc_id, lang AS cat, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (ORDER BY lang, doc_id) - 1 AS idx, 'local-news://' || lang || '/' || doc_id AS url, 'local-news://' || lang || '/hub' AS hub FROM documents),
@@ -691,10 +734,16 @@ def document_profile(spark, sf_dir):  # M2, A10g, T20
     return out.withColumn("word_count", F.col("word_count").cast("long")).withColumn("unique_words", F.col("unique_words").cast("long"))
 
 
-@query()
+@query(
+    f"""WITH a AS ({ORACLE_SQL['document_profile']}), {D.tfidf(D.web('text'), 5000)}, kt AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 10) DESC, term) AS r FROM w),
+        t AS (SELECT doc_id, string_agg(term, ', ' ORDER BY r) AS top_keywords_tfidf FROM kt WHERE r <= 6 GROUP BY doc_id),
+        k AS (SELECT doc_id, string_agg(phrase, ', ' ORDER BY rank) AS top_keywords_rake FROM ({ORACLE_SQL['rake']}) WHERE rank <= 6 GROUP BY doc_id)
+        SELECT a.*, top_keywords_tfidf, top_keywords_rake FROM a LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)"""
+)
 def full_profile(spark, sf_dir):  # M2, P10 with both keyword lists
-    docs = collection(spark, sf_dir)
-    return mining.full_profiles(docs, mining.keyword_index(docs).weights())
+    weighted = web_index(spark, sf_dir, 5000).weights().withColumn("weight", F.round("weight", 10))
+    out = mining.full_profiles(collection(spark, sf_dir), weighted)
+    return out.withColumn("word_count", F.col("word_count").cast("long")).withColumn("unique_words", F.col("unique_words").cast("long"))
 
 
 _SPLIT = "sp AS (SELECT doc_id, lang AS label, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || ':42')) <= floor(count(*) OVER (PARTITION BY lang) * 0.25 + 0.5) AS test FROM documents WHERE lang IN (SELECT lang FROM documents GROUP BY lang HAVING count(*) >= 2))"
@@ -717,12 +766,18 @@ def _bayes_sql(kind: str) -> str:
         pd AS (SELECT doc_id, label, c AS prediction FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, c) = 1)"""
 
 
+def classified(spark, sf_dir, **options) -> DataFrame:
+    """M3 with features and split that are built once."""
+    return mining.classify(collection(spark, sf_dir), keep=lambda name, rows: kept(spark, sf_dir, name, lambda: rows), **options)
+
+
 for kind in ("bow", "tfidf"):  # M3, A8g
 
     def _bayes(spark, sf_dir, kind=kind):
-        return mining.confusion(mining.classify(collection(spark, sf_dir), feature_type=kind))
+        return mining.confusion(classified(spark, sf_dir, feature_type=kind))
 
-    query(f"{_bayes_sql(kind)} SELECT label, prediction, count(*) AS n FROM pd GROUP BY label, prediction", f"classify_nb_{kind}")(_bayes)
+    _names = "(SELECT label AS c FROM pd UNION SELECT prediction FROM pd)"
+    query(f"{_bayes_sql(kind)} SELECT a.c AS label, b.c AS prediction, count(pd.doc_id) AS n FROM {_names} a CROSS JOIN {_names} b LEFT JOIN pd ON pd.label = a.c AND pd.prediction = b.c GROUP BY a.c, b.c", f"classify_nb_{kind}")(_bayes)
 
 
 @query(
@@ -730,17 +785,17 @@ for kind in ("bow", "tfidf"):  # M3, A8g
         SELECT round(sum(tp)::DOUBLE / sum(a), 4) AS accuracy, round(avg(2.0 * coalesce(tp, 0) / (coalesce(a, 0) + coalesce(p, 0))), 4) AS f1_macro, sum(a)::BIGINT AS n_test FROM ac FULL JOIN sa ON ac.c = sa.c"""
 )
 def classify_quality(spark, sf_dir):  # A9g
-    return mining.quality(mining.confusion(mining.classify(collection(spark, sf_dir))))
+    return mining.quality(mining.confusion(classified(spark, sf_dir)))
 
 
 @query()
 def classify_logreg(spark, sf_dir):  # M3
-    return mining.quality(mining.confusion(mining.classify(collection(spark, sf_dir), model_type="logreg")))
+    return mining.quality(mining.confusion(classified(spark, sf_dir, model_type="logreg")))
 
 
 @query()
 def comparative_analysis(spark, sf_dir):  # M5
-    return mining.comparative_analysis(collection(spark, sf_dir))
+    return mining.comparative_analysis(collection(spark, sf_dir), keep=lambda name, rows: kept(spark, sf_dir, name, lambda: rows))
 
 
 _CONTENT = f"WITH {WEB_TFIDF}, c AS (SELECT b.doc_id, sum(a.weight * b.weight) AS s FROM w a JOIN w b ON a.term = b.term WHERE a.doc_id = 0 AND b.doc_id <> 0 GROUP BY b.doc_id), cr AS (SELECT d.doc_id, round(round(coalesce(c.s, 0), 10), 4) AS similarity_score FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id WHERE d.doc_id <> 0)"
@@ -890,3 +945,134 @@ def compare_link_methods(spark, sf_dir):  # E9, E10
 def evaluate_pagerank(spark, sf_dir):  # P13
     again = _reranked(base_run(spark, sf_dir), link_scores(spark, sf_dir), "tfidf + pagerank")
     return evaluate.with_mean(evaluate.evaluate(again, evaluate.judgements(collection(spark, sf_dir), EVALUATED)))
+
+
+# Sources and sinks, each written and read again.
+
+
+def _folder(spark, name: str) -> str:
+    return scratch_path(spark, name)
+
+
+@query("SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part")
+def csv_round_trip(spark, sf_dir):  # S1, S3, K4, K5
+    path = _folder(spark, "csv")
+    io.write_csv(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"), path)
+    return io.read_csv(spark, path).select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_name", "p_brand", "p_size", "p_retailprice")
+
+
+@query(f"SELECT doc_id::VARCHAR AS doc_id, lang AS category, md5({TITLE_SQL}) AS title_md5, md5(text) AS text_md5 FROM documents")
+def dataset_round_trip(spark, sf_dir):  # S4: texts with quotes and line breaks
+    path = _folder(spark, "dataset")
+    io.write_csv(collection(spark, sf_dir).select("doc_id", "category", "title", "text"), path)
+    return io.read_dataset(spark, path).select("doc_id", "category", F.md5("title").alias("title_md5"), F.md5("text").alias("text_md5"))
+
+
+@query(f"SELECT doc_id::VARCHAR AS id, {D.word_count('text')}::INT AS word_count, md5(text) AS text_md5 FROM documents")
+def store_round_trip(spark, sf_dir):  # K1, K2, S13
+    path = _folder(spark, "store")
+    io.init_store(spark, path)
+    io.save_corpus(*corpus.base_corpus(collection(spark, sf_dir)), path)
+    meta, texts = io.load_corpus(spark, path)
+    return meta.select("id", "word_count").join(texts.select("id", F.md5("raw_text").alias("text_md5")), "id")
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS documents, true AS has_size, true AS has_report")
+def store_report(spark, sf_dir):  # K3, K6
+    path = _folder(spark, "report")
+    io.save_corpus(*corpus.base_corpus(collection(spark, sf_dir)), path)
+    meta = io.load_corpus(spark, path)[0]
+    report = io.summary_markdown(corpus.dashboard(meta))
+    return meta.agg(F.count(F.lit(1)).alias("documents")).select("documents", F.lit(io.store_size_kb(spark, path) > 0).alias("has_size"), F.lit("- documents: " in report).alias("has_report"))
+
+
+@query("SELECT printf('D%03d', row_number() OVER (ORDER BY c_custkey)) AS doc_id, c_name AS text FROM customer")
+def text_blocks(spark, sf_dir):  # S2: one file with blank lines between documents; ids go on from file to file
+    path = _folder(spark, "blocks")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit("\n\n")).alias("value"))
+    rows.repartitionByRange(3, "c_custkey").sortWithinPartitions("c_custkey").select("value").write.mode("overwrite").text(path)
+    return io.read_text(spark, path)
+
+
+@query("SELECT printf('D%04d', row_number() OVER (ORDER BY doc_id)) AS doc_id, md5(text) AS text_md5 FROM documents")
+def synthetic_ids(spark, sf_dir):  # S14, S15
+    rows = documents(spark, sf_dir).orderBy("doc_id").select("n_chars", "text")
+    return corpus.synthesize_ids(rows).select("doc_id", F.md5(corpus.text_column(rows)).alias("text_md5"))
+
+
+@query(f"SELECT 'crawl' AS source_type, url, md5(title) AS title_md5, md5(text) AS text_md5, links FROM ({ORACLE_SQL['page_title']}) JOIN ({ORACLE_SQL['page_text']}) USING (url) JOIN ({ORACLE_SQL['page_links_abs']}) USING (url)")
+def parsed_pages(spark, sf_dir):  # S8, S12
+    return web_pages.parse_pages(table(spark, sf_dir, "pages")).select("source_type", "url", F.md5("title").alias("title_md5"), F.md5("text").alias("text_md5"), F.array_join("outlinks", " ").alias("links"))
+
+
+# Pages of the two applications.
+
+
+@query(
+    f"""WITH {_PHRASE_CTES}, x AS (SELECT bi.qid, bi.doc_id, EXISTS (SELECT 1 FROM pos WHERE pos.qid = bi.qid AND pos.doc_id = bi.doc_id) AS exact FROM bi)
+        SELECT qid, x.doc_id, {TITLE_SQL} AS title, lang AS category, exact FROM x JOIN documents d ON x.doc_id = d.doc_id"""
+)
+def phrase_page(spark, sf_dir):  # P4: the biword index's results, with those that the positional index confirms
+    return retrieve.phrase_page(lab_biwords(spark, sf_dir), lab_rows(spark, sf_dir), PHRASES, collection(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_PHRASE_CTES}, n AS (SELECT DISTINCT qid FROM q), x AS (SELECT qid, doc_id FROM bi EXCEPT SELECT qid, doc_id FROM pos)
+        SELECT n.qid, min(x.doc_id) AS first_false_positive FROM n LEFT JOIN x ON n.qid = x.qid GROUP BY n.qid"""
+)
+def first_false_positive(spark, sf_dir):  # P5
+    return retrieve.first_false_positive(lab_biwords(spark, sf_dir), lab_rows(spark, sf_dir), PHRASES)
+
+
+@query(f"SELECT better, count(*) AS wins FROM ({ORACLE_SQL['stem_vs_lemma']}) GROUP BY better")
+def normalization_wins(spark, sf_dir):  # P3
+    return stem_vs_lemma(spark, sf_dir).groupBy("better").agg(F.count(F.lit(1)).alias("wins"))
+
+
+@query(f"SELECT t.doc_id, t.similarity_score, {TITLE_SQL} AS title, lang AS category FROM ({ORACLE_SQL['content_top5']}) t JOIN documents d ON t.doc_id = d.doc_id")
+def content_panel(spark, sf_dir):  # P12
+    return content_top5(spark, sf_dir).join(collection(spark, sf_dir).select("doc_id", "title", "category"), "doc_id").select("doc_id", "similarity_score", "title", "category")
+
+
+@query("WITH d AS (SELECT CAST(ts AS DATE)::VARCHAR AS day, count(*) AS added FROM events GROUP BY 1) SELECT day, added, sum(added) OVER (ORDER BY day)::BIGINT AS documents FROM d")
+def corpus_growth(spark, sf_dir):  # P14
+    return corpus.growth(table(spark, sf_dir, "events"), "ts")
+
+
+@query(f"SELECT doc_id FROM ({ORACLE_SQL['exact_dups']}) WHERE duplicate_of IS NOT NULL")
+def flagged_documents(spark, sf_dir):  # F2
+    meta = exact_dups(spark, sf_dir).select("doc_id", F.col("duplicate_of").isNotNull().cast("int").alias("is_exact_duplicate"), F.lit(0).alias("is_near_duplicate"))
+    return corpus.flagged(meta).select("doc_id")
+
+
+@query(f"WITH {_GRAPH} SELECT DISTINCT src, dst FROM e")
+def united_links(spark, sf_dir):  # U2: link tables of several crawls, a link once
+    links = site(spark, sf_dir)[1].select("src", "dst")
+    return graph.unite_links([links, links.filter(F.startswith("src", F.lit(C.HOME_URL))), links])
+
+
+@query(
+    f"""WITH {_LINK_SQL}, b AS (SELECT doc_id, score FROM ({ORACLE_SQL['batch_search']}) WHERE qid = 'er nd ha'), rl AS (SELECT min(score) AS lo, max(score) AS hi FROM b), ll AS (SELECT min(link_score) AS lo, max(link_score) AS hi FROM ls)
+        SELECT coalesce(b.doc_id, ls.doc_id) AS doc_id, round(0.7 * coalesce((b.score - rl.lo) / (rl.hi - rl.lo), 0) + 0.3 * coalesce((ls.link_score - ll.lo) / (ll.hi - ll.lo), 0), 6) AS blended_score
+        FROM (b FULL JOIN ls ON b.doc_id = ls.doc_id), rl, ll"""
+)
+def blended_scores(spark, sf_dir):  # V6 over the union of both sides
+    results = batch_search(spark, sf_dir).filter("qid = 'er nd ha'").select("doc_id", F.col("score").alias("relevance_score"))
+    return rank.blend(results, link_scores(spark, sf_dir)).select("doc_id", F.round("blended_score", 6).alias("blended_score"))
+
+
+def _seed_sql() -> str:
+    feed = ", ".join(f"({D.quoted(r)})" for r in io.FEED)
+    seeds = ", ".join(f"({D.quoted(r)})" for r in C.EVALUATION_SEEDS)
+    return f"SELECT s.q AS qid, f.category, f.doc_id FROM (VALUES {feed}) f(doc_id, category, title, text) JOIN (VALUES {seeds}) s(q, c) ON f.category = s.c WHERE list_bool_or(list_transform(string_split(lower(s.q), ' '), lambda t: contains(lower(f.text), t)))"
+
+
+@query(_seed_sql())
+def seed_qrels(spark, sf_dir):  # E1 with the ten fixed seeds, over the article feed
+    return evaluate.judgements(io.fetch_articles(spark), C.EVALUATION_SEEDS, 1)
+
+
+@query()
+def crawl_listing(spark, sf_dir):  # P9: pages of a crawl in the order of their discovery
+    meta = graph.crawl(*site(spark, sf_dir), [C.HOME_URL], 3, 400)[0]
+    return meta.select("url", "category", "depth", "discovered_at", "is_exact_duplicate", "is_near_duplicate").orderBy("discovered_at", "url")

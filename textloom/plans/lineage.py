@@ -29,15 +29,21 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, removed at exit."""
+    path = f"{_shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a table written to the shared folder.
 
     Unlike a checkpointed plan, it is planned by its true size: the estimates of plans that
     join with themselves round after round would grow without end."""
     spark = df.sparkSession
-    path = f"{_shared_dir(spark)}/textloom/cut-{uuid.uuid4().hex}"
+    path = new_path(spark, "cut")
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._textloom_path = path
     return out

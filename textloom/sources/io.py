@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.corpus import CONTENT, METADATA
@@ -35,10 +35,13 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, text: one document per block between blank lines, numbered D001 and on per input."""
+    """doc_id, text: one document per block between blank lines, numbered D001 and on over the files in the order of their names."""
     whole = spark.read.text(path, wholetext=True)
-    blocks = whole.select(F.filter(F.transform(F.split("value", r"\n\s*\n"), lambda b: F.trim(F.regexp_replace(b, r"^\s+|\s+$", ""))), lambda b: b != "").alias("b"))
-    return blocks.select(F.posexplode("b").alias("i", "text")).select(F.format_string("D%03d", F.col("i") + 1).alias("doc_id"), "text")
+    blocks = whole.select(F.input_file_name().alias("file"), F.filter(F.transform(F.split("value", r"\n\s*\n"), lambda b: F.trim(F.regexp_replace(b, r"^\s+|\s+$", ""))), lambda b: b != "").alias("b"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    before = blocks.select("file", F.size("b").alias("n")).select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    placed = blocks.join(before, "file").select("before", F.posexplode("b").alias("i", "text"))
+    return placed.select(F.format_string("D%03d", F.col("before") + F.col("i") + 1).alias("doc_id"), "text")
 
 
 def fetch_articles(spark: SparkSession) -> DataFrame:
@@ -85,7 +88,7 @@ def store_size_kb(spark: SparkSession, path: str) -> float:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """K4, K5."""
-    df.write.mode("overwrite").csv(path, header=True)
+    df.write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def summary_markdown(counts: DataFrame) -> str:
