@@ -51,3 +51,29 @@ def test_few_vectors(spark, n):
     frame = spark.createDataFrame([(100 * i, [1.0, float(i)]) for i in range(n)], "vec_id long, embedding array<float>")
     found = nearest_neighbours(frame, lambda v: v % 100 == 0).collect()
     assert len(found) == n * max(0, n - 1)
+
+
+def test_recall_with_split_leaves(spark, monkeypatch):
+    """10,000 vectors in leaves of 128 at most, several shards: what the descent and the search find, not the first leaf."""
+    monkeypatch.setattr("textloom.llm.nn_descent.LEAF", 256)
+    monkeypatch.setattr("textloom.llm.nn_descent.SHARD_BYTES", 4 << 20)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(10_000, 16)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    rows = nearest_neighbours(frame, lambda v: v % 100 == 0).collect()
+    hits = 0
+    for q in range(0, 10_000, 100):
+        own = {r.vec_id for r in rows if r.query_id == q}
+        assert len(own) == 10
+        hits += len(own & {v for v, _ in brute(np.arange(10_000), x.astype(np.float64), q)})
+    assert hits >= 0.9 * len(rows)
+
+
+def test_hot_vector_with_many_queries(spark, monkeypatch):
+    monkeypatch.setattr("textloom.llm.common.LEAST_HOT", 3)
+    rows = [(i, [1.0, 1.0]) for i in range(0, 2000, 10)] + [(5000 + i, [1.0, 2.0 + i]) for i in range(30)]
+    found = nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda v: v % 100 == 0, k=3).collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    for q in (0, 100, 1900, 5000):
+        own = sorted((r for r in found if r.query_id == q), key=lambda r: r["rank"])
+        assert [r.vec_id for r in own] == [v for v, _ in brute(ids, x, q, 3)]

@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by NN-descent and greedy graph search.
 
 Nodes are the distinct vectors, so copies of a vector are one node that knows its k + 1
-smallest ids (no query needs more of them). Nodes are dealt to shards of about
-``SHARD_NODES`` by a hash; every step is one join of messages with shards:
+smallest ids (no query needs more of them). Nodes are dealt by a hash to shards, whose nodes'
+neighbours' vectors should fill ``SHARD_BYTES``; every step is one join of messages with shards:
 
 1. First graph: random-projection trees, their splits fitted on a bounded sample of
    ``SAMPLE`` vectors, deal all nodes to leaves; rows are range-partitioned by leaf and
@@ -13,18 +13,22 @@ smallest ids (no query needs more of them). Nodes are dealt to shards of about
    to each shard that needs it, not once per edge, and proposals are cut to K per node
    before they travel.
 3. Queries are nodes themselves and start from their own neighbours. Each round expands
-   the ``EXPAND`` nearest nodes not yet expanded among the ``BEAM`` nearest found.
-4. The nearest candidates are measured again in double precision on original vectors.
+   the ``EXPAND`` nearest nodes not yet expanded among the ``BEAM`` nearest found. A query's
+   vector travels only to the shards that hold its new candidates, ``EXPAND`` x 2 ``K`` at most.
+   Rounds end when no query has a node left to expand, or after ``STEPS``.
+4. The nearest candidates are measured again in double precision on original vectors, and each
+   node keeps its nearest rows, as one list, before the ids that share it are attached.
 
 Edge cases: vectors that are null, zero, or hold a null or non-finite component, and rows
 with a null id, take no part; nor do vectors whose length is not the most frequent one
-(the smaller one in a tie). Ties in distance go to the smaller id. An id that repeats with
+(the smaller one in a tie); their number is logged. Ties in distance go to the smaller id. An id that repeats with
 the same vector is one candidate; with different vectors, each is. Fewer candidates than
 k give fewer rows, a single vector or an empty table none.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,13 +37,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import Scratch, map_arrow
+from textloom.llm.common import Scratch, join_groups, map_arrow
 
 K = 32
 TREES, LEAF, SAMPLE = 6, 2048, 8192
 ROUNDS, PROPOSALS = 3, 16
 BEAM, EXPAND, STEPS = 200, 100, 5
-SHARD_NODES = 4096
+#: Bytes of vectors that a shard's nodes may name, 2 K each.
+SHARD_BYTES = 64 << 20
+_log = logging.getLogger(__name__)
 #: Candidates of a query that are measured again in double precision.
 REFINED = 40
 
@@ -143,10 +149,13 @@ class NearestNeighbours:
         finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter(F.col("id").isNotNull() & v.isNotNull())
         rows = rows.filter(finite & F.exists(v, lambda x: x != 0))
-        lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-        self.width = lengths["d"] if lengths else 0
+        lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+        most = lengths.agg(F.max(F.struct("n", (-F.col("d")).alias("d"))).alias("m"), F.sum("n").alias("all")).first()
+        self.width = -most["m"]["d"] if most["m"] else 0
         if not self.width:
             return
+        if most["all"] > most["m"]["n"]:
+            _log.warning("%d vectors are not of the most frequent length %d and take no part", most["all"] - most["m"]["n"], self.width)
         self.rows = rows.filter(F.size("v") == self.width)
         own = Window.partitionBy("v").orderBy("id")
         few = self.rows.distinct().withColumn("_r", F.row_number().over(own)).filter(F.col("_r") <= k + 1)
@@ -154,13 +163,26 @@ class NearestNeighbours:
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, width)
+                flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, width) + 0  # no negative zeros
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in flat], pa.binary())], names=["node", "members", "vec"])
 
         grouped = few.groupBy("v").agg(F.min("id").alias("node"), F.array_sort(F.collect_list("id")).alias("members")).select("node", "members", "v")
         self.nodes = self.scratch.keep(map_arrow(grouped, pack, "node long, members array<long>, vec binary"), "nodes")
         self.n = self.nodes.count()
-        self.shards = max(6, -(-self.n // SHARD_NODES))
+        per_shard = max(64, SHARD_BYTES // (2 * K * self.width * np.dtype(self.kind).itemsize))
+        self.shards = max(6, -(-self.n // per_shard))
+
+    @property
+    def _packed(self):
+        """(id, vector) with the vector as bytes."""
+        kind, width = self.kind, self.width
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, width) + 0  # no negative zeros
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in flat], pa.binary())], names=["query_id", "vec"])
+
+        return run
 
     def _dealt(self, messages: DataFrame) -> DataFrame:
         return messages.repartitionById(self.shards, F.col("shard"))
@@ -366,11 +388,12 @@ class NearestNeighbours:
             where = shard_of(pairs[0], shards)
             yield _messages([(int(s), "pair", np.ascontiguousarray(pairs[0][where == s]), np.ascontiguousarray(pairs[1][where == s]), None) for s in np.unique(where)])
 
-        def send_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The queries of each shard's new candidates."""
             for batch in batches:
-                ids, x = batch.column(0).to_numpy(), _stack(batch.column(1), kind, width) if batch.num_rows else None
-                if len(ids):
-                    yield _messages([(s, "query", ids, x, None) for s in range(shards)])
+                for shard, query in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    own = np.unique(np.frombuffer(query, dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), shard), pa.int32()), pa.array(own)], names=["shard", "query"])
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Distances of the pairs whose nodes this shard holds."""
@@ -381,7 +404,7 @@ class NearestNeighbours:
                         nodes.append(int.from_bytes(a, "big", signed=True))
                         vecs.append(b)
                     elif kind_ == "query":
-                        queries.append(np.frombuffer(a, dtype=np.int64))
+                        queries.append(int.from_bytes(a, "big", signed=True))
                         qvecs.append(b)
                     else:
                         pairs[0].append(np.frombuffer(a, dtype=np.int64))
@@ -390,8 +413,7 @@ class NearestNeighbours:
                 return
             order, nodes = np.argsort(nodes), np.array(nodes, dtype=np.int64)
             nodes, x = nodes[order], np.frombuffer(b"".join(vecs), dtype=kind).reshape(-1, width).astype(np.float32)[order]
-            queries = np.concatenate(queries)
-            order = np.argsort(queries)
+            order, queries = np.argsort(queries), np.array(queries, dtype=np.int64)
             queries, y = queries[order], np.frombuffer(b"".join(qvecs), dtype=kind).reshape(-1, width).astype(np.float32)[order]
             found = np.unique(np.stack(list(map(np.concatenate, pairs))), axis=1)
             out = [[], [], []]
@@ -406,10 +428,14 @@ class NearestNeighbours:
         schema = "query long, vec binary, ids binary, dist binary, done binary"
         for step in range(1, STEPS + 1):
             asks = map_arrow(state, expand, _MESSAGE)
-            pairs = map_arrow(self._dealt(lists.unionByName(asks)), answer, _MESSAGE)
-            sent = map_arrow(state.select("query", "vec"), send_queries, _MESSAGE)
+            pairs = self.scratch.keep(map_arrow(self._dealt(lists.unionByName(asks)), answer, _MESSAGE), f"pairs-{step}")
+            if pairs.isEmpty():
+                break
+            wanted = map_arrow(pairs.select("shard", "b"), shards_of, "shard int, query long").distinct()
+            sent = wanted.join(state.select("query", "vec"), "query").select("shard", F.lit("query").alias("kind"), _as_bytes("query").alias("a"), F.col("vec").alias("b"), F.lit(None).cast("binary").alias("c"))
             found = map_arrow(self._dealt(vectors.unionByName(pairs).unionByName(sent)), measure, schema)
             state = self.scratch.keep(map_arrow(found.unionByName(state).repartition("query"), _merge_states, schema), f"state-{step}")
+            self.scratch.drop(f"pairs-{step}", f"state-{step - 1}")
         return state.select("query", "ids", "dist")
 
     def query(self, is_query) -> DataFrame:
@@ -418,9 +444,10 @@ class NearestNeighbours:
         if not self.width:
             return self.spark.createDataFrame([], schema)
         asked = self.rows.filter(is_query(F.col("id"))).distinct()
-        first = self.rows.groupBy("v").agg(F.min("id").alias("query"))
-        asked = self.scratch.keep(asked.join(first, "v").select(F.col("id").alias("query_id"), "query"), "asked")
-        found = self.search(asked.select("query").distinct())
+        first = self.nodes.select("node", "vec")
+        asked = self.scratch.keep(map_arrow(asked, self._packed, "query_id long, vec binary").join(first, "vec").select("query_id", F.col("node").alias("query")), "asked")
+        sizes = self.scratch.keep(asked.groupBy("query").agg(F.count(F.lit(1)).alias("ids")), "sizes")
+        found = self.search(sizes.select("query"))
         kind, width, k = self.kind, self.width, self.k
 
         def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,10 +469,15 @@ class NearestNeighbours:
         pairs = map_arrow(found.select("query", "ids"), nearest, "query long, node long")
         pairs = pairs.join(self.nodes.select("node", "members", "vec"), "node").join(self.nodes.select(F.col("node").alias("query"), F.col("vec").alias("query_vec")), "query")
         measured = map_arrow(pairs.select("query", "members", "vec", "query_vec"), exact, "query long, members array<long>, score double")
-        rows = asked.join(measured, "query").select("query_id", "score", F.explode("members").alias("vec_id")).filter("vec_id <> query_id")
-        rows = rows.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-        order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-        return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        # k + 1 rows of a node are enough for each id that shares it, as one of them may be that id itself.
+        near = measured.select("query", F.explode("members").alias("vec_id"), "score").groupBy("query", "vec_id").agg(F.min("score").alias("score"))
+        order = Window.partitionBy("query").orderBy("score", "vec_id")
+        near = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
+        lists = near.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("list"))
+        lists = self.scratch.keep(lists.join(sizes, "query"), "lists")
+        own = F.slice(F.filter("list", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+        rows = join_groups(asked, lists, ["query"], "ids").select("query_id", F.posexplode(own).alias("place", "x"))
+        return rows.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
 def _split(a: np.ndarray, b: np.ndarray, dist: np.ndarray, shards: int, kind: str) -> list[tuple]:
