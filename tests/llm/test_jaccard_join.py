@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from textloom.llm.jaccard_join import Block, Shingler, bucket_pairs, jaccard_components, least_overlap, list_pairs, prefix
+from textloom.llm.jaccard_join import Block, Shingler, bucket_pairs, jaccard_components, keep_one_each, least_overlap, list_pairs, prefix
 
 SCHEMA = "doc_id long, text string, score int"
 
@@ -138,3 +138,24 @@ def test_block_overlaps():
     block = Block(list(range(40)), sets)
     for x in sets[:10]:
         assert block.overlaps(x).tolist() == [len(np.intersect1d(x, y)) for y in sets]
+
+
+def test_repeated_ids_with_different_texts(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    frame = spark.createDataFrame([(5, a, 0), (5, b, 1), (2, a.upper(), 2), (7, b, 3), (7, b, 3), (None, a, 4), (8, None, 5), (8, "", 6)], SCHEMA)
+    found = sorted(map(tuple, jaccard_components(frame).collect()), key=repr)
+    assert found == sorted([(5, 2, 2), (5, 2, 5), (2, 2, 2), (7, 2, 5), (7, 2, 5), (None, 2, None), (8, 0, 8), (8, 0, 8)], key=repr)
+    kept = keep_one_each(frame.withColumnRenamed("score", "marker"))
+    assert sorted((r.marker for r in kept.collect())) == [1, 2, 4, 5, 6] and kept.columns == ["doc_id", "text", "marker"]
+    assert keep_one_each(frame.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("seed", [2, 5])
+def test_pairs_of_hubs_are_dealt(spark, monkeypatch, seed):
+    """Hubs of more than two partners go to blocks, and band groups of more than three rows are broadcast."""
+    monkeypatch.setattr("textloom.llm.jaccard_join.BLOCK", 2)
+    monkeypatch.setattr("textloom.llm.common.LEAST_HOT", 3)
+    rows = hub_corpus(seed, 40) if seed == 5 else corpus(seed)
+    found = jaccard_components(spark.createDataFrame([(d, t, 0) for d, t in rows], SCHEMA)).collect()
+    assert sorted(map(tuple, found)) == brute(rows)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("textloom_texts")]

@@ -100,3 +100,34 @@ def test_toxicity_edge_cases(spark):
     assert toxicity.score(docs.limit(0), model, names=("s", "p")).collect() == []
     none = toxicity.train(docs, labels.limit(0), F.lit(True))
     assert {r.p for r in toxicity.score(docs, none, names=("s", "p")).collect()} == {0}
+
+
+def test_long_texts_teach(spark):
+    """All texts are far longer than others' limits; a language of one document has a model; inner names may clash."""
+    long = {"en": "the cat sat on a warm mat ", "de": "der hund und die katze schlafen "}
+    rows = [(i, long[lang] * 1200, lang, "x") for i, lang in enumerate(["en", "de"] * 6)] + [(50, "el perro y los gatos duermen " * 3, "es", "x"), (51, "el gato duerme", None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _text string")
+    model = language_id.train(docs, F.lit(True))
+    assert model.langs == ["de", "en", "es"]
+    found = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
+    assert found[0].lang_pred == "en" and found[1].lang_pred == "de" and found[50].lang_pred == found[51].lang_pred == "es" and found[0]._text == "x"
+    toxic = spark.createDataFrame([(i, ("vile scum fool " if i % 3 == 0 else "") + f"calm sea wind {i * 7919} bird {i * 104729} " * 1200, "x") for i in range(60)], "doc_id long, text string, _text string")
+    model = toxicity.train(toxic, toxic.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")), F.lit(True))
+    assert model.weights and {r.doc_id for r in toxicity.score(toxic, model).collect() if r.predicted} == set(range(0, 60, 3))
+
+
+def test_near_copies_share_a_weight_and_others_do_not():
+    rng = np.random.default_rng(6)
+    common = np.arange(3, dtype=np.uint64)  # the smallest features of all
+    apart = [np.unique(np.r_[common, rng.integers(10, 2**60, 200).astype(np.uint64)]) for _ in range(50)]
+    assert (toxicity.shared_weights(apart) == 1).all()
+    copies = [np.r_[apart[0], np.uint64(2**61 + i)] for i in range(9)]
+    weights = toxicity.shared_weights([apart[0], *copies, apart[1]])
+    assert np.allclose(weights, [0.1] * 10 + [1.0])
+    assert toxicity.shared_weights([]).tolist() == [] and toxicity.shared_weights([np.zeros(0, np.uint64)]).tolist() == [1.0]
+
+
+def test_repeated_ids_are_one_example(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 3}", "en") for i in range(300)] + [(2, "other", "en"), (None, "nobody", "en")], "doc_id long, text string, lang string")
+    rows = language_id.training_sample(docs, F.lit(True), "doc_id", "text", "lang", 10).collect()
+    assert len(rows) == 2 and {"other"} in [set(r.words) for r in rows]

@@ -1,6 +1,7 @@
 """Exact round trips: packed ids against the tokenizers library, archives against their pages."""
 
 import base64
+import gzip
 import hashlib
 import random
 import zlib
@@ -11,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from textloom.llm.packing import Encoder, binary_pieces, pack
-from textloom.llm.warc import LoserTree, _inflate, archive_round_trip, parse_records, payload_of, read_index, url_key, write_archives
+from textloom.llm.warc import LoserTree, archive_round_trip, members_of, parse_records, payload_of, read_index, url_key, write_archives
 
 
 @pytest.fixture(scope="module")
@@ -48,6 +49,17 @@ def test_pack(spark, reference):
         assert [x for r in own for x in r.ids] == ids and {r.doc_tokens for r in own} == {len(ids)}
         assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) for r in own)
     assert pack(docs.limit(0)).collect() == []
+    many = pack(docs.withColumnRenamed("length", "sequence_id"), shards=3000).collect()  # more shards than a super-shard has
+    assert sorted(r.sequence_id for r in many) == list(range(len(rows)))
+
+
+def test_runs_that_the_fast_encoder_gives_up(reference):
+    text = "\n" * 2_000_000
+    assert len(Encoder(public_tokenizers.path("byte_bpe_50k.json")).encode(text)) == len(reference.encode(text, add_special_tokens=False).ids)
+
+
+def test_sequence_tokens_must_be_a_power_of_two(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     with pytest.raises(ValueError):
         pack(docs, sequence_tokens=1000)
 
@@ -65,9 +77,11 @@ def digest(html):
 
 def test_archives(spark, tmp_path):
     pages = page_frame(spark, PAGES)
-    write_archives(pages, str(tmp_path / "w"), records_per_file=3)
-    records = [r for f in sorted((tmp_path / "w").glob("*.gz")) for r in parse_records(_inflate(f.read_bytes()))]
-    assert len(records) == len(PAGES)
+    write_archives(pages.coalesce(1), str(tmp_path / "w"), archive_bytes=700)
+    files = sorted((tmp_path / "w").rglob("*.txt"))
+    records = [r for f in files for m, _, _ in members_of(f.read_bytes()) for r in parse_records(m)]
+    assert len(records) == len(PAGES) and len(files) > 2
+    assert all(gzip.decompress(f.read_bytes()) == b"".join(m for m, _, _ in members_of(f.read_bytes())) for f in files)
     by_id = {fields["warc-record-id"]: block for fields, block, _, _ in records}
     html = {p: (h or "") for p, _, h in PAGES}
     for fields, block, _, _ in records:
@@ -76,6 +90,10 @@ def test_archives(spark, tmp_path):
         assert payload_of(source).decode() == html[page] and fields["warc-payload-digest"] == "sha1:" + digest(html[page])
     index = read_index(spark, str(tmp_path / "w"), captures_per_task=2).collect()
     assert [(r.urlkey, r.timestamp) for r in index] == sorted((r.urlkey, r.timestamp) for r in index)
+    for r in index:  # a capture is read alone, by its offset and length
+        data = (tmp_path / "w" / r.archive).read_bytes()[r.offset : r.offset + r.length]
+        ((fields, _, _, _),) = parse_records(gzip.decompress(data))
+        assert fields["warc-page-id"] == ("-" if r.page_id is None else str(r.page_id))
     first = {3: None, 5: 3, 9: 3, 7: None, 8: 7, 2: None, 4: None, None: 3}
     assert all(r.refers_to == first[r.page_id] and r.record_type == ("response" if first[r.page_id] is None else "revisit") for r in index)
     assert all(r.payload_bytes == len(html[r.page_id].encode()) and r.payload_digest == digest(html[r.page_id]) for r in index)

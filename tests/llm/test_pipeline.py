@@ -51,3 +51,42 @@ def test_folds_are_crc32(spark):
 
     for r in spark.range(50).select("id", in_fold("id", 5, 0).alias("f")).collect():
         assert r.f == (zlib.crc32(str(r.id).encode()) % 5 == 0)
+
+
+def test_last_stage_against_the_library(spark, sf_dir):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = table(spark, sf_dir, "documents").limit(30)
+    pieces = corpus_pipeline.pack_sequences(spark, docs, sf_dir).collect()
+    for r in docs.collect():
+        ids = encoder.encode(r.text or "", add_special_tokens=False).ids + [1]
+        own = sorted((p for p in pieces if p.doc_id == r.doc_id), key=lambda p: p.start)
+        assert [p.start for p in own] == [sum(q.length for q in own[:i]) for i in range(len(own))] and sum(p.length for p in own) == len(ids)
+        assert all(p.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[p.start : p.start + p.length])) for p in own)
+
+
+def test_stages_on_odd_tables(spark, sf_dir, tmp_path):
+    """Repeated rows, null ids, repeated ids with different texts, clashing names; and an empty table."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id < 20 AND doc_id % 8 <> 0")
+    a, b = (docs.filter(f"doc_id = {i}") for i in (3, 5))
+    from pyspark.sql import functions as F
+
+    odd = docs.unionByName(docs).unionByName(a.withColumn("doc_id", F.lit(None).cast("long"))).unionByName(b.withColumn("doc_id", F.lit(3).cast("long")))
+    for name in ("_text", "marker", "_digest", "score", "predicted"):
+        odd = odd.withColumn(name, F.lit(1))
+    path = str(tmp_path / "odd")
+    odd.write.parquet(path)
+    now = spark.read.parquet(path)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, sf_dir)
+        assert now.columns == odd.columns, name
+        now.write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+    texts = {r.text for r in docs.collect()}
+    kept = [r.text for r in now.collect()]
+    assert sorted(kept) == sorted(texts)  # each text once, those of repeated ids as well
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf_dir).collect() == [], name

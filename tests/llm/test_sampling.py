@@ -111,3 +111,27 @@ def test_importance_edge_cases(spark):
     assert all(r.log_weight == 0 and r.score == 0.5 for r in found if r.doc_id in (2, 3))
     assert importance.resample(docs.limit(0), good).collect() == []
     assert {r.log_weight for r in importance.resample(docs, good.limit(0)).collect()} == {0.0}
+
+
+def test_ratios_against_plain_counts(spark):
+    """log(target / raw) of every bucket, from n-grams counted in plain Python."""
+    rows = [(i, ["good clear words here", "noise noise lower things", "Good words", None, ""][i % 5]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    good = spark.createDataFrame([(i,) for i in range(0, 40, 5)], "doc_id long")
+    shingler = importance.Shingler()
+    counts = {"raw": np.ones(importance.BUCKETS), "target": np.ones(importance.BUCKETS)}
+    for i, t in rows:
+        for b in importance.ngram_buckets(shingler, (t or "").encode()).tolist():
+            counts["raw"][b] += 1
+            counts["target"][b] += i % 5 == 0
+    want = np.log(counts["target"] / counts["target"].sum()) - np.log(counts["raw"] / counts["raw"].sum())
+    assert np.allclose(importance.log_ratios(docs, good), want)
+    grams = ["a", "b", "c", "a b", "b c"]
+    assert len(importance.ngram_buckets(shingler, b"A b C")) == len(grams)
+
+
+def test_exactly_k_rows_of_ties(spark):
+    docs = spark.createDataFrame([(None, "same words")] * 50 + [(1, "same words")] * 50, "doc_id long, text string")
+    for fraction in (0.01, 0.25, 0.5, 0.77, 1.0):
+        found = importance.resample(docs, docs.select("doc_id").limit(0), fraction=fraction).collect()
+        assert sum(r.selected for r in found) == max(1, round(100 * fraction))

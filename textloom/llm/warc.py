@@ -2,12 +2,14 @@
 
 Writing: a page becomes one WARC/1.1 record. Of pages with equal payloads (compared
 by SHA-256, of ``min_dedup_bytes`` or more) the smallest page_id is a response and
-the others revisit it. A record is one string and a file is written by Spark's text
-writer with the record separator CRLF CRLF, so archives go through Spark's own commit
-protocol to any file system it knows, gzip-compressed, ``records_per_file`` at most.
-
-Reading: archives are parsed by their Content-Length, never by looking for a separator.
-Each file gives one capture run, sorted by (URL key, timestamp, page_id) and written
+the others revisit it. Payloads of hot groups are not shuffled for that. Each record is a gzip
+member of its own, which can be read alone by the index's offset and length. Files are written
+by Spark's text writer, so archives go through its own commit protocol to any file system
+it knows; its line separator is an empty gzip member, which readers pass over. A file ends
+once it has ``archive_bytes``, so its size is bounded by that and one record.
+
+Reading: archives are parsed member by member and by their Content-Length, never by looking
+for a separator. Each file gives one capture run, sorted by (URL key, timestamp, page_id) and written
 to the shared folder. The index merge range-partitions the runs by that key, restores
 each run's order within a partition, and merges them with a loser tree (one comparison
 per level for each capture). The output is globally ordered: a URL's captures follow one
@@ -26,6 +28,7 @@ table gives no archive and an empty index.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -36,9 +39,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import Scratch, map_arrow, shuffle_partitions
+from textloom.llm.common import Scratch, join_groups, map_arrow, shuffle_partitions
 
 CRLF = "\r\n"
+ARCHIVE_BYTES = 64 << 20
+#: A gzip member of no bytes, which parts records.
+EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _EPOCH = 1_704_067_200
 _YEAR = 31_536_000
@@ -58,8 +64,9 @@ def _uuid(page_id: Column, digest: Column) -> Column:
     return F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", time_col: str | None = None, min_dedup_bytes: int = 0, records_per_file: int = 1000) -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", time_col: str | None = None, min_dedup_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Writes one record per page into gzip-compressed archives under path."""
+    scratch = Scratch(pages.sparkSession, "payloads")
     time = F.col(time_col) if time_col else F.timestamp_seconds(F.lit(_EPOCH) + F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(_YEAR)))
     rows = pages.select(
         F.col(id_col).cast("long").alias("id"),
@@ -68,8 +75,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.date_format(F.coalesce(time, F.timestamp_seconds(F.lit(_EPOCH))), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"),
     ).withColumn("content", F.unhex(F.sha2("payload", 256)))
     long_enough = F.octet_length("payload") >= min_dedup_bytes
-    firsts = rows.filter(long_enough).groupBy("content").agg(F.min("id").alias("first"))
-    roles = rows.join(firsts.hint("shuffle_hash"), "content", "left").withColumn("revisit", F.coalesce(long_enough & ~F.col("id").eqNullSafe(F.col("first")), F.lit(False)))
+    firsts = rows.groupBy("content").agg(F.min(F.when(long_enough, F.col("id"))).alias("first"), F.count(F.lit(1)).alias("pages"))
+    firsts = scratch.keep(firsts, "firsts")
+    roles = join_groups(rows, firsts, ["content"], "pages").withColumn("revisit", long_enough & ~F.col("id").eqNullSafe(F.col("first")))
     digest = _base32_sha1(F.col("payload"))
     size = F.octet_length("payload")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), size.cast("string"), F.lit(CRLF * 2))
@@ -101,7 +109,30 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.lit(CRLF),
         F.col("body"),
     )
-    rows.select(record.alias("value")).write.mode("overwrite").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    members = map_arrow(rows.select(record.alias("record")), _members(archive_bytes), "value binary, part int")
+    # The writer passes a string's bytes on as they are, and knows the separator's bytes by its encoding.
+    writer = members.select(F.col("value").cast("string"), "part").write.mode("overwrite").partitionBy("part")
+    writer.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("compression", "none").text(path)
+    scratch.drop("firsts")
+
+
+def _members(archive_bytes: int):
+    """Each record as a gzip member, and the number of its task's file that it goes to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, filled = 0, 0
+        for batch in batches:
+            members, parts = [], []
+            for record in batch.column(0):
+                member = gzip.compress(record.as_py().encode() + b"\r\n\r\n", mtime=0)
+                if filled >= archive_bytes:
+                    part, filled = part + 1, 0
+                filled += len(member) + len(EMPTY_MEMBER)
+                members.append(member)
+                parts.append(part)
+            yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary()), pa.array(parts, pa.int32())], names=["value", "part"])
+
+    return run
 
 
 def url_key(url: str) -> str:
@@ -143,14 +174,20 @@ def _digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _inflate(data: bytes) -> bytes:
-    """All members of a gzip file."""
-    out = []
-    while data:
-        member = zlib.decompressobj(31)
-        out += [member.decompress(data), member.flush()]
-        data = member.unused_data
-    return b"".join(out)
+def members_of(data: bytes) -> Iterator[tuple[bytes, int, int]]:
+    """(content, offset, length) of each member of a gzip file that is not empty."""
+    at = 0
+    while at < len(data):
+        member, begin, out = zlib.decompressobj(31), at, []
+        while not member.eof:
+            chunk = data[at : at + 65_536]
+            if not chunk:
+                raise ValueError(f"the member at offset {begin} has no end")
+            out.append(member.decompress(chunk))
+            at += len(chunk)
+        at -= len(member.unused_data)
+        if any(out):
+            yield b"".join(out), begin, at - begin
 
 
 def _number(text: str | None) -> int | None:
@@ -161,9 +198,10 @@ def _read_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _CAPTURE.split(", ")]
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1), strict=True):
-            name = path.as_py().rsplit("/", 1)[-1]
+            name = "/".join(path.as_py().rsplit("/", 2)[1:])
             rows = []
-            for fields, block, offset, length in parse_records(_inflate(content.as_py())):
+            for content_, offset, length in members_of(content.as_py()):
+                ((fields, block, _, _),) = parse_records(content_)
                 digest = fields["warc-payload-digest"].removeprefix("sha1:")
                 payload = payload_of(block)
                 if fields["warc-type"] == "response":
@@ -234,7 +272,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_index(spark: SparkSession, path: str, captures_per_task: int = 100_000) -> DataFrame:
     """The captures of all archives under path, globally ordered by URL key, timestamp and page_id."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path).select("path", "content")
     runs = Scratch(spark, "captures").keep(map_arrow(files, _read_runs, f"{_CAPTURE}, seq long"), "runs")
     tasks = max(shuffle_partitions(spark), -(-runs.count() // captures_per_task))
     ranged = runs.repartitionByRange(tasks, *_KEY).sortWithinPartitions("archive", "seq")
