@@ -76,6 +76,28 @@ def test_page_cap_keeps_queue_order(spark):
     assert sorted(r.url for r in visited.collect()) == ["h", "p0", "p2", "p3"]  # p1 cannot be fetched
 
 
+def test_page_cap_far_above_the_pages(spark):
+    links = spark.createDataFrame([("h", f"p{i}", i) for i in range(50)], "src string, dst string, pos long")
+    nodes = spark.createDataFrame([("h",)] + [(f"p{i}",) for i in range(50)], "url string")
+    assert graph.crawl_order(nodes, links, ["h"], 2, 10**9)[0].count() == 51
+
+
+def test_text_files_share_a_numbering(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\n\ntwo")
+    (tmp_path / "b.txt").write_text("three")
+    assert sorted(map(tuple, io.read_text(spark, str(tmp_path)).collect())) == [("D001", "one"), ("D002", "two"), ("D003", "three")]
+
+
+def test_confusion_has_empty_cells(spark):
+    rows = spark.createDataFrame([(1, "a", "a"), (2, "b", "a")], "doc_id long, label string, prediction string")
+    assert sorted(map(tuple, mining.confusion(rows).collect())) == [("a", "a", 1), ("a", "b", 0), ("b", "a", 1), ("b", "b", 0)]
+
+
+def test_links_of_crawls_are_united(spark):
+    one = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    assert graph.unite_links([one, one.filter("src = 'a'")]).count() == 2
+
+
 def test_crawl_flags(spark):
     page = "url string, title string, text string, category string, source_type string, is_exact_duplicate boolean, is_near_duplicate boolean, duplicate_of string, doc_id string"
     words = [f"w{i}" for i in range(40)]
