@@ -9,8 +9,8 @@ with 100 * |x & y| >= threshold * |x | y| link. No link between different sets i
    representatives, whose texts go into one table bucketed by marker.
 2. Leaders. Representatives with a band key in common are each checked against one
    leader of the key's group, its most typical member (a star, not all pairs). A set
-   that links to its leader follows it, and the exact number of its elements outside
-   the leader is kept. Which sets get which leader only matters for speed. The pairs
+   that links to leaders follows the one with the most links, and the exact number of its
+   elements outside the leader is kept. Which sets get which leader only matters for speed. The pairs
    of a set that has many are dealt to blocks, and its text travels once to each.
 3. Index. Every set puts its prefix, rarest elements first, into lists by element:
    (leader, size, position). Two linked sets share an element of their prefixes.
@@ -558,7 +558,10 @@ class JaccardJoin:
         keep = self.scratch.keep
         texts = self._texts()
         stars = keep(self._linked(self.check(self._stars(), texts)), "stars")
-        followers = stars.groupBy(F.col("a").alias("sid")).agg(F.min(F.struct("b", F.col("n_a").alias("n"), (F.col("n_a") - F.col("overlap")).alias("outside"))).alias("x"))
+        # Of several leaders a set follows the one with the most links, so that a group is not split among its leaders.
+        leads = keep(stars.groupBy("b").agg(F.count(F.lit(1)).alias("k")), "leads")
+        choice = F.struct((-F.col("k")).alias("k"), "b", F.col("n_a").alias("n"), (F.col("n_a") - F.col("overlap")).alias("outside"))
+        followers = join_groups(stars, leads, ["b"], "k").groupBy(F.col("a").alias("sid")).agg(F.min(choice).alias("x"))
         followers = keep(followers.select("sid", F.col("x.b").alias("leader"), "x.n", "x.outside"), "followers")
 
         heavy = self.spark.sparkContext.broadcast(self._frequent())
