@@ -116,17 +116,23 @@ class ToxicModel:
 
 
 def choose_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], most: int, weights: tuple[np.ndarray, np.ndarray]) -> list[int]:
-    """The features most over-represented in P, by the log-likelihood ratio of two binomials over weighted counts."""
-    tables = []
-    for docs, own in zip((positive, unlabelled), weights, strict=True):
-        ids, inverse = np.unique(np.concatenate([*docs, np.zeros(0, np.uint64)]), return_inverse=True)
-        tables.append((ids, np.bincount(inverse, weights=np.repeat(own, [len(d) for d in docs]), minlength=len(ids))))
-    (ids, p), (other, u) = tables
+    """The features most over-represented in P, by the log-likelihood ratio of two binomials over weighted counts. Only features
+    of P are counted, document by document, so that the driver holds little besides the documents themselves."""
+    ids = np.zeros(0, np.uint64)
+    for begin in range(0, len(positive), 100):
+        ids = np.union1d(ids, np.concatenate(positive[begin : begin + 100]))
     if not len(ids):
         return []
-    at = np.searchsorted(other, ids)
-    at[at == len(other)] = 0
-    in_u = np.where(other[at] == ids, u[at], 0) if len(other) else np.zeros(len(ids))
+
+    def counts(docs: list[np.ndarray], own: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(ids))
+        for d, weight in zip(docs, own, strict=True):
+            at = np.searchsorted(ids, d)
+            at[at == len(ids)] = 0
+            found[at[ids[at] == d]] += weight
+        return found
+
+    p, in_u = (counts(docs, own) for docs, own in zip((positive, unlabelled), weights, strict=True))
     rate_p, rate_u = (p + 0.5) / (weights[0].sum() + 1), (in_u + 0.5) / (weights[1].sum() + 1)
     gain = np.where((rate_p > 1.5 * rate_u) & (p >= 2), p * np.log(rate_p / rate_u), 0)
     best = np.lexsort((ids, -gain))[:most]
@@ -192,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
     texts = learned.join(F.broadcast(chosen), "id").groupBy("id", "p", "u").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     texts = texts.select("p", "u", "text").repartition(shuffle_partitions(docs.sparkSession))  # so that no few tasks get all
     rows = map_arrow(texts, _features_of, "p int, u int, features binary").collect()
-    rows.sort(key=lambda r: bytes(r.features))  # one order, whatever the partitions
+    rows.sort(key=lambda r: r.features)  # one order, whatever the partitions
     positive, unlabelled = ([np.frombuffer(r.features, dtype=np.uint64) for r in rows if r[role]] for role in ("p", "u"))
     return fit(positive, unlabelled, prior or 0.0)
 
