@@ -1,9 +1,11 @@
 """Exact link counts against all pairs of classes."""
 
+import random
+
 import pytest
 
 from tests.llm.test_jaccard_join import SCHEMA, corpus, hub_corpus, shingles
-from textloom.llm.jaccard_join import link_counts
+from textloom.llm.jaccard_join import JaccardJoin, link_counts
 
 
 def brute_counts(rows):
@@ -48,3 +50,23 @@ def test_edge_cases(spark):
     rows += [(0, rows[1][1]), (0, rows[0][1]), (1, rows[3][1]), (None, rows[2][1]), (900, None), (901, ""), (902, "one two"), (903, "ONE  two"), (None, "")]
     check(spark, rows)
     assert link_counts(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_rounds_of_leaders(spark, monkeypatch):
+    """Copies of a text that is not there, of which no leader links with all: those left alone get further leaders."""
+    monkeypatch.setattr("textloom.llm.jaccard_join.CROWD", 2)
+    asked = []
+    pairs = JaccardJoin._star_pairs
+    monkeypatch.setattr(JaccardJoin, "_star_pairs", lambda self, *of: asked.append(of[1:]) or pairs(self, *of))
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        for k in rng.sample(range(0, 200, 5), rng.randint(1, 9)):
+            own[k] = f"own{i}-{k}"
+        rows.append((i, " ".join(own)))
+    links = {r[3] for r in brute_counts(rows)}
+    assert min(links) < 10 < max(links)
+    check(spark, rows)
+    assert len(asked) > 2

@@ -8,7 +8,8 @@ with 100 * |x & y| >= threshold * |x | y| link. No link between different sets i
    document's id, which may repeat) stands for it; from here on there are only
    representatives, whose texts go into one table bucketed by marker.
 2. Leaders. Representatives with a band key in common are each checked against one
-   leader of the key's group, its most typical member (a star, not all pairs). A set
+   leader of the key's group, its most typical member (a star, not all pairs). Of large
+   groups, the sets left without a link get further leaders, in a few rounds. A set
    that links to leaders follows the one with the most links, and the exact number of its
    elements outside the leader is kept. Which sets get which leader only matters for speed. The pairs
    of a set that has many are dealt to blocks, and its text travels once to each.
@@ -68,6 +69,9 @@ HEAVY = 500_000
 BUCKET_ENTRIES = 500_000
 #: Followers of one leader in a block that others visit, and partners of a set in a block that its text travels to.
 BLOCK = 1024
+#: Sets that no leader links with get HEADS more per group of over CROWD of them, in ROUNDS rounds at most, if their leader
+#: linked with a FRUITFUL-th of its group. This only matters for speed.
+CROWD, HEADS, ROUNDS, FRUITFUL = 64, 4, 6, 16
 #: Rows of the table that one partition of texts should hold.
 PARTITION_ROWS = 100_000
 _CACHED_WORDS = 300_000
@@ -523,20 +527,50 @@ class JaccardJoin:
     def _linked(self, checked: DataFrame) -> DataFrame:
         return checked.filter(F.col("overlap") * (100 + self.threshold) >= self.threshold * (F.col("n_a") + F.col("n_b")))
 
-    def _stars(self) -> DataFrame:
-        """a, b, k: each set a with the leaders b of its band keys' groups (k: b's pairs): the member whose keys are the most
+    def _star_pairs(self, among: DataFrame, crowd: int, heads: int) -> DataFrame:
+        """a, b, k: each set a of among (sid, bands; a written table) with leaders b of its band keys' groups, if of more than
+        ``crowd`` members (k: b's pairs). Of each of ``heads`` parts of a group, the member leads whose keys are the most
         common, so that a group of near copies of one text is led by that text, or by one that hardly differs from it."""
         keep, key = self.scratch.keep, ["band", "key"]
-        keys = self.classes.select("sid", F.posexplode("bands").alias("band", "key"))
-        groups = keep(keys.groupBy(*key).agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "groups")
+        keys = among.select("sid", F.posexplode("bands").alias("band", "key"))
+        groups = keep(keys.groupBy(*key).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > crowd), "groups")
         shared = keep(join_groups(keys, groups, key, "k"), "keys")
         common = shared.groupBy("sid").agg(F.sum("k").alias("common"))
-        heads = shared.join(common, "sid").groupBy(*key).agg(F.max(F.struct("common", (-F.col("sid")).alias("s"))).alias("m"), F.first("k").alias("size"))
-        heads = keep(heads.select(*key, (-F.col("m.s")).alias("b"), "size"), "heads")
-        led = keep(join_groups(shared.select("sid", *key), heads, key, "size").select(F.col("sid").alias("a"), "b").filter("a <> b").distinct(), "led")
+        part = F.pmod(F.xxhash64("sid"), F.lit(heads)).alias("part")
+        tops = shared.join(common, "sid").groupBy(*key, part).agg(F.max(F.struct("common", (-F.col("sid")).alias("s"))).alias("m"), F.first("k").alias("size"))
+        tops = keep(tops.groupBy(*key).agg(F.collect_list(-F.col("m.s")).alias("heads"), F.first("size").alias("size")), "heads")
+        led = join_groups(shared.select("sid", *key), tops, key, "size").select(F.col("sid").alias("a"), F.explode("heads").alias("b"))
+        led = keep(led.filter("a <> b").distinct(), "led")
         hubs = keep(led.groupBy("b").agg(F.count(F.lit(1)).alias("k")), "hubs")
         return keep(join_groups(led, hubs, ["b"], "k"), "star-pairs")
 
+    def _stars(self, texts: DataFrame) -> DataFrame:
+        """a, b, n_a, n_b, overlap: the links of sets with leaders.
+
+        A leader that is not typical enough leaves much of its group alone, and sets left alone lead themselves, so that pairs of
+        leaders would grow with the square of their number. Those left by a leader that others did link to get further leaders,
+        chosen among them, for as long as a group of more than ``CROWD`` of them is left, ``ROUNDS`` times at most."""
+        keep = self.scratch.keep
+        among, found = self.classes.select("sid", "bands"), []
+        for i in range(1 + ROUNDS):
+            pairs = self._star_pairs(among, CROWD if i else 1, HEADS if i else 1)
+            found.append(keep(self._linked(self.check(pairs, texts)), f"stars-{i}"))
+            if i == ROUNDS or pairs.isEmpty():
+                break
+            own = found[-1]
+            led = pairs.groupBy("b").agg(F.first("k").alias("k")).join(own.groupBy("b").agg(F.count(F.lit(1)).alias("linked")), "b")
+            good = keep(led.filter(F.col("linked") * FRUITFUL >= F.col("k")).select("b", "k"), f"good-{i}")
+            asked = join_groups(pairs.select("a", "b"), good, ["b"], "k").select(F.col("a").alias("sid")).distinct()
+            attached = own.select(F.col("a").alias("sid")).unionByName(own.select(F.col("b").alias("sid"))).distinct()
+            rest = asked.join(attached, "sid", "left_anti")
+            among = keep(among.join(rest, "sid", "left_semi"), f"rest-{i}")
+        out = found[0]
+        for more in found[1:]:
+            out = out.unionByName(more)
+        out = keep(out, "stars")
+        self.scratch.drop("groups", "keys", "heads", "led", "hubs", "star-pairs", *(f"{x}-{i}" for x in ("stars", "good", "rest") for i in range(1 + ROUNDS)))
+        return out
+
     def _frequent(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted frequent elements and their counts: all above the least power of two that at most HEAVY exceed."""
         counted = self.frequent.groupBy("element").agg(F.sum("times").alias("times"))
@@ -557,7 +591,7 @@ class JaccardJoin:
         sets of different leaders is between sets of one of these pairs."""
         keep = self.scratch.keep
         texts = self._texts()
-        stars = keep(self._linked(self.check(self._stars(), texts)), "stars")
+        stars = self._stars(texts)
         # Of several leaders a set follows the one with the most links, so that a group is not split among its leaders.
         leads = keep(stars.groupBy("b").agg(F.count(F.lit(1)).alias("k")), "leads")
         choice = F.struct((-F.col("k")).alias("k"), "b", F.col("n_a").alias("n"), (F.col("n_a") - F.col("overlap")).alias("outside"))
@@ -585,7 +619,7 @@ class JaccardJoin:
             out = keep(sure.unionByName(derived.select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
         finally:
             self._close()
-        self.scratch.drop("found", "pairs", "answers", "derived", "stars", "sure", "keys", "led", "star-pairs")
+        self.scratch.drop("found", "pairs", "answers", "derived", "stars", "sure")
         return out
 
     def _derived(self, answers: DataFrame, followers: DataFrame, components: DataFrame, texts: DataFrame) -> DataFrame:
@@ -667,7 +701,7 @@ class JaccardJoin:
         for s in ("a", "b"):
             found = found.unionByName(direct.select(F.col(s).alias("sid"), one))
         out = keep(found.groupBy("sid").agg(F.sum("links").alias("links")), "counts")
-        self.scratch.drop("found", "pairs", "answers", "stars", "counted", "guests", "hosted", "keys", "led", "star-pairs")
+        self.scratch.drop("found", "pairs", "answers", "stars", "counted", "guests", "hosted", "led")
         return out
 
     def _labelled(self, labels: DataFrame, alone: list[Column]) -> DataFrame:
