@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from textloom.llm.jaccard_join import Block, Shingler, bucket_pairs, jaccard_components, keep_one_each, least_overlap, list_pairs, prefix
+from textloom.llm.jaccard_join import Block, JaccardJoin, Shingler, bucket_pairs, jaccard_components, keep_one_each, least_overlap, list_pairs, prefix
 
 SCHEMA = "doc_id long, text string, score int"
 
@@ -159,3 +159,33 @@ def test_pairs_of_hubs_are_dealt(spark, monkeypatch, seed):
     found = jaccard_components(spark.createDataFrame([(d, t, 0) for d, t in rows], SCHEMA)).collect()
     assert sorted(map(tuple, found)) == brute(rows)
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("textloom_texts")]
+
+
+def crowd_corpus(seed, copies=200, changes=9):
+    """Copies of one text that share more than half with it but do not link with it; what they have instead, many have."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for _ in range(copies):
+        own = list(base)
+        for k in rng.sample(range(2, 200, 5), changes):
+            own[k] = f"other{k}-{rng.randrange(3)}"
+        texts.append(" ".join(own))
+        if rng.random() < 0.2:  # a near copy of the copy
+            own[rng.randrange(200)] = "changed"
+            texts.append(" ".join(own))
+    texts += [texts[5] + " more", texts[0] + " more", texts[0].replace("w7", "x7")]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize(("seed", "block", "changes"), [(1, 1024, 9), (2, 30, 9), (3, 30, 6)])
+def test_crowds_that_do_not_link_make_no_pairs(spark, monkeypatch, seed, block, changes):
+    monkeypatch.setattr("textloom.llm.jaccard_join.BLOCK", block)
+    made = []
+    oriented = JaccardJoin._oriented
+    monkeypatch.setattr(JaccardJoin, "_oriented", lambda self, pairs: made.append(pairs.count()) or oriented(self, pairs))
+    rows = crowd_corpus(seed, changes=changes)
+    found = jaccard_components(spark.createDataFrame([(d, t, 0) for d, t in rows], SCHEMA)).collect()
+    assert sorted(map(tuple, found)) == brute(rows)
+    assert made[0] < 10 * len(rows)

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tests.llm.test_jaccard_join import SCHEMA, corpus, hub_corpus, shingles
+from tests.llm.test_jaccard_join import SCHEMA, corpus, crowd_corpus, hub_corpus, shingles
 from textloom.llm.jaccard_join import JaccardJoin, link_counts
 
 
@@ -70,3 +70,9 @@ def test_rounds_of_leaders(spark, monkeypatch):
     assert min(links) < 10 < max(links)
     check(spark, rows)
     assert len(asked) > 2
+
+
+@pytest.mark.parametrize("block", [1024, 30])
+def test_crowds_that_do_not_link(spark, monkeypatch, block):
+    monkeypatch.setattr("textloom.llm.jaccard_join.BLOCK", block)
+    check(spark, crowd_corpus(4, copies=120, changes=7))

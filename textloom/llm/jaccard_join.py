@@ -12,20 +12,23 @@ with 100 * |x & y| >= threshold * |x | y| link. No link between different sets i
    groups, the sets left without a link get further leaders, in a few rounds. A set
    that links to leaders follows the one with the most links, and the exact number of its
    elements outside the leader is kept. Which sets get which leader only matters for speed. The pairs
-   of a set that has many are dealt to blocks, and its text travels once to each.
+   of a set that has many are dealt to blocks, and its text travels once to each. Of crowds that
+   share half of a leader but do not link with it, all sets follow it loosely, so that they
+   do not lead themselves and make pairs by the square of their number.
 3. Index. Every set puts its prefix, rarest elements first, into lists by element:
    (leader, size, position). Two linked sets share an element of their prefixes.
    Lists keep one entry per leader and size, that of the smallest position, as the
    position filter passes no other if that one fails. Entries of a size form a block
    sorted by position, and a probe skips the rest of a block at the first position
    that is too late, or the whole block if its own position is. A list yields pairs of
-   leaders, never pairs of one leader's followers: those are linked through it.
+   leaders, never pairs of one leader's followers: those are linked through it, or meet in blocks.
 4. Answers. Pairs of leaders are checked by exact overlap. If they link, or other
    links connect them, that connects their followers too. If not, their followers'
    answers are derived: |y & z| <= |x & w| + |y - x| + |z - w| for followers y of x and
    z of w rules most out, and the others visit blocks of the other leader's followers,
    which are held as differences from what the block shares, so that a set's overlaps
-   with all of a block follow from its overlap with that.
+   with all of a block follow from its overlap with that. Loose followers have blocks of their own;
+   they visit all of their leader's, and no link of leaders spares them or their blocks a visit.
 5. Components of all links found.
 
 ``link_counts`` gives the join itself, with no link left out: every class's exact number of
@@ -373,16 +376,23 @@ class Block:
 
 
 def _visit(n: int, threshold: int):
-    """Rows sorted by (host, block), its sets before the guests: one link at most of each guest with each block."""
+    """Rows sorted by (host, block), its sets before the guests: of the links between a block's sets and its guests, no more than
+    connect what they connect. The sets of blocks from 0 on are connected through the host, those of others are not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
-        now, ids, sets, block = None, [], [], None
+        now, ids, sets, block, root = None, [], [], None, {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
         for batch in batches:
             links = []
             for host, number, guest, sid, text in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4).cast(pa.binary()), strict=True):
                 if now != (host, number):
-                    now, ids, sets, block = (host, number), [], [], None
+                    now, ids, sets, block, root = (host, number), [], [], None, {}
                 x = shingler.elements(text.as_py())
                 if not guest:
                     ids.append(sid)
@@ -392,8 +402,12 @@ def _visit(n: int, threshold: int):
                     continue
                 block = block or Block(ids, sets)
                 linked = block.overlaps(x) >= least_overlap(len(x), block.sizes, threshold)
-                if linked.any():
-                    links.append((sid, int(block.ids[linked].min())))
+                found = np.sort(block.ids[linked]).tolist()
+                for other in found[:1] if number >= 0 else found:
+                    u, v = find(sid), find(other)
+                    if u != v:
+                        root[u] = v
+                        links.append((sid, other))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
 
@@ -460,9 +474,13 @@ def _probe(threshold: int):
     return run
 
 
-def _blocks() -> Column:
-    """The number of a host's blocks, by its followers k."""
-    return (F.col("k") / BLOCK).cast("int") + 1
+def _blocks(followers: str = "k") -> Column:
+    """The number of a host's blocks, by its followers k, or of those of its loose ones w."""
+    return (F.col(followers) / BLOCK).cast("int") + 1
+
+
+def _block_of(followers: str = "k") -> Column:
+    return F.pmod(F.xxhash64("sid"), _blocks(followers).cast("long")).cast("int")
 
 
 class JaccardJoin:
@@ -544,20 +562,21 @@ class JaccardJoin:
         hubs = keep(led.groupBy("b").agg(F.count(F.lit(1)).alias("k")), "hubs")
         return keep(join_groups(led, hubs, ["b"], "k"), "star-pairs")
 
-    def _stars(self, texts: DataFrame) -> DataFrame:
-        """a, b, n_a, n_b, overlap: the links of sets with leaders.
+    def _stars(self, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """a, b, n_a, n_b, overlap of the links of sets with leaders, and sid, leader, n, outside of loose followers.
 
         A leader that is not typical enough leaves much of its group alone, and sets left alone lead themselves, so that pairs of
         leaders would grow with the square of their number. Those left by a leader that others did link to get further leaders,
-        chosen among them, for as long as a group of more than ``CROWD`` of them is left, ``ROUNDS`` times at most."""
+        chosen among them, for as long as a group of more than ``CROWD`` of them is left, ``ROUNDS`` times at most. Sets without any
+        link that share half with a leader follow it loosely if more than ``CROWD`` do; of several leaders, that of the most."""
         keep = self.scratch.keep
         among, found = self.classes.select("sid", "bands"), []
         for i in range(1 + ROUNDS):
             pairs = self._star_pairs(among, CROWD if i else 1, HEADS if i else 1)
-            found.append(keep(self._linked(self.check(pairs, texts)), f"stars-{i}"))
+            found.append(keep(self.check(pairs, texts), f"stars-{i}"))
             if i == ROUNDS or pairs.isEmpty():
                 break
-            own = found[-1]
+            own = self._linked(found[-1])
             led = pairs.groupBy("b").agg(F.first("k").alias("k")).join(own.groupBy("b").agg(F.count(F.lit(1)).alias("linked")), "b")
             good = keep(led.filter(F.col("linked") * FRUITFUL >= F.col("k")).select("b", "k"), f"good-{i}")
             asked = join_groups(pairs.select("a", "b"), good, ["b"], "k").select(F.col("a").alias("sid")).distinct()
@@ -567,9 +586,16 @@ class JaccardJoin:
         out = found[0]
         for more in found[1:]:
             out = out.unionByName(more)
-        out = keep(out, "stars")
-        self.scratch.drop("groups", "keys", "heads", "led", "hubs", "star-pairs", *(f"{x}-{i}" for x in ("stars", "good", "rest") for i in range(1 + ROUNDS)))
-        return out
+        stars = keep(self._linked(out), "stars")
+        attached = stars.select("a").unionByName(stars.select(F.col("b").alias("a"))).distinct()
+        near = out.filter(2 * F.col("overlap") >= F.greatest("n_a", "n_b")).join(attached, "a", "left_anti")
+        near = keep(near.select("a", "b", F.col("n_a").alias("n"), (F.col("n_a") - F.col("overlap")).alias("outside")), "near")
+        crowds = keep(near.groupBy("b").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > CROWD), "crowds")
+        choice = F.struct((-F.col("k")).alias("k"), "b", "n", "outside")
+        loose = join_groups(near, crowds, ["b"], "k").groupBy(F.col("a").alias("sid")).agg(F.min(choice).alias("x"))
+        loose = keep(loose.select("sid", F.col("x.b").alias("leader"), "x.n", "x.outside"), "loose")
+        self.scratch.drop("groups", "keys", "heads", "led", "hubs", "star-pairs", "near", "crowds", *(f"{x}-{i}" for x in ("stars", "good", "rest") for i in range(1 + ROUNDS)))
+        return stars, loose
 
     def _frequent(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted frequent elements and their counts: all above the least power of two that at most HEAVY exceed."""
@@ -591,12 +617,13 @@ class JaccardJoin:
         sets of different leaders is between sets of one of these pairs."""
         keep = self.scratch.keep
         texts = self._texts()
-        stars = self._stars(texts)
+        stars, loose = self._stars(texts)
         # Of several leaders a set follows the one with the most links, so that a group is not split among its leaders.
         leads = keep(stars.groupBy("b").agg(F.count(F.lit(1)).alias("k")), "leads")
         choice = F.struct((-F.col("k")).alias("k"), "b", F.col("n_a").alias("n"), (F.col("n_a") - F.col("overlap")).alias("outside"))
         followers = join_groups(stars, leads, ["b"], "k").groupBy(F.col("a").alias("sid")).agg(F.min(choice).alias("x"))
-        followers = keep(followers.select("sid", F.col("x.b").alias("leader"), "x.n", "x.outside"), "followers")
+        followers = followers.select("sid", F.col("x.b").alias("leader"), "x.n", "x.outside", F.lit(False).alias("loose"))
+        followers = keep(followers.unionByName(loose.withColumn("loose", F.lit(True))), "followers")
 
         heavy = self.spark.sparkContext.broadcast(self._frequent())
         total = self.classes.agg(F.sum("n")).first()[0] or 0
@@ -622,46 +649,57 @@ class JaccardJoin:
         self.scratch.drop("found", "pairs", "answers", "derived", "stars", "sure")
         return out
 
+    def _groups(self, followers: DataFrame) -> DataFrame:
+        """leader, k and w (its followers that link with it, and loose ones), out (the most elements of one outside of it), least (size)."""
+        loose = F.col("loose").cast("long")
+        return followers.groupBy("leader").agg(F.sum(1 - loose).alias("k"), F.sum(loose).alias("w"), F.max("outside").alias("out"), F.min("n").alias("least"))
+
     def _derived(self, answers: DataFrame, followers: DataFrame, components: DataFrame, texts: DataFrame) -> DataFrame:
-        """a, b: links between sets whose leaders do not link, and are not connected otherwise either.
+        """a, b: links between sets whose leaders do not link, and are not connected otherwise either, and all of loose followers.
 
         Of two leaders, the one with more followers is the host: they and it are dealt to blocks. The other and its
         followers visit every block of the host, unless the bound from the leaders' overlap, the followers' most
-        elements outside of their leader and their least size rules out a link."""
-        t = self.threshold
-        no = answers.filter(F.col("overlap") * (100 + t) < t * (F.col("n_a") + F.col("n_b")))
-        led = followers.groupBy("leader").agg(F.count(F.lit(1)).alias("k"), F.max("outside").alias("out"), F.min("n").alias("least"))
+        elements outside of their leader and their least size rules out a link. If the leaders are connected, only loose
+        followers visit, and the others the blocks of loose ones."""
+        led = self.scratch.keep(self._groups(followers), "led")
         known = components.select("node", "component").join(led.withColumnRenamed("leader", "node"), "node", "full")
+        pairs = answers
         for s in ("a", "b"):
-            no = no.join(known.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}"), F.col("k").alias(f"k_{s}"), F.col("out").alias(f"out_{s}"), F.col("least").alias(f"least_{s}")), s, "left")
-        no = no.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).na.fill(0, ["k_a", "k_b", "out_a", "out_b"]).filter("k_a + k_b > 0")
-        guests = self._guests(no, followers)
-        guests = self.scratch.keep(guests.groupBy("host", "sid").agg(F.max("k").alias("k")), "guests")
-        hosts = guests.groupBy("host").agg(F.max("k").alias("k"))
-        hosted = self._hosted(hosts, followers)
-        visits = guests.select("host", F.explode(F.sequence(F.lit(0), _blocks() - 1)).alias("block"), F.lit(1).alias("guest"), "sid")
-        return map_arrow(self._dealt(hosted, visits, texts), _visit(self.words, t), _PAIRS)
+            pairs = pairs.join(known.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}"), *(F.col(x).alias(f"{x}_{s}") for x in ("k", "w", "out", "least"))), s, "left")
+        pairs = pairs.na.fill(0, [f"{x}_{s}" for x in ("k", "w", "out") for s in ("a", "b")]).withColumn("joined", F.coalesce("c_a", "a") == F.coalesce("c_b", "b"))
+        guests = self._guests(pairs.filter(F.when(F.col("joined"), F.col("w_a") + F.col("w_b")).otherwise(F.col("k_a") + F.col("w_a") + F.col("k_b") + F.col("w_b")) > 0), followers)
+        guests = guests.groupBy("host", "sid").agg(F.max("k").alias("k"), F.max("w").alias("w"), F.bool_or(F.col("loose") | ~F.col("joined")).alias("all"))
+        guests = self.scratch.keep(guests.withColumn("from", -_blocks("w")), "guests")
+        # A loose follower visits its own block and the later ones of its leader's loose followers: each pair of blocks meets once.
+        own = followers.filter("loose").join(led.select("leader", "k", "w"), "leader")
+        own = own.select(F.col("leader").alias("host"), "sid", "k", "w", F.lit(True).alias("all"), (-1 - _block_of("w")).alias("from"))
+        guests = guests.unionByName(own)
+        hosted = self._hosted(guests.groupBy("host").agg(F.max("k").alias("k"), F.max("w").alias("w")), followers)
+        numbers = F.sequence(F.when(F.col("w") > 0, F.col("from")).otherwise(F.lit(0)), F.when(F.col("all"), _blocks() - 1).otherwise(F.lit(-1)))
+        visits = guests.filter(F.col("all") | (F.col("w") > 0)).select("host", F.explode(numbers).alias("block"), F.lit(1).alias("guest"), "sid")
+        return map_arrow(self._dealt(hosted, visits, texts), _visit(self.words, self.threshold), _PAIRS)
 
     def _guests(self, pairs: DataFrame, followers: DataFrame) -> DataFrame:
-        """host, guest, sid, k (the host's followers) of the sets that the bound lets visit, for pairs of leaders with their overlap and
-        what is known of their followers."""
+        """host, guest, sid, loose, joined, k and w (the host's followers) of the sets that the bound lets visit, for pairs of leaders
+        with their overlap, what is known of their followers, and whether they are connected."""
         t, no = self.threshold, pairs
-        first = F.col("k_a") >= F.col("k_b")
+        first = F.col("k_a") + F.col("w_a") >= F.col("k_b") + F.col("w_b")
 
         def of(name: str, host: bool):
             return F.when(first, F.col(f"{name}_{'a' if host else 'b'}")).otherwise(F.col(f"{name}_{'b' if host else 'a'}"))
 
-        calls = no.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("host"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("guest"), of("n", False).alias("n_guest"), of("k", True).alias("k"), of("out", True).alias("out"), F.least(of("n", True), of("least", True)).alias("least"), "overlap")
+        calls = no.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("host"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("guest"), of("n", False).alias("n_guest"), of("k", True).alias("k"), of("w", True).alias("w"), of("out", True).alias("out"), F.least(of("n", True), of("least", True)).alias("least"), "overlap", "joined")
         calls = self.scratch.keep(calls, "calls")
-        alone = calls.select("host", "guest", F.col("guest").alias("sid"), F.col("n_guest").alias("n"), F.lit(0).cast("long").alias("outside"), "k", "out", "least", "overlap")
-        company = calls.join(followers.select(F.col("leader").alias("guest"), "sid", "n", "outside"), "guest").select(*alone.columns)
+        alone = calls.select("host", "guest", F.col("guest").alias("sid"), F.col("n_guest").alias("n"), F.lit(0).cast("long").alias("outside"), F.lit(False).alias("loose"), "joined", "k", "w", "out", "least", "overlap")
+        company = calls.join(followers.select(F.col("leader").alias("guest"), "sid", "n", "outside", "loose"), "guest").select(*alone.columns)
         bound = F.least(F.col("overlap") + F.col("outside") + F.col("out"), F.col("n"))
-        return alone.unionByName(company).filter(bound * (100 + t) >= t * (F.col("n") + F.col("least"))).select("host", "guest", "sid", "k")
+        return alone.unionByName(company).filter(bound * (100 + t) >= t * (F.col("n") + F.col("least"))).select("host", "guest", "sid", "loose", "joined", "k", "w")
 
     def _hosted(self, hosts: DataFrame, followers: DataFrame) -> DataFrame:
-        """The sets of the hosts (host, k), dealt to blocks."""
-        hosted = hosts.join(followers.select(F.col("leader").alias("host"), "sid"), "host").unionByName(hosts.select("host", "k", F.col("host").alias("sid")))
-        return hosted.select("host", F.pmod(F.xxhash64("sid"), _blocks().cast("long")).cast("int").alias("block"), F.lit(0).alias("guest"), "sid")
+        """The sets of the hosts (host, k, w), dealt to blocks: loose followers to those before 0, if counted in w."""
+        hosted = hosts.join(followers.select(F.col("leader").alias("host"), "sid", "loose"), "host").unionByName(hosts.select("*", F.col("host").alias("sid"), F.lit(False).alias("loose")))
+        block = F.when(F.col("loose") & (F.col("w") > 0), -1 - _block_of("w")).otherwise(_block_of())
+        return hosted.select("host", block.alias("block"), F.lit(0).alias("guest"), "sid")
 
     def _dealt(self, hosted: DataFrame, visits: DataFrame, texts: DataFrame) -> DataFrame:
         rows = hosted.unionByName(visits).hint("shuffle_hash").join(texts, "sid").select("host", "block", "guest", "sid", "text")
@@ -683,15 +721,16 @@ class JaccardJoin:
         def members(rows: DataFrame, leader: str) -> DataFrame:
             return rows.filter(F.col("sid") != F.col(leader)).unionByName(rows.filter(F.col("sid") == F.col(leader)).join(follows, "sid", "left_anti"))
 
-        led = followers.groupBy("leader").agg(F.count(F.lit(1)).alias("k"), F.max("outside").alias("out"), F.min("n").alias("least"))
+        # Loose followers are counted as the others are: here nothing follows from a link with a leader.
+        led = self._groups(followers).select("leader", (F.col("k") + F.col("w")).alias("k"), F.lit(0).cast("long").alias("w"), "out", "least")
         led = keep(led, "led")
         pairs = answers
         for s in ("a", "b"):
-            pairs = pairs.join(led.select(F.col("leader").alias(s), F.col("k").alias(f"k_{s}"), F.col("out").alias(f"out_{s}"), F.col("least").alias(f"least_{s}")), s, "left")
-        pairs = keep(pairs.na.fill(0, ["k_a", "k_b", "out_a", "out_b"]), "counted")
+            pairs = pairs.join(led.select(F.col("leader").alias(s), *(F.col(x).alias(f"{x}_{s}") for x in ("k", "w", "out", "least"))), s, "left")
+        pairs = keep(pairs.na.fill(0, [f"{x}_{s}" for x in ("k", "w", "out") for s in ("a", "b")]).withColumn("joined", F.lit(False)), "counted")
         direct = self._linked(pairs.filter("k_a + k_b = 0"))
         guests = keep(members(self._guests(pairs.filter("k_a + k_b > 0"), followers), "guest"), "guests")
-        hosted = keep(members(self._hosted(led.select(F.col("leader").alias("host"), "k"), followers), "host"), "hosted")
+        hosted = keep(members(self._hosted(led.select(F.col("leader").alias("host"), "k", "w"), followers), "host"), "hosted")
         visits = guests.select("host", F.explode(F.sequence(F.lit(0), _blocks() - 1)).alias("block"), F.lit(1).alias("guest"), "sid")
         wide = led.select(F.col("leader").alias("host"), "k").filter(_blocks() > 1)
         later = hosted.join(wide, "host").filter(F.col("block") < _blocks() - 1)  # each pair of a leader's blocks meets once
