@@ -9,6 +9,9 @@ from textloom.operators.corpus import CONTENT, METADATA
 
 DATASET = "doc_id string, category string, title string, text string"
 
+#: What the reader gives for a quoted empty field; by default it gives null, as for a bare one.
+_EMPTY = "\x01textloom: empty\x01"
+
 #: Records of the bundled article feed: two per category, in the shape of the API's JSON.
 FEED = [
     ("A001", "business", "Harbour trade picks up", "Container traffic through the northern harbour rose for a third month as exporters cleared their spring backlog."),
@@ -30,8 +33,9 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """The dataset's four columns as strings, by name."""
-    return spark.read.csv(path, header=True, multiLine=True, escape='"', schema=DATASET, enforceSchema=False)
+    """The dataset's four columns as strings, by name. A quoted empty field is an empty string, a bare one is null."""
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"', schema=DATASET, enforceSchema=False, emptyValue=_EMPTY)
+    return rows.select(*(F.when(F.col(c) == _EMPTY, "").otherwise(F.col(c)).alias(c) for c in rows.columns))
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
